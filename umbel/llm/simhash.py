@@ -23,7 +23,9 @@ BITS = 64
 SEED = 42
 #: A table's bucket with more distinct fingerprints than this is searched by flipped bits, not by pairs.
 PAIR_ROWS = 32
-_CHUNK_SHINGLES = 1 << 18
+_CHUNK_SHINGLES = 1 << 15
+#: Texts of an Arrow batch that are Python objects at once.
+_SLICE_ROWS = 128
 
 
 def masks(radius: int) -> list[int]:
@@ -97,7 +99,8 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = text_fingerprints(b.column(2).to_pylist(), width).view("<i8")
+            slices = (b.column(2).slice(i, _SLICE_ROWS) for i in range(0, b.num_rows, _SLICE_ROWS))
+            fp = np.concatenate([np.zeros(0, "<u8"), *(text_fingerprints(x.to_pylist(), width) for x in slices)]).view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "row_id", "fp"])
 
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col(text_col).alias("text"))
