@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +26,8 @@ COPY_COSTS = (0, 1, 3)
 MAX_PATTERNS = 100_000
 #: Documents per hash bucket of a pattern, on average; a pattern's cut falls into one bucket.
 BUCKET_DOCS = 256
+#: Bits that the search for the best filling of a cut bucket may hold.
+SUM_BITS = 1 << 29
 
 
 def targets(sizes: dict, weights: dict, total: float | None = None, most: float = 3.0) -> dict:
@@ -120,7 +124,12 @@ def _flow(patterns: list[tuple], capacity: dict, quota: dict, costs: tuple[int,
     return [(p, s, room[e ^ 1]) for p, s, e in middle]
 
 
-def mix(docs: DataFrame, sources, weigh, id_col: str = "doc_id", text_col: str = "text", most: int = 3, seed: int = SEED) -> DataFrame:
+def cycling(names: list) -> list[int]:
+    """Weights 1, 2, 3, repeating."""
+    return [1 + i % 3 for i in range(len(names))]
+
+
+def mix(docs: DataFrame, sources, weigh=cycling, id_col: str = "doc_id", text_col: str = "text", most: int = 3, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: doc_id, row_id, size, pattern (array of sources), copies, taken and
     targets (array of double, in the order of pattern).
 
@@ -165,19 +174,62 @@ def mix(docs: DataFrame, sources, weigh, id_col: str = "doc_id", text_col: str =
     cuts = settle(_cuts(heaps), "cuts")
     marked = keyed_lookup(dealt, cuts, ["pattern"], "h")
     edge = marked.where("bucket = cut AND size > 0")
-    listed = edge.groupBy("pattern", "gap").agg(F.sort_array(F.collect_list(F.struct("h", "size", "row_id"))).alias("docs"))
-    walk = F.aggregate(
-        "docs",
-        F.struct(F.col("gap").alias("left"), F.array().cast("array<bigint>").alias("ids")),
-        lambda a, x: F.when(x["size"] <= a["left"], F.struct((a["left"] - x["size"]).alias("left"), F.concat(a["ids"], F.array(x["row_id"])).alias("ids"))).otherwise(a),
-    )
-    chosen = listed.select(F.explode(walk["ids"]).alias("row_id"), F.lit(1).alias("chosen"))
-    out = marked.join(settle(chosen, "chosen"), "row_id", "left")
-    extra = F.when((F.col("bucket") < F.col("cut")) | F.col("chosen").isNotNull(), 1).otherwise(0)
+    chosen = settle(_fill(edge).withColumn("chosen", F.lit(1)), "chosen")
+    out = marked.join(chosen, "row_id", "left")
+    inside = F.col("chosen").isNotNull().cast("int")
+    extra = F.when(F.col("bucket") < F.col("cut"), 1).when(F.col("bucket") == F.col("cut"), inside).otherwise(0)
     copies = F.least(F.col("base") + F.coalesce(extra, F.lit(0)), F.lit(most)).cast("int")
     return out.select("doc_id", "row_id", "size", "pattern", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "targets")
 
 
+def fill(sizes: list[int], goal: int) -> list[int]:
+    """Indices of a subset of positive ``sizes`` whose sum is nearest to ``goal`` (the lesser of two), preferring early ones.
+
+    Reachable sums are the bits of one integer per size. Where these would take more than SUM_BITS in all,
+    sizes are taken in order while they fit, then the rest by falling size.
+    """
+    total = sum(sizes)
+    if goal >= total:
+        return list(range(len(sizes)))
+    if len(sizes) * total <= SUM_BITS:
+        reach = [1]
+        for n in sizes:
+            reach.append(reach[-1] | reach[-1] << n)
+        low = (reach[-1] & ((1 << (goal + 1)) - 1)).bit_length() - 1
+        above = reach[-1] >> goal
+        high = goal + (above & -above).bit_length() - 1
+        at, out = (low if goal - low <= high - goal else high), []
+        for i in range(len(sizes), 0, -1):
+            if not reach[i - 1] >> at & 1:
+                out.append(i - 1)
+                at -= sizes[i - 1]
+        return out[::-1]
+    first = 0
+    while sizes[first] <= goal:
+        goal -= sizes[first]
+        first += 1
+    out = list(range(first))
+    for i in sorted(range(first, len(sizes)), key=lambda i: (-sizes[i], i)):
+        if sizes[i] <= goal:
+            goal -= sizes[i]
+            out.append(i)
+    return out
+
+
+def _fill(edge: DataFrame) -> DataFrame:
+    """(row_id) of the documents of each pattern's cut bucket that fill its gap best; a bucket has about BUCKET_DOCS documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = []
+            for goal, docs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids += [docs[i]["row_id"] for i in fill([x["size"] for x in docs], goal)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], ["row_id"])
+
+    listed = edge.groupBy("pattern", "gap").agg(F.sort_array(F.collect_list(F.struct("h", "size", "row_id"))).alias("docs"))
+    return listed.select("gap", "docs").mapInArrow(run, "row_id bigint")
+
+
 def _cuts(heaps: DataFrame) -> DataFrame:
     """(pattern, cut, gap): the first bucket that the rest can't take whole, and what is left for it.
 
@@ -196,11 +248,6 @@ def _cuts(heaps: DataFrame) -> DataFrame:
     return ends.groupBy("pattern").agg(F.min_by(F.struct(F.col("bucket").alias("cut"), (F.col("rest") - F.col("end") + F.col("n")).alias("gap")), "bucket").alias("x")).select("pattern", "x.*")
 
 
-def cycling(names: list) -> list[int]:
-    """Weights 1, 2, 3, repeating."""
-    return [1 + i % 3 for i in range(len(names))]
-
-
 def take(docs: DataFrame, sources, weigh=cycling, id_col: str = "doc_id", text_col: str = "text", most: int = 3, seed: int = SEED) -> DataFrame:
     """The rows of the mix with all columns of ``docs``: a row that is taken k times stands k times, others not at all."""
     rid, copies = fresh(docs, "row_id"), fresh(docs, "copies")
