@@ -41,41 +41,44 @@ def test_quality_odd(spark, odd, nothing, odd_rows):
 
 
 def test_log_count_ratios_and_reruns():
-    sets = [{"a", "b"}, {"a"}, {"c", "b"}, {"c"}] * 10
+    a, b, c = 10, 20, 30
+    rows = [np.array(r, np.uint64) for r in ([a, b, a], [a], [c, b], [c])] * 10
     labels = [1, 1, 0, 0] * 10
-    one, two = quality_model.NaiveBayesSvm().fit(sets, labels), quality_model.NaiveBayesSvm().fit(sets, labels)
-    assert one.weights == two.weights and (one.bias, one.slope, one.shift) == (two.bias, two.slope, two.shift)
-    p = np.array([21.0, 11.0, 1.0])
-    q = np.array([1.0, 11.0, 21.0])
+    one, two = quality_model.NaiveBayesSvm().fit(rows, labels), quality_model.NaiveBayesSvm().fit(rows, labels)
+    assert np.array_equal(one.weight, two.weight) and (one.bias, one.slope, one.shift) == (two.bias, two.slope, two.shift)
+    p, q = np.array([21.0, 11.0, 1.0]), np.array([1.0, 11.0, 21.0])  # rows with a, b, c, and one more
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    assert np.allclose([one.weights[f][1] for f in "abc"], ratio**2)
-    assert one.margin({"a"}) > one.margin({"b"}) > one.margin({"c"})
+    assert one.keys.tolist() == [a, b, c] and np.allclose(one.square, ratio**2)
+    margins = [one.margin(np.array([k], np.uint64)) for k in (a, b, c)]
+    assert margins[0] > margins[1] > margins[2] and one.margin(np.array([99], np.uint64)) == one.bias
 
 
-def test_dual_descent_reaches_the_optimum():
-    """The primal objective at its end equals the dual one, up to a small gap."""
+def test_dual_descent_reaches_the_optimum(monkeypatch):
+    """No rescaling of the solution lowers the regularised hinge loss."""
     rng = np.random.default_rng(0)
-    names = [f"f{i}" for i in range(30)]
-    sets, labels = [], []
+    rows, labels = [], []
     for i in range(200):
         y = i % 2
-        sets.append({n for j, n in enumerate(names) if rng.random() < (0.6 if (j % 2 == y) else 0.4)})
+        rows.append(np.array([j for j in range(30) if rng.random() < (0.6 if (j % 2 == y) else 0.4)], np.uint64))
         labels.append(y)
     m = quality_model.NaiveBayesSvm()
-    old = quality_model.EPOCHS
-    try:
-        quality_model.EPOCHS = 400
-        m._fit_margin(sets, np.array(labels), 1)
-    finally:
-        quality_model.EPOCHS = old
-    ratio = {f: np.sqrt(v[1]) for f, v in m.weights.items()}
-    w = {f: v[0] / (ratio[f] or 1) for f, v in m.weights.items()}  # up to the sign of the ratio
-    norm = sum(x * x for x in w.values()) + m.bias**2
-    loss = sum(max(0, 1 - (1 if y else -1) * m.margin(s)) for s, y in zip(sets, labels, strict=True))
-    primal = norm / 2 + quality_model.COST * loss
-    for k in (0.9, 1.1):  # no rescaling of the solution is better
-        scaled = k * k * norm / 2 + quality_model.COST * sum(max(0, 1 - (1 if y else -1) * k * m.margin(s)) for s, y in zip(sets, labels, strict=True))
-        assert primal <= scaled + 1e-3 * primal
+    monkeypatch.setattr(quality_model, "EPOCHS", 400)
+    m._fit_margin(rows, np.array(labels), 1)
+    w = m.weight / np.sqrt(np.where(m.square > 0, m.square, 1))  # up to signs
+    norm = (w * w).sum() + m.bias**2
+    margins = [(1 if y else -1) * m.margin(r) for r, y in zip(rows, labels, strict=True)]
+    objective = lambda k: k * k * norm / 2 + quality_model.COST * sum(max(0.0, 1 - k * x) for x in margins)
+    assert all(objective(1.0) <= objective(k) * 1.001 for k in (0.8, 0.9, 0.95, 1.05, 1.1, 1.2))
+
+
+def test_features_by_hand():
+    f = lambda t: set(quality_model.features(t).tolist())
+    assert f("") == f(None) == f(" \n") and len(f("")) == 1
+    assert len(f("one two")) == 2 + 1 + 1 + 1  # tokens, their pair, the pair of shapes, the size
+    assert f("One two") != f("one two") and len(f("one one") - f("one two")) >= 2
+    quality_model._tokens.__init__()
+    first = f("the same, The SAME 12 __ text")
+    assert first == f("the same, The SAME 12 __ text")
 
 
 def test_language_on_held_out(spark):

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +28,11 @@ EPOCHS = 12
 PREDICT_AT = 0.3
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+#: Tokens that a worker remembers the hashes of, before it starts anew.
+_REMEMBERED = 1 << 18
+#: Top bits of a feature by which most of those outside the model are told apart without a search.
+_SIEVE_BITS = 22
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def _shape(token: str) -> str:
@@ -36,35 +41,68 @@ def _shape(token: str) -> str:
     return "d" if token.isdigit() else token[:4]
 
 
-def features(text: str | None) -> set:
-    """The n-gram indicators of one whole text.
+class _Tokens:
+    """Numbers tokens and holds the hash of each in lower case and of its shape."""
+
+    def __init__(self):
+        self.ids: dict[str, int] = {}
+        self.hash = np.zeros((2, 1024), np.uint64)
+
+    def _add(self, token: str) -> int:
+        n = self.ids[token] = len(self.ids) + 1
+        if n >= self.hash.shape[1]:
+            self.hash = np.concatenate([self.hash, np.zeros_like(self.hash)], axis=1)
+        self.hash[:, n] = xxhash.xxh64_intdigest(token.lower()), xxhash.xxh64_intdigest(_shape(token), 1)
+        return n
+
+    def hashes(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.ids) > _REMEMBERED:
+            self.__init__()
+        get, add = self.ids.get, self._add
+        at = np.fromiter((get(t) or add(t) for t in tokens), np.intp, len(tokens))
+        return self.hash[0, at], self.hash[1, at]
+
+
+_tokens = _Tokens()
+
+
+def _joined(kind: int, *parts: np.ndarray) -> np.ndarray:
+    out = parts[0] * _A + np.uint64(kind)
+    for p in parts[1:]:
+        out = (out ^ (out >> np.uint64(29))) * _B + p
+    return (out ^ (out >> np.uint64(32))) * _C
+
+
+def features(text: str | None) -> np.ndarray:
+    """The n-gram features of one whole text as 64-bit hashes, with repeats; indicators are its distinct values.
 
     Tokens are runs of letters, digits or other signs. Features are tokens and pairs of tokens, pairs and
     triples of their shapes (lower, upper, title, digits, or the signs themselves), a mark for a token
     that follows itself, and the magnitude of the number of tokens, so that an empty text has one too.
     """
     tokens = _TOKEN.findall(text or "")
-    low = [t.lower() for t in tokens]
-    shapes = list(map(_shape, tokens))
-    out: set = set(low)
-    out.update(zip(low, low[1:], strict=False))
-    out.update(zip(("s2",) * len(shapes), shapes, shapes[1:]))
-    out.update(zip(("s3",) * len(shapes), shapes, shapes[1:], shapes[2:]))
-    if any(a == b for a, b in zip(low, low[1:], strict=False)):
-        out.add(("again",))
-    out.add(("size", len(tokens).bit_length()))
-    return out
+    h, s = _tokens.hashes(tokens)
+    size = np.array([len(tokens).bit_length()], np.uint64)
+    parts = [_joined(1, h), _joined(2, h[:-1], h[1:]), _joined(3, s[:-1], s[1:]), _joined(4, s[:-2], s[1:-1], s[2:]), _joined(5, size)]
+    if (h[:-1] == h[1:]).any():
+        parts.append(_joined(6, np.ones(1, np.uint64)))
+    return np.concatenate(parts)
 
 
 class NaiveBayesSvm:
-    """A fitted model: ``weights`` (feature: weight), ``bias``, and the logistic curve (slope, shift)."""
+    """A fitted model: sorted ``keys`` with ``weight`` and ``square`` (of the log-count ratio), ``bias``, and the logistic curve (slope, shift)."""
 
     def __init__(self):
-        self.weights: dict = {}
         self.bias, self.slope, self.shift = 0.0, 1.0, 0.0
+        self._keep(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+
+    def _keep(self, keys: np.ndarray, weight: np.ndarray, square: np.ndarray) -> None:
+        self.keys, self.weight, self.square = keys, weight, square
+        self.sieve = np.zeros(1 << _SIEVE_BITS, bool)
+        self.sieve[keys >> np.uint64(64 - _SIEVE_BITS)] = True
 
-    def fit(self, sets: list[set], labels: list[int], seed: int = SEED) -> NaiveBayesSvm:
-        """Fit on feature sets and 0/1 labels. Without both classes the score is the smoothed share of label 1."""
+    def fit(self, rows: list[np.ndarray], labels: list[int], seed: int = SEED) -> NaiveBayesSvm:
+        """Fit on feature arrays and 0/1 labels. Without both classes the score is the smoothed share of label 1."""
         y = np.array(labels)
         if not len(y) or y.min() == y.max():
             self.slope, self.shift = 0.0, math.log((sum(labels) + 1) / (len(y) - sum(labels) + 1))
@@ -75,22 +113,22 @@ class NaiveBayesSvm:
             held[[i for i in order if y[i] == c][::5]] = True
         fitted = [i for i in order if not held[i]]
         if len(set(y[fitted])) == 2:
-            self._fit_margin([sets[i] for i in fitted], y[fitted], seed)
-            self._calibrate(np.array([self.margin(sets[i]) for i in np.flatnonzero(held)]), y[held])
+            self._fit_margin([rows[i] for i in fitted], y[fitted], seed)
+            self._calibrate(np.array([self.margin(rows[i]) for i in np.flatnonzero(held)]), y[held])
         curve = self.slope, self.shift
-        self._fit_margin(sets, y, seed)
+        self._fit_margin(rows, y, seed)
         self.slope, self.shift = curve
         return self
 
-    def _fit_margin(self, sets: list[set], y: np.ndarray, seed: int) -> None:
-        rows = Counter()
-        for s in sets:
-            rows.update(s)
-        # a fixed order of the features, so that reruns agree to the last digit
-        names = sorted((f for f, n in rows.items() if n >= min(MIN_ROWS, len(sets))), key=repr)
-        index = {f: i for i, f in enumerate(names)}
-        x = [np.array(sorted(index[f] for f in s if f in index), np.int64) for s in sets]
-        p, q = np.full(len(names), SMOOTHING), np.full(len(names), SMOOTHING)
+    def _fit_margin(self, rows: list[np.ndarray], y: np.ndarray, seed: int) -> None:
+        rows = [np.unique(r) for r in rows]
+        keys, n = np.unique(np.concatenate(rows), return_counts=True)
+        keys = keys[n >= min(MIN_ROWS, len(rows))]
+        x = []
+        for r in rows:
+            at = np.minimum(np.searchsorted(keys, r), max(0, len(keys) - 1))
+            x.append(at[keys[at] == r] if len(keys) else at[:0])
+        p, q = np.full(len(keys), SMOOTHING), np.full(len(keys), SMOOTHING)
         for ids, label in zip(x, y, strict=True):
             (p if label else q)[ids] += 1
         ratio = np.log(p / p.sum()) - np.log(q / q.sum())
@@ -98,25 +136,27 @@ class NaiveBayesSvm:
         cost = COST * len(y) / (2 * np.where(y == 1, (y == 1).sum(), (y == 0).sum()))
         # dual coordinate descent: rows are scaled to length one and carry a constant for the bias
         value = [ratio[ids] / (np.linalg.norm(ratio[ids]) or 1.0) for ids in x]
-        w, bias, alpha, rng = np.zeros(len(names)), 0.0, np.zeros(len(y)), np.random.default_rng(seed)
+        square = np.array([v @ v + 1 for v in value])
+        w, bias, alpha, rng = np.zeros(len(keys)), 0.0, np.zeros(len(y)), np.random.default_rng(seed)
         for _ in range(EPOCHS):
             for i in rng.permutation(len(y)):
                 gradient = sign[i] * (w[x[i]] @ value[i] + bias) - 1
-                new = min(max(alpha[i] - gradient / 2.0, 0.0), cost[i])
+                new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
                 if step := (new - alpha[i]) * sign[i]:
                     w[x[i]] += step * value[i]
                     bias += step
                     alpha[i] = new
         self.bias = float(bias)
-        self.weights = {f: (float(w[i] * ratio[i]), float(ratio[i] ** 2)) for f, i in index.items()}
+        self._keep(keys, w * ratio, ratio**2)
 
-    def margin(self, found: set) -> float:
-        """Margin of a feature set; features that training didn't see count for nothing."""
-        hits = [self.weights[f] for f in found if f in self.weights]
-        if not hits:
+    def margin(self, found: np.ndarray) -> float:
+        """Margin of a feature array; features that training didn't see count for nothing."""
+        some = np.unique(found[self.sieve[found >> np.uint64(64 - _SIEVE_BITS)]])
+        if not len(some):
             return self.bias
-        # fsum: the order in which a set gives its members must not show in the score
-        return math.fsum(h[0] for h in hits) / (math.sqrt(math.fsum(h[1] for h in hits)) or 1.0) + self.bias
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        at = at[self.keys[at] == some]
+        return float(self.weight[at].sum() / (math.sqrt(self.square[at].sum()) or 1.0) + self.bias)
 
     def _calibrate(self, margins: np.ndarray, y: np.ndarray) -> None:
         """Logistic curve by Newton steps, with smoothed targets against certainty and a slope of 0 or more."""
@@ -148,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, where, id_col: str = "doc_id", tex
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # the sample is bounded by ``rows``, whatever the input, so it is what is sent to the documents
     found = texts.join(F.broadcast(sample), "id").orderBy("id", "y", "text").limit(2 * rows).collect()
-    return NaiveBayesSvm().fit([features(r["text"]) for r in found], [int(r["y"] == 1) for r in found], seed)
+    return NaiveBayesSvm().fit([np.unique(features(r["text"])) for r in found], [int(r["y"] == 1) for r in found], seed)
 
 
 def score(docs: DataFrame, model: NaiveBayesSvm, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", predict_at: float = PREDICT_AT) -> DataFrame:
