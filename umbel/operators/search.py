@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from umbel.functions.vectors import distance
+
 #: Query vectors held by every task at once; more are searched block by block.
 QUERY_BLOCK = 8192
 _ROWS = 4096
@@ -88,39 +90,44 @@ def projections(dimension: int, bits: int, seed: int = 0) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(bits, dimension))
 
 
-def sign_bits(df: DataFrame, directions: np.ndarray, vector_col: str = "vector") -> DataFrame:
-    """Adds bucket bigint: bit i is set if the vector lies on the positive side of direction i (63 bits at most)."""
-    if len(directions) > 63:
+def _bits(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    return ((x @ directions.T > 0).astype(np.int64) << np.arange(len(directions), dtype=np.int64)).sum(axis=1)
+
+
+def sign_buckets(df: DataFrame, tables: list[np.ndarray], vector_col: str = "vector") -> DataFrame:
+    """Adds buckets array<bigint>, one number per table: bit i is set if the vector lies on the positive side of direction i (63 bits at most)."""
+    if any(len(d) > 63 for d in tables):
         raise ValueError("63 bits at most")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b.column(b.num_columns - 1)) if b.num_rows else np.zeros((0, directions.shape[1]))
-            bits = ((x @ directions.T > 0).astype(np.int64) << np.arange(len(directions), dtype=np.int64)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(bits, pa.int64())], [f.name for f in out])
+            if b.num_rows:
+                x = matrix(b.column(b.num_columns - 1))
+                found = np.stack([_bits(x, d) for d in tables], axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, len(tables)), pa.int32()), pa.array(found.ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [f.name for f in out])
 
     body = df.where(F.col(vector_col).isNotNull())
-    out = body.withColumn("bucket", F.lit(0).cast("bigint")).schema
+    out = body.withColumn("buckets", F.array().cast("array<bigint>")).schema
     return body.withColumn("__v", F.col(vector_col).cast("array<double>")).mapInArrow(run, out)
 
 
+def sign_bits(df: DataFrame, directions: np.ndarray, vector_col: str = "vector") -> DataFrame:
+    """Adds bucket bigint, the number of a row in one table of directions."""
+    return sign_buckets(df, [directions], vector_col).withColumn("bucket", F.get("buckets", 0)).drop("buckets")
+
+
 def lsh_search(queries: DataFrame, index: DataFrame, k: int, tables: int = 4, bits: int = 8, dimension: int = 64, seed: int = 0, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(query, neighbour, distance, pos): nearest index rows among those that share a bucket in one of ``tables``.
 
     Buckets are an equi-join; a pair that meets in several tables is compared once. Queries without a
     candidate give one row of nulls.
     """
-    from umbel.functions.vectors import distance
+    directions = [projections(dimension, bits, seed + t) for t in range(tables)]
 
     def hashed(df: DataFrame, as_id: str, as_v: str) -> DataFrame:
-        out = []
-        for t in range(tables):
-            d = df.select(F.col(id_col).alias(as_id), F.col(vector_col).cast("array<double>").alias(as_v), F.lit(t).alias("table"))
-            out.append(sign_bits(d, projections(dimension, bits, seed + t), as_v))
-        result = out[0]
-        for o in out[1:]:
-            result = result.union(o)
-        return result
+        d = sign_buckets(df.select(F.col(id_col).alias(as_id), F.col(vector_col).cast("array<double>").alias(as_v)), directions, as_v)
+        return d.select(as_id, as_v, F.posexplode("buckets").alias("table", "bucket"))
 
     pairs = hashed(queries, "query", "qv").join(hashed(index, "neighbour", "iv"), ["table", "bucket"])
     once = pairs.groupBy("query", "neighbour").agg(F.first("qv").alias("qv"), F.first("iv").alias("iv"))

@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from umbel.session import ship
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -42,7 +44,7 @@ def query(name: str, sql: str | None = None):
     def put(f: Callable[[Tables], DataFrame]):
         if name in _QUERIES:
             raise ValueError(f"{name} is registered twice")
-        _QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        _QUERIES[name] = lambda spark, folder: f(Tables(ship(spark), folder))
         if sql:
             _SQL[name] = sql
         return f

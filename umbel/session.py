@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -22,4 +26,18 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
         b = b.master(master)
     for k, v in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+#: By application: the folder of the archive that was sent, which executors may fetch as long as it runs.
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once an application: their Python needs it wherever the driver found it."""
+    app, here = spark.sparkContext.applicationId, Path(__file__).resolve().parent
+    if app not in _shipped and here.is_dir():  # no folder: the package was itself imported from an archive
+        d = _shipped[app] = tempfile.TemporaryDirectory(prefix="umbel-package-")
+        shutil.copytree(here, f"{d.name}/tree/umbel", ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{d.name}/umbel-package", "zip", f"{d.name}/tree"))
+    return spark
