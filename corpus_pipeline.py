@@ -7,30 +7,36 @@ from pyspark.sql import functions as F
 
 from umbel.llm import exact_dedup, mixing, packing, quality_rules, simhash
 from umbel.llm.store import settle
+from umbel.session import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules."""
+    ship(spark)
     return quality_rules.keep_good(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
+    ship(spark)
     return exact_dedup.dedup(docs, exact_dedup.new_index(spark))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every class of near copies the document with the smallest id."""
+    ship(spark)
     return simhash.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    ship(spark)
     return mixing.take(docs, F.array("source"), mixing.cycling)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their places in sequences."""
+    ship(spark)
     packed = packing.pack_documents(docs)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

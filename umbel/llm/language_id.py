@@ -50,7 +50,7 @@ def _codes(data: np.ndarray, first: np.ndarray, end: np.ndarray, size: int) -> n
 
 
 class ByteNet:
-    """The network. ``fit`` trains on windows; ``predict`` reads pair tables that ``freeze`` makes of the filters."""
+    """The network. ``fit`` trains on windows; ``predict`` reads pair tables that ``freeze`` makes of the filters once."""
 
     def __init__(self, classes: list[str], seed: int = SEED, widths: tuple[int, ...] = WIDTHS, filters: int = FILTERS, embedding: int = EMBEDDING):
         rng = np.random.default_rng(seed)
@@ -64,6 +64,7 @@ class ByteNet:
 
     def fit(self, codes: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 4e-3) -> ByteNet:
         """Adam on the cross-entropy; only the winning position of a filter passes its gradient on."""
+        self.tables = {}
         p, d = self.p, self.p["e"].shape[1]
         m1, m2, t = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
         for _ in range(epochs):
@@ -103,6 +104,9 @@ class ByteNet:
                     p[k] -= rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)
         return self
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": {}}  # tasks get the parameters, some kilobytes, and make the tables themselves
+
     def freeze(self) -> ByteNet:
         """Tables from byte pairs to sums of filter taps, so that a filter of width w costs w/2 look-ups a position."""
         p, d = self.p, self.p["e"].shape[1]
@@ -117,6 +121,8 @@ class ByteNet:
 
     def predict(self, codes: np.ndarray) -> np.ndarray:
         """Probabilities of the classes for each window."""
+        if not self.tables:
+            self.freeze()
         out = np.empty((len(codes), len(self.p["b"])), np.float32)
         for i in range(0, len(codes), _BLOCK):
             x = codes[i : i + _BLOCK].astype(np.intp)
@@ -133,22 +139,27 @@ class ByteNet:
         return out
 
 
-def train(docs: DataFrame, where, text_col: str = "text", lang_col: str = "lang", seed: int = SEED, docs_per_lang: int = DOCS_PER_LANG) -> ByteNet:
+def train(docs: DataFrame, where, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = SEED, docs_per_lang: int = DOCS_PER_LANG) -> ByteNet:
     """A network learned from the rows of ``docs`` that satisfy ``where`` and have text and language.
 
-    Of each language about ``docs_per_lang`` documents are taken by a seeded hash of the text, which
-    bounds what the driver gets. Without such rows the network has no class.
+    Of each language about ``docs_per_lang`` documents are taken by a seeded hash of the id, which bounds
+    what the driver gets; languages are counted without reading texts. Rows without text teach nothing.
+    Without any the network has no class.
     """
-    rows = docs.where(where & F.col(lang_col).isNotNull() & (F.length(F.col(text_col)) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
+    rows = docs.where(where & F.col(lang_col).isNotNull())
+    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
     if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    net = ByteNet(sorted(counts), seed)
     if not counts:
-        return net
-    unit = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) / float(1 << 30)
+        return ByteNet([], seed)
+    key = F.xxhash64(F.lit(seed), F.col(id_col))
+    unit = F.pmod(key, F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_lang / n))])
-    sample = rows.where(unit < share[F.col("lang")]).orderBy(F.xxhash64(F.lit(seed), "text"), "lang").limit(2 * docs_per_lang * len(counts)).collect()
+    chosen = rows.where((unit < share[F.col(lang_col)]) & (F.col(text_col) != "")).select(key.alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = chosen.orderBy("key", "lang", "text").limit(2 * docs_per_lang * len(counts)).collect()
+    net = ByteNet(sorted({r["lang"] for r in sample}), seed)
+    if not sample:
+        return net
     index = {k: i for i, k in enumerate(net.classes)}
     codes, labels = [], []
     for r in sample:
@@ -161,7 +172,7 @@ def train(docs: DataFrame, where, text_col: str = "text", lang_col: str = "lang"
     lettered = _LETTER[x].sum(axis=1) > 16
     if lettered.any():
         x, y = x[lettered], y[lettered]
-    return net.fit(x, y).freeze()
+    return net.fit(x, y)
 
 
 def _score(net: ByteNet, text: pa.Array) -> tuple[list, list]:

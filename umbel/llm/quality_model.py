@@ -101,6 +101,13 @@ class NaiveBayesSvm:
         self.sieve = np.zeros(1 << _SIEVE_BITS, bool)
         self.sieve[keys >> np.uint64(64 - _SIEVE_BITS)] = True
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "sieve"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._keep(self.keys, self.weight, self.square)
+
     def fit(self, rows: list[np.ndarray], labels: list[int], seed: int = SEED) -> NaiveBayesSvm:
         """Fit on feature arrays and 0/1 labels. Without both classes the score is the smoothed share of label 1."""
         y = np.array(labels)

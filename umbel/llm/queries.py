@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from umbel.llm import exact_dedup, language_id, license_scan, mixing, packing, quality_model, quality_rules, sharding, simhash, tokens
 from umbel.llm.store import keyed_lookup, settle
+from umbel.session import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _remainder(id_col: str, n: int):
