@@ -19,7 +19,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
     ship(spark)
-    return exact_dedup.dedup(docs, exact_dedup.new_index(spark))
+    index = exact_dedup.new_index(spark)
+    kept = exact_dedup.dedup(docs, index)
+    index.close()  # decisions are settled; this run keeps no index
+    return kept
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

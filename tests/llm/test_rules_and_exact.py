@@ -100,7 +100,8 @@ def test_index_persists_and_appends(spark, odd, nothing, odd_rows, tmp_path):
     assert first.count() == distinct and set(first.columns) == set(odd.columns) and set(CLASHES) <= set(first.columns)
     assert exact_dedup.dedup(odd, exact_dedup.DigestIndex(spark, path, 4)).count() == 0
     assert exact_dedup.dedup(nothing, exact_dedup.DigestIndex(spark, path, 4)).count() == 0
-    index = exact_dedup.DigestIndex(spark, path, 4)
+    exact_dedup.DigestIndex(spark, path, 4).close()
+    index = exact_dedup.DigestIndex(spark, path, 4)  # found again by its path
     assert index.read().count() == distinct
     new = spark.createDataFrame([(1, "quite new"), (2, "quite new"), (3, "the same text for all of these rows " * 9)], "doc_id bigint, text string")
     new.write.parquet(str(tmp_path / "new"))

@@ -32,6 +32,10 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def close(self) -> None:
+        """Forget the table's name in this session; its files stay where they are."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def append(self, groups: DataFrame) -> int:
         """Append the groups whose digest the index lacks; returns how many were new.
 

@@ -23,6 +23,7 @@ MAX_TEMPLATES = 10_000
 
 #: Notices by which public licences are named or granted in texts.
 TEMPLATES = {
+    "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
@@ -35,10 +36,15 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met:"
     ),
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-4.0": "Licensed under CC BY 4.0.",
+    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-nc-nd-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-sa-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nd-4.0": "Licensed under CC BY-ND 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
     "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
@@ -189,8 +195,9 @@ class LicenseIndex:
     def scan(self, texts: list[str]) -> Iterator[tuple]:
         """(text number, name, coverage, matched, template words, word span, char span, text) of every match.
 
-        Of matches of one template on overlapping spans the one that covers most stays; all templates
-        that match a span are reported.
+        Of matches of one template on overlapping spans the one that covers most stays. A match goes
+        as a near miss if another template's on an overlapping span has no fewer equal words and a larger
+        share of them among the words of either side. Whole templates within others are reported with them.
         """
         for d, ids, found in self.candidates(texts):
             best: dict[int, list[tuple]] = defaultdict(list)
@@ -202,14 +209,21 @@ class LicenseIndex:
                 continue
             spans = [m.span() for m in _WORD.finditer(texts[d].lower())]
             safe = len(texts[d].lower()) == len(texts[d])  # lower() of a few letters has another length
+            kept: list[tuple[int, int, int, int]] = []
             for k in sorted(best):
                 taken: list[tuple[int, int]] = []
                 for n, a, b in sorted(best[k], key=lambda x: (-x[0], x[1])):
                     if all(b <= x or a >= y for x, y in taken):
                         taken.append((a, b))
-                        at = (spans[a][0], spans[b - 1][1])
-                        piece = (texts[d] if safe else texts[d].lower())[at[0] : at[1]]
-                        yield d, self.names[k], n / len(self.templates[k]), n, len(self.templates[k]), a, b, *at, piece
+                        kept.append((k, n, a, b))
+            for k, n, a, b in kept:
+                size = len(self.templates[k])
+                share = n / (size + b - a - n)
+                if any(m >= n and a < y and x < b and m / (len(self.templates[q]) + y - x - m) > share for q, m, x, y in kept):
+                    continue
+                at = (spans[a][0], spans[b - 1][1])
+                piece = (texts[d] if safe else texts[d].lower())[at[0] : at[1]]
+                yield d, self.names[k], n / size, n, size, a, b, *at, piece
 
 
 def scan(docs: DataFrame, index: LicenseIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

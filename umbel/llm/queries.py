@@ -33,7 +33,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that stays for its text."""
-    return exact_dedup.decide(_table(spark, sf_dir, "documents"), exact_dedup.new_index(spark)).drop("row_id")
+    index = exact_dedup.new_index(ship(spark))
+    decided = exact_dedup.decide(_table(spark, sf_dir, "documents"), index).drop("row_id")
+    index.close()  # decisions are settled; this run keeps no index
+    return decided
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
