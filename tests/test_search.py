@@ -168,6 +168,18 @@ def test_given_parts_are_kept(spark, clustered, model):
         LOPQModel(4, 4, 16).fit(frame(spark, clustered[:9]))
 
 
+def test_sums_of_many_tasks(spark, clustered, monkeypatch):
+    """Added in groups or by the driver alone, the sums are the same."""
+    from umbel.lopq import model as m
+
+    x = frame(spark, clustered).repartition(9).select(F.col("vector").alias("v"))
+    partial = lambda y: {"s": y.sum(axis=0), "o": y.T @ y}
+    alone = m._summed(x, partial)
+    monkeypatch.setattr(m, "SUM_TASKS", 2)
+    grouped = m._summed(x, partial)
+    assert np.allclose(alone["o"], clustered.T @ clustered) and all(np.allclose(alone[k], grouped[k]) for k in alone)
+
+
 def test_allocation_balances():
     values = np.array([8.0, 4.0, 2.0, 1.0, 0.5, 0.25, 0.0, 16.0])
     order = allocate(values, 4)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 #: Short codes of segmentation algorithms.
 ALGORITHMS = {"MorphologyIteration1": "MI1", "MorphologyIteration2": "MI2", "LineSegmentation": "LS", "MSER": "MSER", "MajorVoting": "MV"}
 APPROXIMATIONS = ("Contour", "Brect", "Rrect", "Hull", "HullApproximated")
-DATABASES = ("Enrollment", "PharmaPack_R_I_S1", "PharmaPack_R_I_S2", "PharmaPack_R_I_S3")
+DATABASES = ("enrollment", "recognition")
 ALIGNMENTS = ("NoAlignment", "Reference", "ToCorners")
 MODELS = ("Triplet", "Resnet50", "Siamese", "SimCLR", "Hash")
 DESCRIPTORS = ("AKAZE", "SIFT", "ORB", "BRISK", "KAZE")

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,9 @@ from umbel.operators.search import matrix
 
 #: Vectors that seed the centroids, at most.
 SEED_ROWS = 20_000
+#: Tasks whose sums the driver adds itself.
+SUM_TASKS = 64
+SUMS = "task int, name string, shape array<int>, values array<double>"
 STORE = "kind string, split int, idx int, shape array<int>, values array<double>"
 
 
@@ -81,8 +85,35 @@ def rotation(outer: np.ndarray, total: np.ndarray, n: int, buckets: int) -> tupl
     return vectors[:, allocate(values, buckets)].T, mean
 
 
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per (task, name) of rows that come sorted by both."""
+    at, shape, total = None, None, None
+    out: list[tuple] = []
+    for b in batches:
+        for r in b.to_pylist():
+            v = np.array(r["values"])
+            if (r["task"], r["name"]) == at:
+                total += v
+            else:
+                if at:
+                    out.append((*at, shape, total.tolist()))
+                at, shape, total = (r["task"], r["name"]), r["shape"], v
+    if at:
+        out.append((*at, shape, total.tolist()))
+        yield _sums_batch(out)
+
+
+def _sums_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["task", "name", "shape", "values"])
+
+
 def _summed(vectors: DataFrame, partial: Callable[[np.ndarray], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """Sums over all rows of what ``partial`` makes of a block; each task sends one row per name."""
+    """Sums over all rows of what ``partial`` makes of a block; each task sends one row per name.
+
+    Of more than SUM_TASKS tasks the sums are added in groups first, so that the driver gets at most that
+    many. Sums are added in the order of tasks, so reruns agree to the last digit.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -91,14 +122,15 @@ def _summed(vectors: DataFrame, partial: Callable[[np.ndarray], dict[str, np.nda
                 for k, v in partial(matrix(b.column(0))).items():
                     held[k] = held[k] + v if k in held else v.astype(np.float64)
         if held:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(held)), pa.array([list(v.shape) for v in held.values()], pa.list_(pa.int32())), pa.array([v.ravel().tolist() for v in held.values()], pa.list_(pa.float64()))],
-                ["name", "shape", "values"],
-            )
+            task = TaskContext.get().partitionId()
+            yield _sums_batch([(task, k, list(v.shape), v.ravel().tolist()) for k, v in held.items()])
 
-    sums = vectors.mapInArrow(run, "name string, shape array<int>, values array<double>")
+    sums = vectors.mapInArrow(run, SUMS)
+    if vectors.rdd.getNumPartitions() > SUM_TASKS:
+        grouped = sums.withColumn("part", F.col("task")).withColumn("task", F.col("task") % SUM_TASKS).repartition(SUM_TASKS, "task")
+        sums = grouped.sortWithinPartitions("task", "name", "part").drop("part").mapInArrow(_add, SUMS)
     out: dict[str, np.ndarray] = {}
-    for r in sums.toLocalIterator():  # one task's sums at a time
+    for r in sorted(sums.collect(), key=lambda r: (r["name"], r["task"])):
         v = np.array(r["values"]).reshape(r["shape"])
         out[r["name"]] = out[r["name"]] + v if r["name"] in out else v
     return out

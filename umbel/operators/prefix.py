@@ -14,8 +14,14 @@ def blocks(df: DataFrame, by: str, name: str = "block") -> DataFrame:
     """
     ranged = df.select(by).where(F.col(by).isNotNull()).repartitionByRange(F.col(by)).groupBy(F.spark_partition_id()).agg(F.min(by).alias("low"))
     lows = sorted(r["low"] for r in ranged.collect())
-    bounds = F.array(*[F.lit(x) for x in lows]) if lows else F.array()
-    block = F.size(F.filter(bounds, lambda x: x <= F.col(by))) if lows else F.lit(0)
+    if not lows:
+        return df.withColumn(name, F.lit(0))
+    # two short walks, over every step-th bound and then over the bounds between two of those
+    step, upto = max(1, round(len(lows) ** 0.5)), lambda xs: F.size(F.filter(xs, lambda x: x <= F.col(by)))
+    runs = [lows[i : i + step] for i in range(0, len(lows), step)]
+    outer = upto(F.array(*[F.lit(r[0]) for r in runs])) - 1
+    inner = upto(F.get(F.array(*[F.array(*map(F.lit, r)) for r in runs]), outer))
+    block = F.when(outer < 0, F.lit(0)).otherwise(outer * step + inner)
     return df.withColumn(name, F.when(F.col(by).isNull(), F.lit(0)).otherwise(block).cast("int"))
 
 

@@ -169,7 +169,7 @@ def c3(t: Tables) -> DataFrame:
 )
 def c26(t: Tables) -> DataFrame:
     """Attributes of recognition file names: the database's number is the first S and digit."""
-    p = F.format_string("PharmaPack_R_I_S%d_Ph%d_P%04d_D01_S%03d_C2_S1", 1 + F.col("p_size") % 3, 1 + F.col("p_size") % 3, (F.col("p_partkey") % 10000).cast("int"), F.col("p_size"))
+    p = F.format_string("Package_R_I_S%d_Ph%d_P%04d_D01_S%03d_C2_S1", 1 + F.col("p_size") % 3, 1 + F.col("p_size") % 3, (F.col("p_partkey") % 10000).cast("int"), F.col("p_size"))
     a = keys.attributes(p, "recognition")
     return t.part.select("p_partkey", *[c.alias("distinct_" if k == "distinct" else k) for k, c in a.items()])
 
