@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbel.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from umbel.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
 from umbel.llm.store import settle
 from umbel.session import ship
 
@@ -28,7 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every class of near copies the document with the smallest id."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return near_dedup.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,3 +138,75 @@ def test_spark_hash_is_the_same(spark):
     assert r["h"] % (1 << 64) == simhash.shingle_hashes("one two three", 3)[0]
 
 
+
+
+def plain_set(text, width=5):
+    w = (text or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split()
+    return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def plain_pairs(texts, similarity=0.8):
+    """Pairs of places whose sets are that similar, by counting what they share."""
+    sets, holders, common = [plain_set(t) for t in texts], {}, Counter()
+    for i, s in enumerate(sets):
+        for x in s:
+            for j in holders.setdefault(x, []):
+                common[j, i] += 1
+            holders[x].append(i)
+    return {(i, j) for (i, j), n in common.items() if n / (len(sets[i]) + len(sets[j]) - n) >= similarity}
+
+
+def plain_kept(rows):
+    """Smallest ids of the components of 3-word fingerprints within two bits and of similar sets."""
+    fps = np.array([plain_fingerprint(t) for _, t in rows], np.uint64)
+    close = {(i, i + 1 + int(j)) for i in range(len(rows)) for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 2)}
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in close | plain_pairs([t for _, t in rows]):
+        parent[root(j)] = root(i)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), d), d)
+    return sorted(least.values())
+
+
+def test_stage_reaches_similar_texts_of_the_table(spark, real):
+    import corpus_pipeline
+
+    rows = [(r[0], r[1]) for r in real]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").select("doc_id").collect()) == plain_kept(rows)
+
+
+@pytest.mark.parametrize(("pair_rows", "part_rows"), [(32, 1024), (3, 7)])
+def test_stage_against_all_pairs(spark, monkeypatch, tmp_path, pair_rows, part_rows):
+    """Copies with words changed, chains that drift away, buckets searched in both ways."""
+    from umbel.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "PAIR_ROWS", pair_rows)
+    monkeypatch.setattr(near_dedup, "PART_ROWS", part_rows)
+    rng = random.Random(13)
+    texts = []
+    for n in (60, 120, 400):
+        base = prose(rng, n).split()
+        for changes in [0, 1, 1, 2, 3, 5, 8] * 3:
+            w = list(base)
+            for _ in range(changes):
+                w[rng.randrange(n)] = f"zz{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+        for _ in range(25):
+            base[rng.randrange(n)] = f"yy{rng.randrange(10**6)}"
+            texts.append(" ".join(base))
+    texts += [texts[0].upper(), "one two", "One two", "three", *[prose(rng, 80) for _ in range(40)]]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    fps = [plain_fingerprint(t) for t in texts]
+    assert sum((fps[i] ^ fps[j]).bit_count() > 2 for i, j in plain_pairs(texts)) > 100
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one(docs).collect()) == plain_kept(rows)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbel.llm.graph import components
-from umbel.llm.store import drop_ids, fresh, settle
+from umbel.llm.store import drop_ids, fresh, row_number, settle
 
 BITS = 64
 SEED = 42
@@ -94,8 +94,8 @@ def text_fingerprints(texts: list[str | None], width: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id bigint, row_id bigint, fp bigint): the signed form of each row's fingerprint."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", row_id: str | None = None) -> DataFrame:
+    """(doc_id bigint, row_id bigint, fp bigint): the signed form of each row's fingerprint; ``row_id`` names a column of numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
             fp = np.concatenate([np.zeros(0, "<u8"), *(text_fingerprints(x.to_pylist(), width) for x in slices)]).view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "row_id", "fp"])
 
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_number(row_id).alias("row_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, "doc_id bigint, row_id bigint, fp bigint")
 
 
@@ -143,7 +143,7 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def classes(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text", row_id: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, row_id.
 
     component_id is the smallest id reachable over fingerprints of ``radius`` or fewer differing bits.
@@ -151,7 +151,7 @@ def classes(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc
     to the class that their fingerprint reaches; if no row of a class has an id, component_id is null.
     Repeated rows are equal members. An empty table gives no rows; other columns are ignored.
     """
-    fps = settle(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    fps = settle(fingerprints(docs, width, id_col, text_col, row_id), "fingerprints")
     nodes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("row_id").alias("node")), "nodes")
     labels = components(links(nodes, radius))
     found = settle(nodes.join(labels, "node", "left").select("fp", "doc_id", F.coalesce("label", "node").alias("label")), "labelled")

@@ -89,6 +89,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written once with a number for every row, and the number's column.
+
+    Numbers drawn in two scans differ when files are split otherwise the second time (as the number of
+    live cores changes); what is numbered here may be read as often as wanted.
+    """
+    rid = fresh(df, "row_id")
+    return settle(df.withColumn(rid, F.monotonically_increasing_id()), "numbered"), rid
+
+
+def row_number(row_id: str | None) -> "F.Column":
+    """The column ``row_id`` of a numbered table, or new numbers where there is none."""
+    return F.col(row_id) if row_id else F.monotonically_increasing_id()
+
+
 def words_column(text) -> "F.Column":
     """Array of the words of a text column; null and blank texts give an empty array."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANK_CHARS))
