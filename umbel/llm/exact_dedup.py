@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbel.llm.store import drop_ids, fresh, scratch_path, settle
+from umbel.llm.store import drop_ids, numbered, row_number, scratch_path, settle
 
 #: Rows of one digest from which its group is joined by broadcast; see ``decide``.
 HOT_ROWS = 256
@@ -55,18 +55,17 @@ def digest(text) -> "F.Column":
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def decide(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decide(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", row_id: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, row_id; appends to ``index``.
 
     Texts are equal when identical. Of equal texts in this batch the row with the largest id stays; if
     the index held the digest before, none stays and keep_id is the id recorded there. group_size
     counts the batch's rows and the rows recorded before. Null texts count as empty ones, null ids
     rank below all others; of wholly equal rows one stays. An empty table gives no rows. Other columns
-    are ignored. ``docs`` has to give the same rows in the same partitions each time (as a file scan).
+    are ignored. ``docs`` is read once; ``row_id`` names a column of numbers to use instead of new ones.
     """
     keyed = settle(
-        docs.select(F.col(id_col).cast("bigint").alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"))
-        .withColumn("row_id", F.monotonically_increasing_id()),
+        docs.select(F.col(id_col).cast("bigint").alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"), row_number(row_id).alias("row_id")),
         "digests",
     )
     groups = settle(
@@ -104,9 +103,9 @@ def decide(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col
 
 def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; ``index`` learns their digests. See ``decide``."""
-    gone = decide(docs, index, id_col, text_col).where(~F.col("kept")).select("row_id")
-    rid = fresh(docs, "row_id")
-    return drop_ids(docs.withColumn(rid, F.monotonically_increasing_id()), gone.withColumnRenamed("row_id", rid), rid).drop(rid)
+    docs, rid = numbered(docs)
+    gone = decide(docs, index, id_col, text_col, rid).where(~F.col("kept")).select("row_id")
+    return drop_ids(docs, gone.withColumnRenamed("row_id", rid), rid).drop(rid)
 
 
 def new_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:

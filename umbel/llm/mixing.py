@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from umbel.llm.store import fresh, keyed_lookup, settle, word_count
+from umbel.llm.store import fresh, keyed_lookup, numbered, row_number, settle, word_count
 
 SEED = 20240301
 #: Cost of a document's first, second and third copy, in order.
@@ -129,7 +129,7 @@ def cycling(names: list) -> list[int]:
     return [1 + i % 3 for i in range(len(names))]
 
 
-def mix(docs: DataFrame, sources, weigh=cycling, id_col: str = "doc_id", text_col: str = "text", most: int = 3, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, sources, weigh=cycling, id_col: str = "doc_id", text_col: str = "text", most: int = 3, seed: int = SEED, row_id: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, row_id, size, pattern (array of sources), copies, taken and
     targets (array of double, in the order of pattern).
 
@@ -139,10 +139,11 @@ def mix(docs: DataFrame, sources, weigh=cycling, id_col: str = "doc_id", text_co
     A document is taken whole, 0 to ``most`` times, and ``taken`` is copies * size. Rows of size 0 are
     taken as often as the fullest level of their pattern, at least once. Repeated rows and null ids are
     rows like others. An empty table gives no rows. Selection depends on rows, seed and nothing else.
+    ``row_id`` names a column of numbers to use instead of new ones.
     """
     sized = settle(
         docs.select(
-            F.col(id_col).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), word_count(F.col(text_col)).alias("size"),
+            F.col(id_col).cast("bigint").alias("doc_id"), row_number(row_id).alias("row_id"), word_count(F.col(text_col)).alias("size"),
             F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))).alias("pattern"),
             F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"),
         ),
@@ -250,8 +251,9 @@ def _cuts(heaps: DataFrame) -> DataFrame:
 
 def take(docs: DataFrame, sources, weigh=cycling, id_col: str = "doc_id", text_col: str = "text", most: int = 3, seed: int = SEED) -> DataFrame:
     """The rows of the mix with all columns of ``docs``: a row that is taken k times stands k times, others not at all."""
-    rid, copies = fresh(docs, "row_id"), fresh(docs, "copies")
-    chosen = mix(docs, sources, weigh, id_col, text_col, most, seed).select(F.col("row_id").alias(rid), F.col("copies").alias(copies))
+    columns, copies = docs.columns, fresh(docs, "copies")
+    docs, rid = numbered(docs)
+    chosen = mix(docs, sources, weigh, id_col, text_col, most, seed, rid).select(F.col("row_id").alias(rid), F.col("copies").alias(copies))
     chosen = settle(chosen.where(F.col(copies) > 0), "taken")
-    kept = docs.withColumn(rid, F.monotonically_increasing_id()).join(chosen.hint("merge"), rid)
-    return kept.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies)).select(*docs.columns)
+    kept = docs.join(chosen.hint("merge"), rid)
+    return kept.select(*columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies)).select(*columns)

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbel.llm.store import BLANK_CHARS, BLANKS, drop_ids, fresh, keyed_lookup, settle, words_column
+from umbel.llm.store import BLANK_CHARS, BLANKS, drop_ids, keyed_lookup, numbered, row_number, settle, words_column
 
 #: Relative error of a quantile.
 ALPHA = 0.01
@@ -165,17 +165,18 @@ def verdict() -> "F.Column":
     return ~bad
 
 
-def judge(docs: DataFrame, text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"), keep: tuple[str, ...] = ("doc_id",), row_id: str | None = None) -> DataFrame:
     """One row per row of ``docs``: the columns of ``keep``, COUNTS, base_failed, kept, row_id.
 
     Null texts have no words and fail. Null group values form groups of their own. An empty table gives
     no rows; repeated rows are judged alike; other columns are ignored. Texts are counted whole, once:
-    the counts are settled as a narrow table before thresholds are drawn from them.
+    the counts are settled as a narrow table before thresholds are drawn from them. ``row_id`` names a
+    column of numbers to use instead of new ones.
     """
     g = [f"g{i}" for i in range(len(groups))]
     narrow = docs.select(
         *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *[F.col(c).alias(a) for a, c in zip(g, groups, strict=True)],
-        F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row_id"),
+        F.col(text_col).alias("text"), row_number(row_id).alias("row_id"),
     )
     counts = settle(text_counts(narrow), "counts")
     limits = settle(thresholds(sketches(counts, g), g), "limits")
@@ -188,6 +189,6 @@ def judge(docs: DataFrame, text_col: str = "text", groups: tuple[str, ...] = ("l
 
 def keep_good(docs: DataFrame, text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    gone = judge(docs, text_col, groups, ()).where(~F.col("kept")).select("row_id")
-    rid = fresh(docs, "row_id")
-    return drop_ids(docs.withColumn(rid, F.monotonically_increasing_id()), gone.withColumnRenamed("row_id", rid), rid).drop(rid)
+    docs, rid = numbered(docs)
+    gone = judge(docs, text_col, groups, (), rid).where(~F.col("kept")).select("row_id")
+    return drop_ids(docs, gone.withColumnRenamed("row_id", rid), rid).drop(rid)

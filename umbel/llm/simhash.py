@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbel.llm.graph import components
-from umbel.llm.store import drop_ids, fresh, row_number, settle
+from umbel.llm.store import drop_ids, numbered, row_number, settle
 
 BITS = 64
 SEED = 42
@@ -164,10 +164,10 @@ def classes(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc
 
 def keep_one(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, the one with the smallest id (null ids last), with all columns of ``docs``."""
-    found = settle(classes(docs, radius, width, id_col, text_col), "classes")
+    docs, rid = numbered(docs)
+    found = settle(classes(docs, radius, width, id_col, text_col, rid), "classes")
     # min of a struct combines on the map side, so the size of a class does not matter
     first = found.groupBy("class_row").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_id")).alias("m"))
     stay = first.select(F.col("m.row_id").alias("row_id"))
     gone = found.select("row_id").join(stay.hint("merge"), "row_id", "left_anti")
-    rid = fresh(docs, "row_id")
-    return drop_ids(docs.withColumn(rid, F.monotonically_increasing_id()), gone.withColumnRenamed("row_id", rid), rid).drop(rid)
+    return drop_ids(docs, gone.withColumnRenamed("row_id", rid), rid).drop(rid)
