@@ -150,3 +150,17 @@ def test_stages_whose_files_are_split_otherwise_by_the_second_scan(spark, tmp_pa
     assert run(lambda d: exact_dedup.dedup(d, exact_dedup.new_index(spark))) == list(range(1, 80, 2))
     assert run(simhash.keep_one) == list(range(0, 80, 2))
     assert len(run(lambda d: mixing.take(d, F.array("source"), lambda names: [1] * len(names)))) == 80
+
+
+def test_numbers_are_unique_and_the_same_in_every_scan(spark, odd):
+    from umbel.llm.store import numbered
+
+    for table in (odd, odd.where("doc_id > 5"), odd.union(odd)):
+        docs, rid = numbered(table)
+        assert docs.columns == [*table.columns, rid]
+        seen = []
+        for n in ("1", "16"):
+            spark.conf.set("spark.sql.files.minPartitionNum", n)
+            seen.append({r[0]: r[1:] for r in docs.select(rid, "doc_id", "text").collect()})
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        assert seen[0] == seen[1] and len(seen[0]) == table.count()

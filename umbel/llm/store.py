@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,15 +91,32 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` written once with a number for every row, and the number's column.
+    """``df`` with a number for every row that is the same in all scans, and the number's column.
 
-    Numbers drawn in two scans differ when files are split otherwise the second time (as the number of
-    live cores changes); what is numbered here may be read as often as wanted.
+    monotonically_increasing_id differs between two scans when files are split otherwise the second time
+    (as the number of live cores changes). So rows of files are numbered by file and place in the file;
+    what is no plain scan of files with row indexes is written once with its numbers.
     """
     rid = fresh(df, "row_id")
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.nodeName().startswith("Relation") and _row_indexes(df):
+        meta, path = df.metadataColumn("_metadata"), fresh(df, "file_path")
+        names = sorted(r[0] for r in df.select(meta.getField("file_path").alias(path)).distinct().collect())
+        files = df.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "__path string, __file bigint")
+        rows = df.withColumns({path: meta.getField("file_path"), rid: meta.getField("row_index")})
+        rows = rows.join(F.broadcast(files), F.col(path) == F.col("__path"))
+        return rows.select(*df.columns, F.shiftleft("__file", 40).bitwiseOR(F.col(rid)).alias(rid)), rid
     return settle(df.withColumn(rid, F.monotonically_increasing_id()), "numbered"), rid
 
 
+def _row_indexes(df: DataFrame) -> bool:
+    """Can the files of this scan tell the place of a row?"""
+    try:
+        return "row_index" in df.select(df.metadataColumn("_metadata").alias("m")).schema["m"].dataType.names
+    except AnalysisException:
+        return False
+
+
 def row_number(row_id: str | None) -> "F.Column":
     """The column ``row_id`` of a numbered table, or new numbers where there is none."""
     return F.col(row_id) if row_id else F.monotonically_increasing_id()
