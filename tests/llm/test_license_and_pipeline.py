@@ -11,7 +11,7 @@ from umbel.llm import license_scan, mixing, queries
 from umbel.llm.license_scan import TEMPLATES, LicenseIndex, align, words
 
 from .conftest import SF, prose
-from .test_near import plain_classes, plain_fingerprint
+from .test_near import plain_classes, plain_fingerprint, plain_kept
 from .test_rules_and_exact import plain_counts
 from .test_tokens_and_packing import check_packed, reference  # noqa: F401
 
@@ -156,3 +156,25 @@ def test_pipeline_against_brute_force(spark, real, reference):  # noqa: F811
     text = {r[0]: r[1] for r in docs}
     used, least = check_packed(got, [(d, text[d]) for d, n in copies.items() for _ in range(n)], reference)
     assert used <= 1.02 * least + 1
+
+
+def test_mix_of_the_pipeline_after_similar_texts_went(spark, real):
+    """Targets of the mix from the documents that fingerprints and 5-word similarity leave."""
+    verdict = {r["doc_id"]: r["kept"] for r in queries.op2_quality_rules(spark, SF).collect()}
+    docs = [r for r in real if verdict[r[0]]]
+    last = {}
+    for r in docs:
+        last[r[1]] = max(last.get(r[1], -1), r[0])
+    docs = [r for r in docs if last[r[1]] == r[0]]
+    left = set(plain_kept([(r[0], r[1]) for r in docs]))
+    docs = [r for r in docs if r[0] in left]
+    copies = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, SF).where("piece = 0").collect())
+    assert set(copies) <= left and max(copies.values()) <= 3
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in docs:
+        sizes[r[3]] += plain_counts(r[1])[0]
+        taken[r[3]] += copies[r[0]] * plain_counts(r[1])[0]
+    names = sorted(sizes, key=str.encode)
+    goal = mixing.targets(dict(sizes), dict(zip(names, mixing.cycling(names), strict=True)))
+    for s in names:
+        assert abs(taken[s] - goal[s]) <= max(1, 0.001 * goal[s]), (s, taken[s], goal[s])
