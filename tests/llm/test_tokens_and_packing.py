@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from umbel.llm import packing, queries, tokens
-from umbel.llm.store import settle
+from umbel.llm.store import numbered, settle
 
 from .conftest import SF, prose
 
@@ -85,7 +85,7 @@ def check_packed(rows, docs, reference, capacity=2048):
 def test_contract(spark, real, reference):
     got = queries.op10_best_fit_packing(spark, SF).collect()
     used, least = check_packed(got, [(r[0], r[1]) for r in real], reference)
-    assert used <= 1.01 * least + 1
+    assert used <= 1.02 * least + 1  # what online packing in random order loses on 1000 documents
     assert Counter(map(tuple, got)) == Counter(map(tuple, queries.op10_best_fit_packing(spark, SF).collect()))
 
 
@@ -97,8 +97,9 @@ def test_odd(odd, nothing, odd_rows, reference):
 
 
 def test_sequences_round_trip(odd, odd_rows, reference):
-    packed = settle(packing.pack_documents(odd), "packed")
-    whole = {r["sequence_id"]: r["ids"] for r in packing.sequences(packed, odd).collect()}
+    rows, rid = numbered(odd)
+    packed = settle(packing.pack_documents(rows, row_id=rid), "packed")
+    whole = {r["sequence_id"]: r["ids"] for r in packing.sequences(packed, rows, rid).collect()}
     texts = Counter()
     by = defaultdict(list)
     for r in packed.collect():
@@ -128,6 +129,36 @@ class PlainBestFit:
         return f
 
 
+def test_open_bins_are_bounded_and_close(spark, real, reference):
+    """With few open bins the fullest close, and the packing stays whole and tight."""
+    lengths = [n for r in real for _, n in packing.cut(len(reference(r[1])) + 1)]
+    random.Random(5).shuffle(lengths)
+    fit, peak = packing.BestFit(bins=32), 0
+    for n in lengths:
+        fit.put(n)
+        peak = max(peak, fit.open)
+    assert fit.closed > 0 and peak == 32
+    assert fit.used <= 1.03 * -(-sum(lengths) // packing.CAPACITY)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = packing.pack(settle(packing.pieces(docs), "p"), bins=32).collect()
+    used, least = check_packed(rows, [(r[0], r[1]) for r in real], reference)
+    assert used <= 1.03 * least + 1
+
+
+def test_row_numbers_hold_when_files_are_split_otherwise(spark, tmp_path, reference):
+    spark.createDataFrame([(i, f"text {i} " * (i % 9)) for i in range(60)], "doc_id bigint, text string").repartition(5).write.parquet(str(tmp_path / "t"))
+    rows, rid = numbered(spark.read.parquet(str(tmp_path / "t")))
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        packed = settle(packing.pack_documents(rows, row_id=rid), "packed")
+        spark.conf.set("spark.sql.files.minPartitionNum", "16")
+        whole = {r["sequence_id"]: r["ids"] for r in packing.sequences(packed, rows, rid).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    for r in packed.collect():
+        assert whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == [*reference(f"text {r['doc_id']} " * (r["doc_id"] % 9)), 0]
+
+
 @pytest.mark.parametrize("bins", [1, 2, 5, 50])
 def test_best_fit_rules(bins):
     rng = random.Random(bins)

@@ -2,8 +2,8 @@
 
 The sketch of a metric is a set of counters over logarithmic buckets (relative error ``ALPHA``): adding
 two sketches is adding counters, so it is built by partial aggregation, one pass, in any order, and the
-sketches of small groups are merged into those of their language and of the whole. Counters are exact,
-so every rerun gives the same thresholds.
+sketches of a language and of the whole are merged from those of the groups. Counters are exact, so every
+rerun gives the same thresholds.
 """
 
 from __future__ import annotations
@@ -17,18 +17,23 @@ from umbel.llm.store import BLANK_CHARS, BLANKS, drop_ids, keyed_lookup, numbere
 
 #: Relative error of a quantile.
 ALPHA = 0.01
-#: A group with fewer sound rows than this takes its language's thresholds, then those of all rows.
-MIN_ROWS = 200
-#: A value is an outlier beyond the outer quartiles by this many spreads.
+#: The thresholds of a group of n sound rows weigh n / (n + SHRINK) against those of its language, and these likewise
+#: against those of all rows, so no row's verdict jumps as its group grows.
+SHRINK = 200
+#: A value is an outlier beyond the quantiles u and 1 - u by so many of their distances.
 FENCE = 3.0
-#: metric: (least spread, judged on the low side too). Values are per 1000 words. One passage that stands
-#: twice in a short sound text covers up to 45 % of its words, so the spread of repeats reaches beyond that.
+#: metric (a value per 1000 words): (u, units that are no distance yet, judged on the low side too). Junk may hold a share of 1 - u of
+#: a group's sound rows before the quantile itself gives way: a quarter for symbols and word lengths; repetition has a natural tail in
+#: sound texts, and texts that are mostly repeats fail the base rule, so there the tail itself is measured. A distance is at least
+#: that many counts in a text of the group's median length.
 METRICS = {
-    "symbols": (50.0, False),
-    "dup_lines": (100.0, False),
-    "repeats": (160.0, False),
-    "word_length": (500.0, True),
+    "symbols": (0.75, 1, False),
+    "dup_lines": (0.98, 1, False),
+    "repeats": (0.98, 3, False),
+    "word_length": (0.75, 1, True),
 }
+#: The sketch whose median gives the size of one count.
+LENGTH = "n_words"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -95,12 +100,13 @@ def bucket_value(b) -> "F.Column":
 
 
 def sketches(counts: DataFrame, groups: list[str]) -> DataFrame:
-    """(level, *groups, metric, bucket, n): the sketch of every metric for each group, first group column and all rows.
+    """(level, *groups, metric, bucket, n): the sketch of every metric and of n_words for each group, first group column and all rows.
 
     Only sound rows (not base_failed) are counted. Level 0 is the full group, higher levels drop group
     columns from the right; dropped columns are null.
     """
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(metric(m)).alias("bucket")) for m in METRICS])
+    values = {m: metric(m) for m in METRICS} | {LENGTH: F.col("n_words").cast("double")}
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(v).alias("bucket")) for m, v in values.items()])
     long = counts.where(~base_failed()).select(*groups, F.explode(pairs).alias("x")).select(*groups, "x.*")
     finest = settle(long.groupBy(*groups, "metric", "bucket").agg(F.count("*").alias("n")), "sketch")
     out = finest.select(F.lit(0).alias("level"), *groups, "metric", "bucket", "n")
@@ -114,15 +120,15 @@ def sketches(counts: DataFrame, groups: list[str]) -> DataFrame:
 def thresholds(sketch: DataFrame, groups: list[str]) -> DataFrame:
     """One row per group of level 0: *groups and low_<metric>, high_<metric>.
 
-    A group with fewer than MIN_ROWS sound rows takes the thresholds of the next level that has as many,
-    in the end those of all rows, however few.
+    Each level's own thresholds are drawn from its sketch; then those of a group are weighed against the
+    next level's, from the level of all rows downwards (see SHRINK).
     """
     by = ["level", *groups, "metric"]
     runs = sketch.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("runs"), F.sum("n").alias("total"))
     # the number of buckets of a metric is bounded by the width of its values' logarithm, so the lists are short
 
-    def quantile(q: float):
-        least = F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("total"))).cast("bigint")
+    def quantile(q):
+        least = F.greatest(F.lit(1), F.ceil(q * F.col("total"))).cast("bigint")
         walk = F.aggregate(
             "runs",
             F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("at")),
@@ -131,34 +137,41 @@ def thresholds(sketch: DataFrame, groups: list[str]) -> DataFrame:
         )
         return bucket_value(walk)
 
-    spread_least = F.create_map(*[x for m, (least, _) in METRICS.items() for x in (F.lit(m), F.lit(least))])
-    q = runs.select(*by, "total", quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
-    q = q.withColumn("spread", F.greatest(F.col("q3") - F.col("q1"), spread_least[F.col("metric")]))
-    wide = q.groupBy("level", *groups).agg(
-        F.max("total").alias("total"),
-        *[F.max(F.when(F.col("metric") == m, F.col("q3") + FENCE * F.col("spread"))).alias(f"high_{m}") for m in METRICS],
-        *[F.max(F.when(F.col("metric") == m, F.col("q1") - FENCE * F.col("spread"))).alias(f"low_{m}") for m, (_, low) in METRICS.items() if low],
-    )
-    limits = [c for c in wide.columns if c.startswith(("high_", "low_"))]
-    wide = settle(wide, "levels")
-    out = wide.where("level = 0").select(*groups, F.col("total").alias("rows"), F.struct("total", *limits).alias("l0"))
+    def of_metric(values: dict[str, float]):
+        return F.create_map(*[x for m, v in values.items() for x in (F.lit(m), F.lit(v))])[F.col("metric")]
+
+    upper = of_metric({m: u for m, (u, _, _) in METRICS.items()} | {LENGTH: 0.5})
+    lower = of_metric({m: 1 - u for m, (u, _, _) in METRICS.items()} | {LENGTH: 0.5})
+    q = runs.select(*by, "total", quantile(upper).alias("u"), quantile(lower).alias("l"))
+    at = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    wide = q.groupBy("level", *groups).agg(F.max("total").alias("total"), at(LENGTH, "u").alias("words"), *[at(m, c).alias(f"{c}_{m}") for m in METRICS for c in "ul"])
+    limits = {}
+    for m, (_, units, low) in METRICS.items():
+        spread = F.greatest(F.col(f"u_{m}") - F.col(f"l_{m}"), F.lit(1000.0 * units) / F.col("words"))
+        limits[f"high_{m}"] = F.col(f"u_{m}") + FENCE * spread
+        if low:
+            limits[f"low_{m}"] = F.col(f"l_{m}") - FENCE * spread
+    wide = settle(wide.select("level", *groups, "total", *[v.alias(k) for k, v in limits.items()]), "levels")
+    out = wide.where("level = 0").select(*groups, F.struct("total", *limits).alias("l0"))
     for level in range(1, len(groups)):
         kept = groups[: len(groups) - level]
-        at = wide.where(F.col("level") == level).select(*[F.col(k).alias(f"k_{k}") for k in kept], F.struct("total", *limits).alias(f"l{level}"))
-        out = out.join(at, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in kept], "left").drop(*[f"k_{k}" for k in kept])
+        at_level = wide.where(F.col("level") == level).select(*[F.col(k).alias(f"k_{k}") for k in kept], F.struct("total", *limits).alias(f"l{level}"))
+        out = out.join(at_level, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in kept], "left").drop(*[f"k_{k}" for k in kept])
     if groups:  # the level of all rows is one row, so its few numbers go into the plan
         top = wide.where(F.col("level") == len(groups)).select("total", *limits).first()
         values = [F.lit(top[c] if top else None).cast("bigint" if c == "total" else "double").alias(c) for c in ("total", *limits)]
         out = out.withColumn(f"l{len(groups)}", F.struct(*values))
-    levels = [F.when(F.col(f"l{i}.total") >= MIN_ROWS, F.col(f"l{i}")) for i in range(len(groups) + 1)]
-    chosen = F.coalesce(*levels, F.col(f"l{len(groups)}"))
-    return out.withColumn("t", chosen).select(*groups, *[F.col(f"t.{c}").alias(c) for c in limits])
+    chosen = {c: F.col(f"l{len(groups)}.{c}") for c in limits}
+    for level in reversed(range(len(groups))):
+        n = F.col(f"l{level}.total").cast("double")
+        chosen = {c: (n * F.col(f"l{level}.{c}") + SHRINK * v) / (n + SHRINK) for c, v in chosen.items()}
+    return out.select(*groups, *[v.alias(c) for c, v in chosen.items()])
 
 
 def verdict() -> "F.Column":
     """True if no metric is beyond its group's thresholds; rows without thresholds pass."""
     bad = F.lit(False)
-    for m, (_, low) in METRICS.items():
+    for m, (_, _, low) in METRICS.items():
         bad = bad | F.coalesce(metric(m) > F.col(f"high_{m}"), F.lit(False))
         if low:
             bad = bad | F.coalesce(metric(m) < F.col(f"low_{m}"), F.lit(False))

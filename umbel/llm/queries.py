@@ -32,18 +32,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the one that stays for its text."""
+    """Every document with the one that stays for its text; two batches, larger ids first, go through one index."""
     index = exact_dedup.new_index(ship(spark))
-    decided = exact_dedup.decide(_table(spark, sf_dir, "documents"), index).drop("row_id")
+    decided = exact_dedup.decide(_table(spark, sf_dir, "documents"), index, parts=2).drop("row_id")
     index.close()  # decisions are settled; this run keeps no index
     return decided
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document."""
-    docs = _table(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs, F.array("source"), mixing.cycling)
-    mixed = settle(mixed.select("doc_id", "size", F.col("pattern")[0].alias("source"), "taken", F.col("targets")[0].alias("target")), "mix")
+    """Words that the mix takes of every document; texts that stand in several sources are offered by all of them."""
+    mixed = settle(mixing.mix(_table(spark, sf_dir, "documents"), F.col("source"), mixing.cycling), "mix")
     sizes = settle(mixed.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
     return keyed_lookup(mixed, sizes, ["source"], "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
@@ -114,12 +112,17 @@ def _sql_quality() -> str:
     blank = r"[\x20\x09-\x0D]+"
     parts = {"symbols": "n_symbols", "dup_lines": "n_dup_lines", "repeats": "n_repeat_words", "word_length": "word_chars"}
     value = {m: f"CASE WHEN n_words > 0 THEN 1000.0::DOUBLE * {c} / n_words ELSE 0.0::DOUBLE END" for m, c in parts.items()}
-    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {_sql_bucket(v)} AS bucket FROM counted WHERE NOT base_failed" for m, v in value.items())
-    least = " ".join(f"WHEN '{m}' THEN {a}" for m, (a, _) in quality_rules.METRICS.items())
+    length = quality_rules.LENGTH
+    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {_sql_bucket(v)} AS bucket FROM counted WHERE NOT base_failed" for m, v in [*value.items(), (length, "n_words::DOUBLE")])
+    upper = " ".join(f"WHEN '{m}' THEN {u}::DOUBLE" for m, u in [*((m, x[0]) for m, x in quality_rules.METRICS.items()), (length, 0.5)])
+    lower = " ".join(f"WHEN '{m}' THEN {1 - u!r}::DOUBLE" for m, u in [*((m, x[0]) for m, x in quality_rules.METRICS.items()), (length, 0.5)])
+    units = " ".join(f"WHEN '{m}' THEN {1000.0 * n}::DOUBLE" for m, (_, n, _) in quality_rules.METRICS.items())
     center = f"CASE WHEN bucket = 0 THEN 0.0::DOUBLE ELSE 2 * pow({gamma!r}::DOUBLE, bucket - 1) / {gamma + 1!r}::DOUBLE END"
+    shrink = lambda own, rest: f"(({own}.total::DOUBLE) * {own}.%s + {quality_rules.SHRINK} * {rest}) / ({own}.total::DOUBLE + {quality_rules.SHRINK})"
+    chosen = ", ".join(f"{shrink('a', '(' + shrink('b', 'c.' + x) + ')').replace('%s', x)} AS {x}" for x in ("high", "low"))
     bad = " OR ".join(
         [f"({value[m]}) > (SELECT high FROM chosen c WHERE c.lang IS NOT DISTINCT FROM d.lang AND c.source IS NOT DISTINCT FROM d.source AND c.metric = '{m}')" for m in parts]
-        + [f"({value[m]}) < (SELECT low FROM chosen c WHERE c.lang IS NOT DISTINCT FROM d.lang AND c.source IS NOT DISTINCT FROM d.source AND c.metric = '{m}')" for m, (_, low) in quality_rules.METRICS.items() if low]
+        + [f"({value[m]}) < (SELECT low FROM chosen c WHERE c.lang IS NOT DISTINCT FROM d.lang AND c.source IS NOT DISTINCT FROM d.source AND c.metric = '{m}')" for m, (_, _, low) in quality_rules.METRICS.items() if low]
     )
     return rf"""
 WITH split AS (
@@ -145,17 +148,17 @@ sketch AS (
   UNION ALL SELECT 2, NULL, NULL, metric, bucket, count(*) FROM long GROUP BY metric, bucket),
 run AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM sketch),
-quart AS (
+tails AS (
   SELECT level, lang, source, metric, any_value(total) AS total,
-         min(CASE WHEN seen >= greatest(1, ceil(0.25 * total)) THEN bucket END) AS b1, min(CASE WHEN seen >= greatest(1, ceil(0.75 * total)) THEN bucket END) AS b3
+         min(CASE WHEN seen >= greatest(1, ceil((CASE metric {upper} END) * total)) THEN bucket END) AS bu, min(CASE WHEN seen >= greatest(1, ceil((CASE metric {lower} END) * total)) THEN bucket END) AS bl
   FROM run GROUP BY level, lang, source, metric),
-q AS (SELECT level, lang, source, metric, total, {center.replace('bucket', 'b1')} AS q1, {center.replace('bucket', 'b3')} AS q3 FROM quart),
-fence AS (
-  SELECT *, q3 + {quality_rules.FENCE} * greatest(q3 - q1, CASE metric {least} END) AS high, q1 - {quality_rules.FENCE} * greatest(q3 - q1, CASE metric {least} END) AS low FROM q),
+q AS (SELECT level, lang, source, metric, total, {center.replace('bucket', 'bu')} AS u, {center.replace('bucket', 'bl')} AS l FROM tails),
+spread AS (
+  SELECT q.*, greatest(q.u - q.l, (CASE q.metric {units} END) / w.u) AS d FROM q JOIN q w
+  ON w.metric = '{length}' AND q.metric <> '{length}' AND w.level = q.level AND w.lang IS NOT DISTINCT FROM q.lang AND w.source IS NOT DISTINCT FROM q.source),
+fence AS (SELECT *, u + {quality_rules.FENCE} * d AS high, l - {quality_rules.FENCE} * d AS low FROM spread),
 chosen AS (
-  SELECT a.lang, a.source, a.metric,
-         CASE WHEN a.total >= {quality_rules.MIN_ROWS} THEN a.high WHEN b.total >= {quality_rules.MIN_ROWS} THEN b.high ELSE c.high END AS high,
-         CASE WHEN a.total >= {quality_rules.MIN_ROWS} THEN a.low WHEN b.total >= {quality_rules.MIN_ROWS} THEN b.low ELSE c.low END AS low
+  SELECT a.lang, a.source, a.metric, {chosen}
   FROM fence a JOIN fence b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM a.lang AND b.metric = a.metric JOIN fence c ON c.level = 2 AND c.metric = a.metric
   WHERE a.level = 0)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT coalesce({bad}, false)) AS kept FROM counted d

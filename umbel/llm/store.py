@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 #: Rows below which a side that was counted may be broadcast (ids and a few numbers each).
 BROADCAST_ROWS = 200_000
 
+#: Rows of one group from which it is joined by broadcast, and how many such groups there can be; see ``by_group``.
+HOT_ROWS = 256
+HOT_GROUPS = 100_000
+
 #: Words are runs of anything but the six ASCII blanks.
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
@@ -54,6 +58,18 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` to ``groups``, one settled row per ``key`` with its number of rows in ``size``, of ``total`` in all.
+
+    A key with a large share of the rows would fill one task of a shuffled join. Groups above the bound
+    number HOT_GROUPS at most, whatever the input, so these go by broadcast and the rest by merge.
+    """
+    bound = max(HOT_ROWS, total // HOT_GROUPS)
+    hot = F.broadcast(groups.where(F.col(size) > bound))
+    cold = groups.where(F.col(size) <= bound)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold.hint("merge"), key))
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True if ``df`` (best a settled table) has at most ``rows`` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows
@@ -99,7 +115,7 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """
     rid = fresh(df, "row_id")
     plan = df._jdf.queryExecution().analyzed()
-    if plan.nodeName().startswith("Relation") and _row_indexes(df):
+    if plan.nodeName() == "LogicalRelation" and _row_indexes(df):
         meta, path = df.metadataColumn("_metadata"), fresh(df, "file_path")
         names = sorted(r[0] for r in df.select(meta.getField("file_path").alias(path)).distinct().collect())
         files = df.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "__path string, __file bigint")
