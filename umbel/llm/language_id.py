@@ -19,10 +19,10 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
-#: The training sample: about so many documents of each language, chosen by a seeded hash, and windows of each.
-DOCS_PER_LANG = 1500
-WINDOWS_PER_DOC = 3
+#: The training sample: all windows of about so many documents of each language, chosen by a seeded hash.
+DOCS_PER_LANG = 700
 EPOCHS = 3
+#: Languages that are learned: those with most documents.
 MAX_LANGS = 1000
 NO_LANGUAGE = "und"
 _BLOCK = 64
@@ -139,17 +139,17 @@ class ByteNet:
         return out
 
 
-def train(docs: DataFrame, where, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = SEED, docs_per_lang: int = DOCS_PER_LANG) -> ByteNet:
+def train(docs: DataFrame, where, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = SEED, docs_per_lang: int = DOCS_PER_LANG, max_langs: int = MAX_LANGS) -> ByteNet:
     """A network learned from the rows of ``docs`` that satisfy ``where`` and have text and language.
 
-    Of each language about ``docs_per_lang`` documents are taken by a seeded hash of the id, which bounds
-    what the driver gets; languages are counted without reading texts. Rows without text teach nothing.
-    Without any the network has no class.
+    Of each of the ``max_langs`` most frequent languages about ``docs_per_lang`` documents are taken by a
+    seeded hash of the id, which bounds what the driver gets, and all windows of these are learned from;
+    languages are counted without reading texts. Rows without text teach nothing. Without any the network
+    has no class.
     """
     rows = docs.where(where & F.col(lang_col).isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    counted = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    counts = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     if not counts:
         return ByteNet([], seed)
     key = F.xxhash64(F.lit(seed), F.col(id_col))
@@ -165,9 +165,8 @@ def train(docs: DataFrame, where, id_col: str = "doc_id", text_col: str = "text"
     for r in sample:
         data = np.frombuffer(r["text"].encode("utf-8", "surrogatepass"), np.uint8)
         _, first, end = windows(data, np.array([0]), np.array([len(data)]))
-        pick = net.rng.permutation(len(first))[:WINDOWS_PER_DOC]
-        codes.append(_codes(data, first[pick], end[pick], WINDOW))
-        labels += [index[r["lang"]]] * len(pick)
+        codes.append(_codes(data, first, end, WINDOW))
+        labels += [index[r["lang"]]] * len(first)
     x, y = np.concatenate(codes), np.array(labels)
     lettered = _LETTER[x].sum(axis=1) > 16
     if lettered.any():

@@ -7,6 +7,7 @@ turns margins into scores.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -30,8 +31,12 @@ PREDICT_AT = 0.3
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 #: Tokens that a worker remembers the hashes of, before it starts anew.
 _REMEMBERED = 1 << 18
+#: Texts that are Python objects at once.
+_SLICE_ROWS = 256
+#: Tokens that are worked on at once.
+_BLOCK_TOKENS = 1 << 17
 #: Top bits of a feature by which most of those outside the model are told apart without a search.
-_SIEVE_BITS = 22
+_SIEVE_BITS = 24
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -58,8 +63,9 @@ class _Tokens:
     def hashes(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.ids) > _REMEMBERED:
             self.__init__()
-        get, add = self.ids.get, self._add
-        at = np.fromiter((get(t) or add(t) for t in tokens), np.intp, len(tokens))
+        at = np.fromiter(map(self.ids.get, tokens, itertools.repeat(0)), np.intp, len(tokens))
+        for i in np.flatnonzero(at == 0).tolist():
+            at[i] = self.ids.get(tokens[i]) or self._add(tokens[i])
         return self.hash[0, at], self.hash[1, at]
 
 
@@ -73,6 +79,58 @@ def _joined(kind: int, *parts: np.ndarray) -> np.ndarray:
     return (out ^ (out >> np.uint64(32))) * _C
 
 
+def _grams(h: np.ndarray, s: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, their documents) of runs of tokens by their hashes; no gram spans two documents."""
+    two, three = doc[:-1] == doc[1:], doc[:-2] == doc[2:]
+    yield _joined(1, h), doc
+    yield _joined(2, h[:-1][two], h[1:][two]), doc[1:][two]
+    yield _joined(3, s[:-1][two], s[1:][two]), doc[1:][two]
+    yield _joined(4, s[:-2][three], s[1:-1][three], s[2:][three]), doc[2:][three]
+    again = np.unique(doc[1:][two & (h[:-1] == h[1:])])
+    yield _joined(6, np.ones(len(again), np.uint64)), again
+
+
+def batch_features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, numbers of their texts) of whole texts, in parts of bounded size; see ``features``.
+
+    Texts are tokenised together, up to some _BLOCK_TOKENS tokens a part; a longer text takes several
+    parts, each of which begins with the last two tokens of the one before.
+    """
+    counts = np.zeros(len(texts), np.int64)
+    tokens: list[str] = []
+    docs: list[int] = []
+    lengths: list[int] = []
+
+    def part():
+        h, s = _tokens.hashes(tokens)
+        yield from _grams(h, s, np.repeat(np.array(docs, np.int64), lengths))
+        tokens.clear(), docs.clear(), lengths.clear()
+
+    for i, text in enumerate(texts):
+        if len(text or "") <= _BLOCK_TOKENS:
+            found = _TOKEN.findall(text or "")
+            counts[i] = len(found)
+            tokens += found
+            docs.append(i)
+            lengths.append(len(found))
+        else:
+            yield from part()
+            one = (m.group() for m in _TOKEN.finditer(text))
+            last: list[str] = []
+            while block := list(itertools.islice(one, _BLOCK_TOKENS)):
+                counts[i] += len(block)
+                tokens += last + block
+                docs.append(i)
+                lengths.append(len(tokens))
+                last = tokens[-2:]
+                yield from part()
+        if len(tokens) > _BLOCK_TOKENS:
+            yield from part()
+    yield from part()
+    sizes = np.array([int(n).bit_length() for n in counts], np.uint64)
+    yield _joined(5, sizes), np.arange(len(texts))
+
+
 def features(text: str | None) -> np.ndarray:
     """The n-gram features of one whole text as 64-bit hashes, with repeats; indicators are its distinct values.
 
@@ -80,13 +138,7 @@ def features(text: str | None) -> np.ndarray:
     triples of their shapes (lower, upper, title, digits, or the signs themselves), a mark for a token
     that follows itself, and the magnitude of the number of tokens, so that an empty text has one too.
     """
-    tokens = _TOKEN.findall(text or "")
-    h, s = _tokens.hashes(tokens)
-    size = np.array([len(tokens).bit_length()], np.uint64)
-    parts = [_joined(1, h), _joined(2, h[:-1], h[1:]), _joined(3, s[:-1], s[1:]), _joined(4, s[:-2], s[1:-1], s[2:]), _joined(5, size)]
-    if (h[:-1] == h[1:]).any():
-        parts.append(_joined(6, np.ones(1, np.uint64)))
-    return np.concatenate(parts)
+    return np.concatenate([f for f, _ in batch_features([text])])
 
 
 class NaiveBayesSvm:
@@ -156,14 +208,33 @@ class NaiveBayesSvm:
         self.bias = float(bias)
         self._keep(keys, w * ratio, ratio**2)
 
+    def _known(self, found: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Codes (document * number of keys + key) of the features that training saw, with repeats."""
+        some = self.sieve[found >> np.uint64(64 - _SIEVE_BITS)]
+        found, doc = found[some], doc[some]
+        at = np.minimum(np.searchsorted(self.keys, found), max(0, len(self.keys) - 1))
+        hit = self.keys[at] == found if len(self.keys) else np.zeros(0, bool)
+        return doc[hit] * len(self.keys) + at[hit]
+
+    def _margins(self, codes: np.ndarray, n: int) -> np.ndarray:
+        codes = np.sort(codes)
+        codes = codes[np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]])]
+        doc, at = np.divmod(codes, max(1, len(self.keys)))
+        total, square = np.bincount(doc, self.weight[at], n), np.bincount(doc, self.square[at], n)
+        return total / np.where(square > 0, np.sqrt(square), 1.0) + self.bias
+
     def margin(self, found: np.ndarray) -> float:
         """Margin of a feature array; features that training didn't see count for nothing."""
-        some = np.unique(found[self.sieve[found >> np.uint64(64 - _SIEVE_BITS)]])
-        if not len(some):
-            return self.bias
-        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
-        at = at[self.keys[at] == some]
-        return float(self.weight[at].sum() / (math.sqrt(self.square[at].sum()) or 1.0) + self.bias)
+        return float(self._margins(self._known(found, np.zeros(len(found), np.int64)), 1)[0])
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """0 to 1 for each whole text, higher: label 1 likelier."""
+        if self.slope == 0:
+            z = np.full(len(texts), self.shift)
+        else:
+            codes = np.concatenate([self._known(found, doc) for found, doc in batch_features(texts)])
+            z = self.slope * self._margins(codes, len(texts)) + self.shift
+        return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
     def _calibrate(self, margins: np.ndarray, y: np.ndarray) -> None:
         """Logistic curve by Newton steps, with smoothed targets against certainty and a slope of 0 or more."""
@@ -183,15 +254,17 @@ class NaiveBayesSvm:
         self.slope, self.shift = float(a), float(b)
 
     def score(self, text: str | None) -> float:
-        """0 to 1, higher: label 1 likelier."""
-        z = self.shift if self.slope == 0 else self.slope * self.margin(features(text)) + self.shift
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
+        """The score of one text."""
+        return float(self.scores([text])[0])
 
 
 def train(docs: DataFrame, labels: DataFrame, where, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, seed: int = SEED) -> NaiveBayesSvm:
     """A model from at most ``rows`` labelled documents whose labels satisfy ``where``; null labels and ids are left out."""
     known = labels.where(where & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    sample = known.orderBy(F.xxhash64(F.lit(seed), "id"), "id", "y").limit(rows)
+    # a share of the hashes that holds somewhat more than ``rows``, so that no task sorts or sends more than its part of them
+    h, n = F.xxhash64(F.lit(seed), "id"), known.count()
+    share = F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.2 * (rows + 50) / max(1, n)))
+    sample = known.where(share).orderBy(h, "id", "y").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # the sample is bounded by ``rows``, whatever the input, so it is what is sent to the documents
     found = texts.join(F.broadcast(sample), "id").orderBy("id", "y", "text").limit(2 * rows).collect()
@@ -206,9 +279,11 @@ def score(docs: DataFrame, model: NaiveBayesSvm, keep: tuple[str, ...] = ("doc_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = [model.score(x.as_py()) for x in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array([int(x >= predict_at) for x in s], pa.int32())], [f.name for f in out])
+        for whole in batches:
+            for i in range(0, whole.num_rows, _SLICE_ROWS):
+                b = whole.slice(i, _SLICE_ROWS)
+                s = model.scores(b.column(b.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= predict_at).astype(np.int32))], [f.name for f in out])
 
     narrow = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
     out = narrow.drop("text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema

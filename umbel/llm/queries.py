@@ -17,8 +17,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _remainder(id_col: str, n: int):
-    """crc32 of an id as text, modulo ``n``."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+    """crc32 of an id as text, modulo ``n``; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from umbel.llm.store import keyed_lookup, settle
+from umbel.llm.store import by_group, is_small, keyed_lookup, numbered, settle
+from umbel.operators import prefix
 
 SEED = 20240229
-#: A bucket holds about so many rows, and so many bytes of text if texts are carried; the rule that gives more buckets holds.
-BUCKET_ROWS = 8192
+#: A bucket holds about so many bytes of the carried columns; each row counts ROW_BYTES more for what holds it in memory.
 BUCKET_BYTES = 64 << 20
+ROW_BYTES = 128
+#: There are as many buckets at least, while each gets BUCKET_ROWS rows, so that tables of few bytes use all cores.
+LEAST_BUCKETS = 256
+BUCKET_ROWS = 8192
+#: Rows of one stretch of the input in which repeated rows are numbered together, as a power of two.
+_STRETCH = 20
 
 
 def text_bytes(text) -> "F.Column":
@@ -28,6 +34,37 @@ def text_crc(text) -> "F.Column":
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def _row_bytes(docs: DataFrame, columns: list[str]) -> "F.Column":
+    """About the bytes of the columns of a row."""
+    size = F.lit(ROW_BYTES)
+    for c in columns:
+        kind = docs.schema[c].dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind in ("array", "struct", "variant"):
+            size = size + F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
+        else:
+            size = size + 16
+    return size.cast("bigint")
+
+
+def _repeats(hashed: DataFrame) -> DataFrame:
+    """(row_id, number): numbers from 1 up for the second and further rows of each hash; ``hashed`` is settled, with row_id and h.
+
+    A hash may have a third of all rows, so rows are numbered within stretches of the input first, and the
+    stretches of a hash are summed up after. The numbers of a hash have no gaps, however the table is stored.
+    """
+    repeated = settle(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    rows = by_group(hashed, repeated, "h", "n", hashed.count()).select("h", "row_id", F.shiftright("row_id", _STRETCH).alias("stretch"))
+    rows = settle(rows, "repeated-rows")
+    counts = rows.groupBy("h", "stretch").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("h").orderBy("stretch")) - F.col("rows")
+    counts = settle(counts.select("h", "stretch", before.alias("before")), "stretches")
+    inside = rows.withColumn("number", F.row_number().over(Window.partitionBy("h", "stretch").orderBy("row_id")) - 1)
+    numbered_rows = inside.join(counts, ["h", "stretch"]).select("row_id", (F.col("before") + F.col("number")).alias("number"))
+    return settle(numbered_rows.where("number > 0"), "numbers")
+
+
 def shuffled(
     docs: DataFrame,
     shards: int = 8,
@@ -41,30 +78,37 @@ def shuffled(
     """``columns`` (default: all) of the rows of ``docs`` in a seeded random order, cut into shards: adds shard int and slot bigint.
 
     Law ``rows``: shard sizes are at most one apart; a shard holds a run of the global order, and slot
-    counts within it from 0 without gaps. Rows are scattered by a hash of seed, id and text, so a source
-    or a group of equal texts with a large share of the rows is spread evenly over buckets and shards.
-    Null ids and texts hash like values; repeated rows get places of their own (rows with
-    the same id and text share a bucket); an empty table gives no rows. Added columns that clash with one of ``columns`` replace it. The order depends on rows and seed
-    alone, not on how the table is stored. Columns have to be orderable (no maps).
+    counts within it from 0 without gaps. Rows are scattered by a hash of seed, id and text, and rows that
+    repeat both by their number among these, so a source, a group of equal texts or a repeated row with a
+    large share of the rows is spread evenly over buckets and shards. Null ids and texts hash like values;
+    repeated rows get places of their own; an empty table gives no rows. Added columns that clash with one
+    of ``columns`` replace it. The order depends on rows and seed alone, not on how the table is stored
+    (but for rows of equal id and text that differ otherwise, whose order among themselves follows it). Columns have to be orderable (no maps); ids may have any type that can be hashed.
     """
     columns = [c for c in columns or docs.columns if c.lower() not in ("shard", "slot")]
     names = [f"c{i}" for i in range(len(columns))]
-    tagged = docs.select(
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"),
-        F.struct(text_bytes(F.col(text_col)).alias("size"), *[F.col(c).alias(a) for a, c in zip(names, columns, strict=True)]).alias("x"),
-    )
-    carried = text_col in columns
-    if not carried:  # narrow rows: read the texts once
-        tagged = settle(tagged, "tagged")
-    rows, size = tagged.agg(F.count("*"), F.coalesce(F.sum("x.size"), F.lit(0))).first()
+    docs, rid = numbered(docs)
+    carried = F.struct(*[F.col(c).alias(a) for a, c in zip(names, columns, strict=True)])
+    tagged = docs.select(F.col(rid).alias("row_id"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"), _row_bytes(docs, columns).alias("size"), carried.alias("x"))
+    if text_col in columns:  # keep the texts out of what is counted
+        hashed = settle(tagged.drop("x"), "hashed")
+    else:  # narrow rows: read the texts once
+        tagged = hashed = settle(tagged, "tagged")
+    rows, size = hashed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     rows = max(rows, 1)
-    buckets = max(-(-rows // bucket_rows), -(-size // bucket_bytes) if carried else 1)
-    tagged = tagged.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
+    buckets = max(-(-size // bucket_bytes), min(-(-rows // bucket_rows), LEAST_BUCKETS), 1)
+    bucket = F.pmod("h", F.lit(buckets)).cast("int").alias("bucket")
+    numbers = _repeats(hashed)
+    again = F.xxhash64("h", "number")
+    if numbers.limit(1).count():
+        numbers = F.broadcast(numbers) if is_small(numbers) else numbers.hint("merge")
+        spread = lambda d: d.join(numbers, "row_id", "left").withColumn("h", F.when(F.col("number") > 0, again).otherwise(F.col("h")))
+        hashed, tagged = spread(hashed), spread(tagged)
     # first places: one row a bucket
-    sizes = tagged.groupBy("bucket").agg(F.count("*").alias("n"))
-    firsts = settle(sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("first")), "bucket-firsts")
+    sizes = settle(hashed.groupBy(bucket).agg(F.count("*").alias("n")), "bucket-sizes")
+    firsts = settle(prefix.running(sizes, "bucket", {"end": "n"}).select("bucket", (F.col("end") - F.col("n")).alias("first")), "bucket-firsts")
     # pass one: partition number = bucket number
-    scattered = tagged.select("bucket", F.struct("h", "x").alias("r")).repartitionById(buckets, F.col("bucket"))
+    scattered = tagged.select(bucket, F.struct("h", "x").alias("r")).repartitionById(buckets, F.col("bucket"))
     # pass two: a fixed order, then Fisher-Yates; its generator starts from seed + partition number, so each bucket has its own
     listed = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list("r")).alias("rs"))
     drawn = listed.select("bucket", F.posexplode(F.shuffle("rs", F.lit(seed))).alias("place", "r"))

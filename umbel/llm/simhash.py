@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbel.llm.graph import components
-from umbel.llm.store import drop_ids, numbered, row_number, settle
+from umbel.llm.store import by_group, drop_ids, numbered, row_number, settle
 
 BITS = 64
 SEED = 42
@@ -149,15 +149,17 @@ def classes(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc
     component_id is the smallest id reachable over fingerprints of ``radius`` or fewer differing bits.
     Null and blank texts have fingerprint zero and are linked like any other. Rows with a null id belong
     to the class that their fingerprint reaches; if no row of a class has an id, component_id is null.
-    Repeated rows are equal members. An empty table gives no rows; other columns are ignored.
+    Repeated rows are equal members. Ids are whole numbers. An empty table gives no rows; other columns
+    are ignored.
     """
     fps = settle(fingerprints(docs, width, id_col, text_col, row_id), "fingerprints")
-    nodes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("row_id").alias("node")), "nodes")
+    nodes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("row_id").alias("node"), F.count("*").alias("n")), "nodes")
     labels = components(links(nodes, radius))
-    found = settle(nodes.join(labels, "node", "left").select("fp", "doc_id", F.coalesce("label", "node").alias("label")), "labelled")
+    found = settle(nodes.join(labels, "node", "left").select("fp", "doc_id", "n", F.coalesce("label", "node").alias("label")), "labelled")
     least = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_fp = settle(found.join(least, "label").select("fp", "component_id", "label"), "by-fingerprint")
-    return fps.join(by_fp, "fp").select(
+    by_fp = settle(found.join(least, "label").select("fp", "component_id", "label", "n"), "by-fingerprint")
+    # fingerprint zero, or that of a large group of copies, may have a third of all rows
+    return by_group(fps, by_fp, "fp", "n", fps.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row_id", F.col("label").alias("class_row")
     )
 
