@@ -23,9 +23,9 @@ from umbel.operators.search import matrix
 
 #: Vectors that seed the centroids, at most.
 SEED_ROWS = 20_000
-#: Tasks whose sums the driver adds itself.
+#: Groups of tasks whose sums are added first.
 SUM_TASKS = 64
-SUMS = "task int, name string, shape array<int>, values array<double>"
+SUMS = "task int, name string, shape array<int>, values binary"
 STORE = "kind string, split int, idx int, shape array<int>, values array<double>"
 
 
@@ -88,31 +88,29 @@ def rotation(outer: np.ndarray, total: np.ndarray, n: int, buckets: int) -> tupl
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per (task, name) of rows that come sorted by both."""
     at, shape, total = None, None, None
-    out: list[tuple] = []
     for b in batches:
         for r in b.to_pylist():
-            v = np.array(r["values"])
+            v = np.frombuffer(r["values"])
             if (r["task"], r["name"]) == at:
-                total += v
+                total = total + v
             else:
                 if at:
-                    out.append((*at, shape, total.tolist()))
+                    yield _sums_batch([(*at, shape, total.tobytes())])
                 at, shape, total = (r["task"], r["name"]), r["shape"], v
     if at:
-        out.append((*at, shape, total.tolist()))
-        yield _sums_batch(out)
+        yield _sums_batch([(*at, shape, total.tobytes())])
 
 
 def _sums_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64()))
+    kinds = (pa.int32(), pa.string(), pa.list_(pa.int32()), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["task", "name", "shape", "values"])
 
 
 def _summed(vectors: DataFrame, partial: Callable[[np.ndarray], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """Sums over all rows of what ``partial`` makes of a block; each task sends one row per name.
+    """Sums over all rows of what ``partial`` makes of a block; each task sends one row of bytes per name.
 
-    Of more than SUM_TASKS tasks the sums are added in groups first, so that the driver gets at most that
-    many. Sums are added in the order of tasks, so reruns agree to the last digit.
+    The sums of tasks are added in groups and then by name on executors, so that the driver gets one row
+    per name, whatever the table. Sums are added in the order of tasks, so reruns agree to the last digit.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,17 +121,14 @@ def _summed(vectors: DataFrame, partial: Callable[[np.ndarray], dict[str, np.nda
                     held[k] = held[k] + v if k in held else v.astype(np.float64)
         if held:
             task = TaskContext.get().partitionId()
-            yield _sums_batch([(task, k, list(v.shape), v.ravel().tolist()) for k, v in held.items()])
+            for k, v in held.items():
+                yield _sums_batch([(task, k, list(v.shape), v.tobytes())])
 
     sums = vectors.mapInArrow(run, SUMS)
-    if vectors.rdd.getNumPartitions() > SUM_TASKS:
-        grouped = sums.withColumn("part", F.col("task")).withColumn("task", F.col("task") % SUM_TASKS).repartition(SUM_TASKS, "task")
+    for groups in (SUM_TASKS, 1) if vectors.rdd.getNumPartitions() > SUM_TASKS else (1,):
+        grouped = sums.withColumn("part", F.col("task")).withColumn("task", F.col("task") % groups).repartition("task", "name")
         sums = grouped.sortWithinPartitions("task", "name", "part").drop("part").mapInArrow(_add, SUMS)
-    out: dict[str, np.ndarray] = {}
-    for r in sorted(sums.collect(), key=lambda r: (r["name"], r["task"])):
-        v = np.array(r["values"]).reshape(r["shape"])
-        out[r["name"]] = out[r["name"]] + v if r["name"] in out else v
-    return out
+    return {r["name"]: np.frombuffer(r["values"]).reshape(r["shape"]) for r in sums.collect()}
 
 
 def _lloyd(vectors: DataFrame, split: Callable[[np.ndarray], list[np.ndarray]], seeds: list[np.ndarray], rounds: int) -> tuple[list[np.ndarray], float]:
@@ -191,7 +186,11 @@ class LOPQModel:
         ``sample`` is the share of rows that train the subquantizers; seeds come from SEED_ROWS rows at most.
         """
         rows = df.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).cast("array<double>").alias("v"))
-        few = matrix(rows.orderBy(F.xxhash64(F.lit(seed), "v")).limit(SEED_ROWS).toArrow().column("v").combine_chunks())
+        # a share of the hashes that holds somewhat more than SEED_ROWS, so that no task sorts or sends more than its part of them
+        h = F.xxhash64(F.lit(seed), "v")
+        share = min(1.0, 1.2 * SEED_ROWS / max(1, rows.count()))
+        few = rows.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(h).limit(SEED_ROWS)
+        few = matrix(few.toArrow().column("v").combine_chunks())
         if len(few) < max(self.V, self.S):
             raise ValueError(f"{len(few)} vectors are too few for V={self.V}, S={self.S}")
         if few.shape[1] % self.M:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,6 +63,25 @@ def cells_to_quota(cells: DataFrame, index: DataFrame, quota: int) -> DataFrame:
     return kept.withColumn("visited", F.count("*").over(Window.partitionBy("query")))
 
 
+def share_quota(index: DataFrame, share: float) -> int:
+    """The quota that visits a share of the index rows, whatever their number."""
+    return max(1, math.ceil(share * index.count()))
+
+
+def reranked(found: DataFrame, queries: DataFrame, vectors: DataFrame, limit: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """(query, neighbour, distance, pos): the ``limit`` nearest of what ``search`` found, by true squared distances to the rows' vectors.
+
+    What was found is a bounded number of rows a query, so the vectors of these rows alone are joined.
+    """
+    q = queries.select(F.col(id_col).alias("query"), F.col(vector_col).cast("array<double>").alias("qv"))
+    x = vectors.select(F.col(id_col).alias("neighbour"), F.col(vector_col).cast("array<double>").alias("xv"))
+    pairs = found.where("neighbour IS NOT NULL").select("query", "neighbour").join(x, "neighbour").join(q, "query")
+    near = pairs.select("query", "neighbour", squared_distance(F.col("qv"), F.col("xv")).alias("distance"))
+    order = Window.partitionBy("query").orderBy("distance", "neighbour")
+    best = near.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
+    return q.select("query").join(best, "query", "left")
+
+
 def search(queries: DataFrame, index: DataFrame, model: LOPQModel, quota: int = 20, limit: int | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(query, neighbour, distance, pos, visited): the ``limit`` (default: quota) nearest rows by code, pos from 1.
 

@@ -2,22 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbel.operators.frames import numeric_columns
 
-#: ``median`` is exact and holds a group's distinct values; ``median_sketch`` is bounded, off by one rank in 10,000 at most.
-AGGREGATES = {
-    "mean": F.avg, "median": F.median, "median_sketch": lambda c: F.percentile_approx(c, 0.5, 10_000), "std": F.stddev_samp, "var": F.var_samp, "sum": F.sum, "min": F.min,
-}
+#: ``median`` is exact, by ``medians``; ``median_sketch`` is bounded, off by one rank in 10,000 at most.
+AGGREGATES = {"mean": F.avg, "median_sketch": lambda c: F.percentile_approx(c, 0.5, 10_000), "std": F.stddev_samp, "var": F.var_samp, "sum": F.sum, "min": F.min}
+#: Parts in which a sketch brackets the middle of a group.
+_ACCURACY = 10_000
+
+
+def medians(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, column_median for each): exact medians of keys that are not null, without a task that holds a group's values.
+
+    A sketch brackets the middle of every group; values outside the bracket are counted, and only those
+    within, some thousandths, are ordered, one row for each different value.
+    """
+    cast = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
+    d = rows.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *cast)
+    names, each = [f"k{i}" for i in range(len(keys))], range(len(columns))
+    around = F.array(F.lit(0.5 - 4 / _ACCURACY), F.lit(0.5 + 4 / _ACCURACY))
+    bounds = d.groupBy(*names).agg(*[F.percentile_approx(f"v{i}", around, _ACCURACY).alias(f"b{i}") for i in each])
+    near = d.join(bounds, names)
+    long = near.select(*names, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v"), F.col(f"b{i}").alias("b")) for i in each])).alias("x")).where("x.v IS NOT NULL")
+    # a value below the bracket counts as the one just below it, a value above as one above
+    low, high = F.col("x.b")[0], F.col("x.b")[1]
+    side = F.when(F.col("x.v") < low, -1).when(F.col("x.v") > high, 1).otherwise(0)
+    counts = long.groupBy(*names, F.col("x.i").alias("i"), side.alias("side"), F.when(side == 0, F.col("x.v")).alias("v")).agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*names, "i")
+    placed = counts.select("*", F.sum("n").over(group).alias("total"), F.sum("n").over(group.orderBy("side", "v")).alias("end"))
+    holds = lambda rank: (F.col("end") > rank) & (F.col("end") - F.col("n") <= rank)
+    lower, upper = F.expr("(total - 1) DIV 2"), F.expr("total DIV 2")
+    middle = placed.groupBy(*names, "i").agg(F.max(F.when(holds(lower), F.col("v"))).alias("l"), F.max(F.when(holds(upper), F.col("v"))).alias("u"))
+    found = middle.withColumn("m", (F.col("l") + F.col("u")) / 2)
+    wide = found.groupBy(*names).agg(*[F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"{c}_median") for i, c in enumerate(columns)])
+    return wide.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], *[f"{c}_median" for c in columns])
 
 
 def describe_groups(df: DataFrame, keys: list[str], how: list[str], columns: list[str] | None = None) -> DataFrame:
     """Statistics of all (or given) numeric columns per key, named column_statistic; rows with a null key are left out."""
     columns = columns or [c for c in numeric_columns(df) if c not in keys]
     rows = df.dropna(subset=keys)
-    return rows.groupBy(*keys).agg(*[AGGREGATES[h](c).alias(f"{c}_{h}") for c in columns for h in how])
+    rest = [h for h in how if h != "median"]
+    out = rows.groupBy(*keys).agg(F.count("*").alias("__n"), *[AGGREGATES[h](c).alias(f"{c}_{h}") for c in columns for h in rest])
+    if "median" in how:
+        out = out.join(medians(rows, keys, columns), keys, "left")
+    return out.select(*keys, *[f"{c}_{h}" for c in columns for h in how])
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:

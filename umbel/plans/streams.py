@@ -46,10 +46,10 @@ def t4(t: Tables) -> DataFrame:
 @query("t5_first_write_wins", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
 def t5(t: Tables) -> DataFrame:
     """Of the rows of a key the first stays, whichever batch brings more; files hold runs of ids."""
-    src, out = t.scratch("events"), t.scratch("store")
+    src, out, state = t.scratch("events"), t.scratch("store"), t.scratch("state")
     half = t.events.agg(F.expr("(min(event_id) + max(event_id)) DIV 2")).first()[0]
     rows = t.events.select("user_id", "event_id")
-    for side in (F.col("event_id") <= half, F.col("event_id") > half):
-        rows.where(side).coalesce(1).write.mode("append").parquet(src)
-    ingest.run(ingest.table_stream(t.spark, src, rows.schema), ingest.insert_once(out, ["user_id"], ["event_id"]), t.scratch("state"))
+    for side in (F.col("event_id") <= half, F.col("event_id") > half):  # what arrives between two runs is one batch
+        rows.where(side).write.mode("append").parquet(src)
+        ingest.run(ingest.table_stream(t.spark, src, rows.schema, 1_000_000), ingest.insert_once(out, ["user_id"], ["event_id"]), state)
     return t.spark.read.parquet(out).select("user_id", "event_id")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,45 +37,82 @@ def encode(x: np.ndarray, kind: str = "f") -> bytes:
     return np.concatenate([head, body.view(np.uint8).reshape(len(body), -1)], axis=1).tobytes()
 
 
-def read(spark: SparkSession, path: str, kind: str = "f") -> DataFrame:
-    """(path, n, vector array<double>): all vectors of all files, n from 0 within a file. A file is read by one task."""
+def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path that all machines reach, and the path in it."""
+    path = re.sub(r"^file:/+", "/", path)
+    return (pyarrow.fs.LocalFileSystem(), path) if path.startswith("/") else pyarrow.fs.FileSystem.from_uri(path)
+
+
+def read(spark: SparkSession, path: str, kind: str = "f", whole_bytes: int = 256 << 20) -> DataFrame:
+    """(path, n, vector array<double>): all vectors of all files, n from 0 within a file.
+
+    A file of up to ``whole_bytes`` bytes is read by one task; a larger one by runs of vectors of about
+    that size, each in a task of its own.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for p, data in zip(f["path"], f["content"], strict=True):
-                x = decode(bytes(data), kind)
-                for i in range(0, len(x), 4096):
-                    part = x[i : i + 4096]
-                    yield pd.DataFrame({"path": p, "n": np.arange(i, i + len(part)), "vector": list(part)})
+                yield from _frames(p, decode(bytes(data), kind), 0)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, n bigint, vector array<double>")
+    def _frames(p: str, x: np.ndarray, first: int) -> Iterator[pd.DataFrame]:
+        for i in range(0, len(x), 4096):
+            part = x[i : i + 4096]
+            yield pd.DataFrame({"path": p, "n": np.arange(first + i, first + i + len(part)), "vector": list(part)})
+
+    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for p, length in zip(f["path"], f["length"], strict=True):
+                fs, at = _store(p)
+                with fs.open_input_file(at) as file:
+                    row = 4 + int(np.frombuffer(file.read(4), "<u4")[0]) * np.dtype(KINDS[kind]).itemsize
+                step = max(1, whole_bytes // row)
+                starts = np.arange(0, -(-length // row), step)
+                yield pd.DataFrame({"path": p, "first": starts, "row": row, "bytes": np.minimum(length - starts * row, step * row)})
+
+    def ranged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for p, first, row, n in f.itertuples(index=False):
+                fs, at = _store(p)
+                with fs.open_input_file(at) as file:
+                    file.seek(first * row)
+                    yield from _frames(p, decode(file.read(n), kind), first)
+
+    schema = "path string, n bigint, vector array<double>"
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= whole_bytes).select("path", "content").mapInPandas(run, schema)
+    large = files.where(F.col("length") > whole_bytes).select("path", "length")
+    if not large.limit(1).count():
+        return small
+    parts = large.mapInPandas(runs, "path string, first bigint, row bigint, bytes bigint")
+    return small.union(parts.repartition("path", "first").mapInPandas(ranged, schema))
 
 
 def write(df: DataFrame, folder: str, order: str, vector_col: str = "vector", kind: str = "f") -> None:
-    """One file per partition, part-00000 and on, in the order of a column; partitions are ranges of it."""
+    """One file per partition, part-00000 and on, in the order of a column; partitions are ranges of it.
+
+    Every task writes its own file in ``folder``, which all machines reach: first under a name of its own
+    attempt, then renamed, so a task that runs again replaces its file by an equal one.
+    """
     from pyspark import TaskContext
 
+    fs, root = _store(folder)
+    fs.create_dir(root)
     ranged = df.select(F.col(order).alias("o"), F.col(vector_col).cast("array<double>").alias("v")).repartitionByRange("o").sortWithinPartitions("o")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = _store(folder)
+        out, rows = None, 0
+        name = f"{root}/part-{TaskContext.get().partitionId():05d}.{kind}vecs"
+        attempt = f"{root}/.{uuid.uuid4().hex}"
         for f in frames:
             if len(f):
-                yield pd.DataFrame({"p": [TaskContext.get().partitionId()], "first": [f["o"].iloc[0]], "data": [encode(np.array(f["v"].tolist()), kind)]})
-
-    kind_of = dict(ranged.dtypes)["o"]
-    blocks = ranged.mapInPandas(run, f"p int, first {kind_of}, data binary")
-    # the writer of binary files is the cluster's file system itself, by the driver, a partition's blocks at a time
-    spark = df.sparkSession
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(root)
-    out, at = None, None
-    for r in blocks.orderBy("p", "first").toLocalIterator():
-        if r["p"] != at:
-            if out is not None:
-                out.close()
-            at = r["p"]
-            out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-{at:05d}.{kind}vecs"), True)
-        out.write(bytearray(r["data"]), 0, len(r["data"]))
-    if out is not None:
-        out.close()
+                out = out or fs.open_output_stream(attempt)
+                out.write(encode(np.array(f["v"].tolist()), kind))
+                rows += len(f)
+        if out:
+            out.close()
+            fs.move(attempt, name)
+        yield pd.DataFrame({"rows": [rows]})
+
+    ranged.mapInPandas(run, "rows bigint").agg(F.sum("rows")).collect()
