@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from umbel.llm import exact_dedup, quality_rules, queries
+from umbel.llm import exact_dedup, quality_rules, queries, store
 from umbel.llm.store import keyed_lookup, settle
 
 from .conftest import CLASHES, SF
@@ -111,8 +112,70 @@ def test_index_persists_and_appends(spark, odd, nothing, odd_rows, tmp_path):
     assert "Bucketed: true" in plan or "Bucketed" in plan
 
 
+def _table(spark, tmp_path, name, rows):
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / name))
+    return spark.read.parquet(str(tmp_path / name))
+
+
+def test_batches_are_counted_and_the_first_owns(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "i"), 4)
+    sizes = []
+    for i, n in enumerate((1, 5, 2)):
+        got = exact_dedup.decide(_table(spark, tmp_path, f"b{i}", [(100 * i + j, "same") for j in range(n)]), index).collect()
+        sizes.append({(r["group_size"], r["keep_id"]) for r in got})
+        assert sum(r["kept"] for r in got) == (i == 0)
+    assert sizes == [{(1, 0)}, {(6, 0)}, {(8, 0)}]
+    index.compact(7)
+    assert (index.generation, index.buckets) == (1, 7) and [tuple(r)[1:] for r in index.read().collect()] == [(0, 8)]
+    index.close()
+    again = exact_dedup.DigestIndex(spark, str(tmp_path / "i"), 64)  # the index's own number of buckets holds
+    assert (again.generation, again.buckets) == (1, 7) and again.records().count() == 3
+    files = {f for (f,) in again.records().select(F.input_file_name()).distinct().collect()}
+    assert len(files) == 1  # three records of one digest: one bucket, one file
+
+
+def test_a_batch_that_runs_again_decides_as_before(spark, tmp_path, monkeypatch):
+    rows = [(i, f"t{i % 7}") for i in range(40)] + [(None, "t1"), (None, None), (50, "")]
+    docs, index = _table(spark, tmp_path, "d", rows), exact_dedup.DigestIndex(spark, str(tmp_path / "i"), 4)
+    first = sorted(map(repr, exact_dedup.decide(docs, index, batch="monday").collect()))
+    assert sorted(map(repr, exact_dedup.decide(docs, index, batch="monday").collect())) == first  # the run died after it had recorded
+    assert index.records().count() == 8
+    # the run died when half of its records were there
+    half = exact_dedup.DigestIndex(spark, str(tmp_path / "h"), 4)
+    write = half._write
+    monkeypatch.setattr(half, "_write", lambda rows: write(rows.orderBy("text_sha256").limit(3)))
+    exact_dedup.decide(docs, half, batch="monday")
+    monkeypatch.undo()
+    assert half.records().count() == 3
+    assert sorted(map(repr, exact_dedup.decide(docs, half, batch="monday").collect())) == first
+    # without the name it is another batch
+    assert not any(r["kept"] for r in exact_dedup.decide(docs, index).collect())
+
+
+def test_parts_give_what_one_batch_gives(spark, tmp_path):
+    rows = [(i * 7 % 100, f"t{i % 13}") for i in range(100)] + [(None, "t1"), (None, None), (None, None), (500, "")]
+    docs = _table(spark, tmp_path, "d", rows)
+    runs = []
+    for parts in (1, 2, 5):
+        got = exact_dedup.decide(docs, exact_dedup.new_index(spark, 4), parts=parts).drop("row_id").collect()
+        runs.append(sorted(map(repr, got)))
+        assert sum(r["kept"] for r in got) == 14
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_indexes_do_not_mix(spark, tmp_path):
+    a, b = (exact_dedup.DigestIndex(spark, str(tmp_path / x), 4) for x in "ab")
+    docs = _table(spark, tmp_path, "d", [(1, "x")])
+    assert exact_dedup.decide(docs, a).first()["kept"] and exact_dedup.decide(docs, b).first()["kept"]
+    b.close()
+    spark.sql(f"CREATE TABLE {b.table} (text_sha256 STRING) USING parquet CLUSTERED BY (text_sha256) INTO 4 BUCKETS LOCATION '{tmp_path / 'elsewhere'}'")
+    with pytest.raises(ValueError, match="stands at"):
+        exact_dedup.DigestIndex(spark, str(tmp_path / "b"), 4)
+    spark.sql(f"DROP TABLE {b.table}")
+
+
 def test_hot_groups_take_the_other_branch(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 5)
+    monkeypatch.setattr(store, "HOT_ROWS", 5)
     rows = [(i, "hot" if i % 3 == 0 else f"t{i % 50}") for i in range(300)]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "t"))
     got = exact_dedup.decide(spark.read.parquet(str(tmp_path / "t")), exact_dedup.new_index(spark, 4)).collect()

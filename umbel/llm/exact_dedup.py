@@ -73,28 +73,28 @@ class DigestIndex:
         """(text_sha256, keep_id, n_rows): every digest with its id and all rows recorded; buckets hold whole digests, so nothing is shuffled."""
         return self.records().groupBy("text_sha256").agg(F.max(F.when(F.col("owner"), F.col("keep_id"))).alias("keep_id"), F.sum("n_rows").alias("n_rows"))
 
-    def append(self, groups: DataFrame, batch: str) -> DataFrame:
+    def append(self, groups: DataFrame, batch: str, again: bool = True) -> DataFrame:
         """Record the settled ``groups`` (text_sha256, keep_id, n_rows, ...) of ``batch``; returns those that it owns.
 
-        The index side of the anti-joins is read by bucket and sorted within files, so only the groups are shuffled.
+        The index side of the anti-joins is read by bucket and sorted within files, so only the groups are
+        shuffled. ``again``: may the index hold records of this batch?
         """
         other = F.col("batch") != batch
         owned = self.records().where(F.col("owner") & other).select("text_sha256")
         new = settle(groups.hint("merge").join(owned, "text_sha256", "left_anti"), "new-digests")
-        mine = self.records().where(~other).select("text_sha256")
-        again = groups.hint("merge").join(new.select("text_sha256"), "text_sha256", "left_anti")
-        rows = [
-            x.select("text_sha256", "keep_id", "n_rows", F.lit(batch).alias("batch"), F.lit(owner).alias("owner")).hint("merge").join(mine, "text_sha256", "left_anti")
-            for x, owner in ((new, True), (again, False))
-        ]
-        rows = settle(rows[0].unionByName(rows[1]), "new-records")
-        if rows.limit(1).count():
-            self._write(rows)
+        known = groups.hint("merge").join(new.select("text_sha256"), "text_sha256", "left_anti")
+        record = lambda x, owner: x.select("text_sha256", "keep_id", "n_rows", F.lit(batch).alias("batch"), F.lit(owner).alias("owner"))
+        rows = record(new, True).unionByName(record(known, False))
+        if again:
+            mine = self.records().where(~other).select("text_sha256")
+            rows = settle(rows.hint("merge").join(mine, "text_sha256", "left_anti"), "new-records")
+        self._write(rows)
         return new
 
     def _write(self, rows: DataFrame) -> None:
-        # as many partitions as buckets, dealt by the same hash: one sorted file in each bucket
-        rows.repartition(self.buckets, "text_sha256").write.insertInto(self.table)
+        # a task for each bucket, by the hash that buckets go by: one sorted file in each
+        bucket = F.pmod(F.hash("text_sha256"), F.lit(self.buckets))
+        rows.repartitionById(self.buckets, bucket).write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
     def compact(self, buckets: int | None = None) -> None:
@@ -139,7 +139,7 @@ def decide(
     table gives no rows. Other columns are ignored. ``docs`` is read once; ``row_id`` names a column of
     numbers to use instead of new ones.
     """
-    batch = batch or uuid.uuid4().hex
+    again, batch = batch is not None, batch or uuid.uuid4().hex
     keyed = settle(
         docs.select(F.col(id_col).cast("bigint").alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"), row_number(row_id).alias("row_id")),
         "digests",
@@ -155,7 +155,7 @@ def decide(
             "groups",
         )
         all_groups.append(groups.select("text_sha256", F.col("n_rows").alias("rows_here"), F.lit(None).cast("bigint").alias("keep_row")))
-        new.append(index.append(groups, f"{batch}/{i}").select("text_sha256", F.lit(0).cast("bigint").alias("rows_here"), "keep_row"))
+        new.append(index.append(groups, f"{batch}/{i}", again).select("text_sha256", F.lit(0).cast("bigint").alias("rows_here"), "keep_row"))
     told = reduce(DataFrame.unionByName, [*all_groups, *new])
     told = told.groupBy("text_sha256").agg(F.sum("rows_here").alias("rows_here"), F.max("keep_row").alias("keep_row"))
     verdicts = settle(told.hint("merge").join(index.read(), "text_sha256"), "verdicts")
