@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from umbel.llm import mixing, queries, sharding
+from umbel.llm.store import settle
 
 from .conftest import SF
 
@@ -247,6 +248,26 @@ def test_odd_shards(odd, nothing, odd_rows, bucket_rows):
     assert len(set(copies)) == 5  # a group of copies is spread
 
 
+def test_repeated_rows_are_spread(spark, tmp_path, monkeypatch):
+    """A row that stands 3000 times fills no bucket beyond its share, and the order doesn't depend on storage."""
+    monkeypatch.setattr(sharding, "_STRETCH", 6)
+    rows = [(7, "the same row")] * 3000 + [(i, f"t{i}") for i in range(1500)] + [(None, None)] * 500
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    orders = []
+    for n in (3, 8):
+        frame.repartition(n).write.parquet(str(tmp_path / str(n)))
+        docs = spark.read.parquet(str(tmp_path / str(n)))
+        got = sharding.shuffled(docs, 10, ["doc_id", "text"], bucket_rows=100).collect()
+        check_law(got, 10, 5000)
+        orders.append({(r["shard"], r["slot"]): r["doc_id"] for r in got})
+        per = Counter(r["shard"] for r in got if r["doc_id"] == 7)
+        assert all(230 < per[s] < 370 for s in range(10))
+    assert orders[0] == orders[1]
+    hashed = docs.select(F.monotonically_increasing_id().alias("row_id"), F.xxhash64("doc_id", "text").alias("h"))
+    numbers = Counter(r["number"] for r in sharding._repeats(settle(hashed, "h")).collect())
+    assert numbers == {**{i: 2 for i in range(1, 500)}, **{i: 1 for i in range(500, 3000)}}
+
+
 def test_order_depends_on_rows_alone(spark, odd, tmp_path):
     odd.repartition(7).write.parquet(str(tmp_path / "again"))
     a = sharding.shuffled(odd, 4, ["doc_id", "text"], bucket_rows=16).where("doc_id IS NOT NULL").collect()

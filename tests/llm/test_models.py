@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
 from umbel.llm import language_id, quality_model, queries
@@ -71,6 +72,69 @@ def test_dual_descent_reaches_the_optimum(monkeypatch):
     assert all(objective(1.0) <= objective(k) * 1.001 for k in (0.8, 0.9, 0.95, 1.05, 1.1, 1.2))
 
 
+def test_margins_against_a_dense_solver(monkeypatch):
+    """The fitted plane against the optimum of the regularised hinge loss found another way, on 200 rows."""
+    rng = np.random.default_rng(4)
+    labels = np.arange(200) % 2
+    rows = [np.array([j for j in range(25) if rng.random() < (0.65 if (j % 2 == y) else 0.35)] or [0], np.uint64) for y in labels]
+    monkeypatch.setattr(quality_model, "EPOCHS", 600)
+    m = quality_model.NaiveBayesSvm()
+    m._fit_margin(rows, labels, 1)
+    keys = np.arange(25)
+    on = np.array([[k in r.tolist() for k in keys] for r in rows], float)
+    p, q = 1 + on[labels == 1].sum(0), 1 + on[labels == 0].sum(0)
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    x = on * ratio
+    x = np.concatenate([x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None], np.ones((200, 1))], axis=1)
+    sign = np.where(labels == 1, 1.0, -1.0)
+    k = (x * sign[:, None]) @ (x * sign[:, None]).T
+    alpha, step = np.full(200, 0.5), 1 / np.linalg.eigvalsh(k)[-1]
+    for _ in range(60_000):  # projected ascent on the whole dual
+        alpha = np.clip(alpha + step * (1 - k @ alpha), 0, quality_model.COST)
+    w = (alpha * sign) @ x
+    assert m.keys.tolist() == keys.tolist()
+    primal = lambda v: v @ v / 2 + quality_model.COST * np.maximum(0, 1 - sign * (x @ v)).sum()
+    mine = np.concatenate([np.where(np.abs(ratio) > 1e-12, m.weight / np.where(ratio == 0, 1, ratio), 0), [m.bias]])
+    assert abs(primal(mine) - primal(w)) < 1e-3 * primal(w)
+    assert np.allclose([m.margin(r) for r in rows], x @ w, atol=0.02)
+
+
+def plain_features(text):
+    tokens = quality_model._TOKEN.findall(text or "")
+    h = [xxhash.xxh64_intdigest(t.lower()) for t in tokens]
+    s = [xxhash.xxh64_intdigest(quality_model._shape(t), 1) for t in tokens]
+    one = lambda kind, *xs: int(quality_model._joined(kind, *[np.array([x], np.uint64) for x in xs])[0])
+    out = {one(1, x) for x in h} | {one(2, *x) for x in zip(h, h[1:])} | {one(3, *x) for x in zip(s, s[1:])} | {one(4, *x) for x in zip(s, s[1:], s[2:])}
+    return out | {one(5, len(tokens).bit_length())} | ({one(6, 1)} if any(a == b for a, b in zip(h, h[1:])) else set())
+
+
+def test_scores_of_slices_against_one_text_at_a_time(monkeypatch, odd_rows):
+    """Scoring whole slices, long texts in blocks, gives what features, keys and margins by plain loops give."""
+    texts = [r[1] for r in odd_rows if len(r[1] or "") < 50_000] + ["one two two", "A b c " * 700]
+    rows = [quality_model.features(t) for t in texts]
+    assert [set(r.tolist()) for r in rows] == [plain_features(t) for t in texts]
+    model = quality_model.NaiveBayesSvm().fit([np.unique(r) for r in rows], [i % 2 for i in range(len(texts))])
+    model.slope = model.slope or 1.0
+    at = {int(k): (w, s) for k, w, s in zip(model.keys, model.weight, model.square, strict=True)}
+    want = []
+    for t in texts:
+        known = [at[f] for f in plain_features(t) if f in at]
+        norm = sum(s for _, s in known) ** 0.5 or 1.0
+        want.append(1 / (1 + np.exp(-(model.slope * (sum(w for w, _ in known) / norm + model.bias) + model.shift))))
+    assert np.allclose(model.scores(texts), want) and np.allclose([model.score(t) for t in texts], want)
+    monkeypatch.setattr(quality_model, "_BLOCK_TOKENS", 50)
+    assert np.allclose(model.scores(texts), want)
+
+
+def test_null_ids_have_a_fold(spark, tmp_path):
+    docs = [(i, f"word {i} and some more of it", "en") for i in range(30)] + [(None, "no id", "en"), (None, None, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(30)] + [(None, 1)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name in ("op5_quality_classifier", "op8_language_id"):
+        got = queries.queries()[name](spark, str(tmp_path)).collect()
+        assert len(got) == 32 and {r["held_out"] for r in got if r["doc_id"] is None} == {name.startswith("op5")}  # crc32 of no bytes is 0
+
+
 def test_features_by_hand():
     f = lambda t: set(quality_model.features(t).tolist())
     assert f("") == f(None) == f(" \n") and len(f("")) == 1
@@ -138,6 +202,29 @@ def test_gradients():
     assert -np.log(plain_forward(net, x)[np.arange(32), y]).mean() < 0.3 * before
 
 
+def test_identify_against_one_text_at_a_time(odd_rows):
+    """Votes of all windows of a text, weighed by letters, by plain loops over the network as written."""
+    rng = np.random.default_rng(3)
+    texts = [r[1] for r in odd_rows if len(r[1] or "") < 5000] + ["Ein Satz über Bäume. " * 40]
+    net = language_id.ByteNet(["a", "b", "c"], filters=5)
+    net.fit(rng.integers(97, 123, (60, language_id.WINDOW)).astype(np.uint8), rng.integers(0, 3, 60), epochs=1)
+    lang, score = language_id._score(net, pa.array(texts))
+    for t, got, p in zip(texts, lang, score, strict=True):
+        data = (t or "").encode()
+        if not any(unicodedata.category(c)[0] == "L" for c in t or ""):
+            assert (got, p) == ("und", 0.0)
+            continue
+        votes, weight = np.zeros(3), 0.0
+        for i in range(0, len(data), language_id.WINDOW):
+            part = data[i : i + language_id.WINDOW]
+            low = bytes(c + 32 if 65 <= c < 91 else c for c in part)
+            letters = sum(97 <= c < 123 or c >= 128 for c in low) + 1e-3
+            x = np.frombuffer(low.ljust(language_id.WINDOW, b"\0"), np.uint8)[None]
+            votes += plain_forward(net, x)[0] * letters
+            weight += letters
+        assert got == net.classes[int(votes.argmax())] and abs(p - votes.max() / weight) < 1e-4
+
+
 def test_windows_cover_every_byte():
     data = np.arange(1, 100, dtype=np.uint8)
     starts, ends = np.array([0, 10, 10, 47]), np.array([10, 10, 47, 99])

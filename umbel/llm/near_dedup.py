@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from umbel.llm import simhash
 from umbel.llm.graph import components
-from umbel.llm.store import drop_ids, numbered, settle
+from umbel.llm.store import by_group, drop_ids, numbered, settle
 
 BANDS, BAND_ROWS = 32, 4
 SEED = 42
@@ -103,12 +103,13 @@ def links(docs: DataFrame, row_id: str, similarity: float = 0.8, width: int = 5,
     pairs that are not connected yet are checked, in parts spread over tasks, so no pair is left out.
     """
     sigs = settle(signatures(docs, row_id, width, text_col), "signatures")
-    nodes = settle(sigs.groupBy("set_key").agg(F.min("row_id").alias("node")), "sets")
-    equal = sigs.select("set_key", F.col("row_id").alias("b")).join(nodes, "set_key").where("b <> node").select(F.col("node").alias("a"), "b")
+    nodes = settle(sigs.groupBy("set_key").agg(F.min("row_id").alias("node"), F.count("*").alias("n")), "sets")
+    equal = by_group(sigs.select("set_key", F.col("row_id").alias("b")), nodes.where("n > 1"), "set_key", "n", sigs.count())
+    equal = equal.where("b <> node").select(F.col("node").alias("a"), "b")
     equal = settle(equal, "equal-sets")
     entries = sigs.join(nodes.select(F.col("node").alias("row_id")), "row_id").select(F.col("row_id").alias("node"), "size", F.explode("keys").alias("key"))
     sizes = settle(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    members = settle(entries.join(sizes, "key"), "buckets")
+    members = settle(by_group(entries, sizes, "key", "n", BANDS * nodes.count()), "buckets")
     texts = docs.select(F.col(row_id).alias("node"), F.col(text_col).alias("text"))
     # sizes of sets bound their similarity
     fits = F.least("size", "size2") / F.greatest("size", "size2") >= similarity

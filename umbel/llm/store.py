@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,6 +23,8 @@ WORD = rf"[^{BLANKS}]+"
 BLANK_CHARS = " \t\n\u000b\f\r"
 
 _local_base: dict[str, str] = {}
+#: By application: the scratch paths that were given out and not freed.
+_made: dict[str, list[str]] = {}
 
 
 def scratch_base(spark: SparkSession) -> str:
@@ -29,7 +32,7 @@ def scratch_base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_base:
@@ -38,14 +41,33 @@ def scratch_base(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{scratch_base(spark)}/umbel-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    """A fresh path in the shared folder, removed when the driver's JVM ends, or by ``free``."""
+    app = spark.sparkContext.applicationId
+    path = f"{scratch_base(spark)}/umbel-{app}/{label}-{uuid.uuid4().hex}"
+    where, fs = _hadoop(spark, path)
+    fs.deleteOnExit(where)
+    _made.setdefault(app, []).append(path)
     return path
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def made(spark: SparkSession) -> int:
+    """How many scratch paths there are; a mark for ``free``."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def free(spark: SparkSession, since: int) -> None:
+    """Remove the scratch tables made after the mark ``since`` but for the last, whose reader is all that may still be used."""
+    paths = _made.get(spark.sparkContext.applicationId, [])
+    while len(paths) > since + 1:
+        where, fs = _hadoop(spark, paths.pop(since))
+        fs.delete(where, True)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -120,7 +142,7 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
         names = sorted(r[0] for r in df.select(meta.getField("file_path").alias(path)).distinct().collect())
         files = df.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "__path string, __file bigint")
         rows = df.withColumns({path: meta.getField("file_path"), rid: meta.getField("row_index")})
-        rows = rows.join(F.broadcast(files), F.col(path) == F.col("__path"))
+        rows = rows.join(F.broadcast(files) if len(names) <= BROADCAST_ROWS else files, F.col(path) == F.col("__path"))
         return rows.select(*df.columns, F.shiftleft("__file", 40).bitwiseOR(F.col(rid)).alias(rid)), rid
     return settle(df.withColumn(rid, F.monotonically_increasing_id()), "numbered"), rid
 
