@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbel.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
-from umbel.llm.store import settle
+from umbel.llm.store import free, made, settle
 from umbel.session import ship
 
 
@@ -53,6 +53,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = made(spark)
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        free(spark, since)  # what the stage has put aside, and the documents before it
     return STAGES[-1][1](spark, docs, sf_dir)

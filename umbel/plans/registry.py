@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -29,7 +30,7 @@ class Tables:
         """A fresh path in the shared folder, removed when the driver's JVM ends."""
         base = self.spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            if not self.spark.sparkContext.master.startswith("local["):
+            if not re.match(r"local(\[|$)", self.spark.sparkContext.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.gettempdir()
         path = f"{base.rstrip('/')}/umbel-{self.spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
