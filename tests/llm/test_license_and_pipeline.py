@@ -12,7 +12,7 @@ from umbel.llm import license_scan, mixing, queries
 from umbel.llm.license_scan import TEMPLATES, LicenseIndex, align, words
 
 from .conftest import SF, prose
-from .test_near import plain_classes, plain_fingerprint, plain_kept
+from .test_near import plain_kept
 from .test_rules_and_exact import plain_counts
 from .test_tokens_and_packing import check_packed, reference  # noqa: F401
 
@@ -207,9 +207,8 @@ def test_pipeline_against_brute_force(spark, real, reference):  # noqa: F811
     for r in docs:
         last[r[1]] = max(last.get(r[1], -1), r[0])
     docs = [r for r in docs if last[r[1]] == r[0]]
-    fps = [plain_fingerprint(r[1]) for r in docs]
-    classes = plain_classes(fps, [r[0] for r in docs])
-    docs = [r for r, f in zip(docs, fps, strict=True) if classes[f] == r[0]]
+    left = set(plain_kept([(r[0], r[1]) for r in docs]))  # by fingerprints and by 5-word similarity
+    docs = [r for r in docs if r[0] in left]
     got = corpus_pipeline.run(spark, SF).collect()
     copies = Counter(r["doc_id"] for r in got if r["piece"] == 0)
     assert set(copies) <= {r[0] for r in docs} and max(copies.values()) <= 3
