@@ -97,9 +97,15 @@ def catalogue_order(keys: list[str], last: list[Column] | None = None) -> list[C
     return [F.col(k).asc_nulls_last() for k in reversed(keys)] + (last or [])
 
 
+def seeded(seed: int, *columns: str | Column) -> Column:
+    """A number of 60 random-looking bits (bigint) from a seed and values, the same in every engine that knows MD5; null values are left out."""
+    digits = F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]))
+    return F.conv(F.substring(digits, 1, 15), 16, 10).cast("bigint")
+
+
 def shuffle_order(column: Column, seed: int = 666) -> Column:
     """A seeded order that depends on values alone."""
-    return F.xxhash64(F.lit(seed), column)
+    return seeded(seed, column)
 
 
 def head_fraction(df: DataFrame, fraction: float, order: str) -> DataFrame:
@@ -109,7 +115,7 @@ def head_fraction(df: DataFrame, fraction: float, order: str) -> DataFrame:
 
 def hash_split(column: Column, shares: list[float], seed: int = 42) -> Column:
     """Part number from 0 for each row, by a seeded hash of ``column``: rows keep their part on any rerun."""
-    unit = F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1_000_000)) / 1_000_000
+    unit = F.pmod(seeded(seed, column), F.lit(1_000_000)) / 1_000_000
     out, at = F.lit(len(shares) - 1), sum(shares)
     for i in range(len(shares) - 1, 0, -1):
         at -= shares[i]

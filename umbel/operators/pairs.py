@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbel.functions.vectors import cosine, dot, squared_distance
+from umbel.operators.frames import seeded
 
 EPSILON = 1e-9
 
@@ -26,7 +27,7 @@ def select_negatives(all_pairs: DataFrame, how: str, batch: str = "batch", seed:
     """Positive pairs and as many negative ones of each batch: the closest (``hard``), or by a seeded hash (``random``); ``all`` keeps all."""
     if how == "all":
         return all_pairs
-    order = {"hard": [F.col("d2").asc(), F.col("a"), F.col("b")], "random": [F.xxhash64(F.lit(seed), "a", "b"), F.col("a"), F.col("b")]}[how]
+    order = {"hard": [F.col("d2").asc(), F.col("a"), F.col("b")], "random": [seeded(seed, "a", "b"), F.col("a"), F.col("b")]}[how]
     ranked = all_pairs.withColumn("r", F.row_number().over(Window.partitionBy(batch, "same").orderBy(*order)))
     counted = ranked.withColumn("p", F.count_if("same").over(Window.partitionBy(batch)))
     return counted.where(F.col("same") | (F.col("r") <= F.col("p"))).drop("r", "p")
@@ -49,7 +50,7 @@ def triplets(df: DataFrame, margin: float, how: str = "all", batch: str = "batch
     if how == "all":
         return t
     wanted = {"hardest": F.col("loss") > 0, "random": F.col("loss") > 0, "semihard": (F.col("loss") > 0) & (F.col("loss") < margin)}[how]
-    order = [F.col("loss").desc()] if how == "hardest" else [F.xxhash64(F.lit(seed), "anchor", "positive", "negative")]
+    order = [F.col("loss").desc()] if how == "hardest" else [seeded(seed, "anchor", "positive", "negative")]
     first = F.row_number().over(Window.partitionBy(batch, "anchor", "positive").orderBy(*order, "negative"))
     return t.where(wanted).withColumn("r", first).where("r = 1").drop("r")
 

@@ -21,7 +21,7 @@ def s1(t: Tables) -> DataFrame:
     return tables.read_csv(t.spark, path, "c_custkey bigint, c_name string, c_acctbal double")
 
 
-@query("s2_file_scan")
+@query("s2_file_scan", "SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS name")
 def s2(t: Tables) -> DataFrame:
     """Names of the Parquet files below the folder; contents are not read."""
     return catalog.scan(t.spark, t.folder, "*.parquet", recursive=True).select(keys.stem(F.col("path")).alias("name"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbel.functions.metrics import truncated_mean
-from umbel.operators import frames, retrieval, statistics
+from umbel.operators import frames, prefix, retrieval, statistics
 from umbel.plans.registry import Tables, query
 
 # projections
@@ -456,16 +456,33 @@ def o2(t: Tables) -> DataFrame:
     return s.select("s_suppkey", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(*order)).alias("place"))
 
 
-@query("o7_o9_o10_hash_splits")
+_SQL_SEEDED = "('0x' || left(md5(concat_ws(':', '{seed}', {key})), 15))::BIGINT"
+
+
+@query(
+    "o7_o9_o10_hash_splits",
+    f"""SELECT o_orderkey, CASE WHEN u < 800000 THEN 0 WHEN u < 900000 THEN 1 ELSE 2 END AS part
+    FROM (SELECT o_orderkey, {_SQL_SEEDED.format(seed=42, key="o_orderkey")} % 1000000 AS u FROM orders)""",
+)
 def o9(t: Tables) -> DataFrame:
     """Seeded shares of 80, 10 and 10 %: rows keep their part on reruns."""
     part = frames.hash_split(F.col("o_orderkey"), [0.8, 0.1, 0.1])
     return t.orders.select("o_orderkey", part.alias("part"))
 
 
-@query("o8_seeded_shuffle")
+@query("o8_seeded_shuffle", f"SELECT s_suppkey, row_number() OVER (ORDER BY {_SQL_SEEDED.format(seed=666, key='s_suppkey')}) AS place FROM supplier")
 def o8(t: Tables) -> DataFrame:
-    return t.supplier.orderBy(frames.shuffle_order(F.col("s_suppkey"))).select("s_suppkey")
+    """Places of all rows in a seeded random order."""
+    keyed = t.supplier.select("s_suppkey", frames.shuffle_order(F.col("s_suppkey")).alias("h"))
+    return prefix.row_numbers(keyed, "h", "place").select("s_suppkey", "place")
+
+
+@query("o3_regions_by_area", "SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY list_sum(embedding::DOUBLE[]) DESC, vec_id) AS place FROM embeddings")
+def o3(t: Tables) -> DataFrame:
+    """Rows of each label from the largest sum down, as regions are sorted by their areas."""
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
+    e = t.embeddings.select("vec_id", "label", total.alias("area"))
+    return e.select("vec_id", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("area"), "vec_id")).alias("place"))
 
 
 @query("o11_v26_chunks", "SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 5000)::BIGINT AS chunk FROM orders")

@@ -114,6 +114,16 @@ def v28(t: Tables) -> DataFrame:
     return pairs.select_negatives(pairs.pairs(_batches(t)), "hard").withColumn("d2", F.round("d2", 6))
 
 
+@query(
+    "v28_random_negative_pairs",
+    f"""WITH {_SQL_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY batch, same ORDER BY ('0x' || left(md5(concat_ws(':', '0', a, b)), 15))::BIGINT, a, b) AS n, count(*) FILTER (WHERE same) OVER (PARTITION BY batch) AS pos FROM p)
+    SELECT batch, a, b, same, round(d2, 6) AS d2 FROM r WHERE same OR n <= pos""",
+)
+def v28_random_pairs(t: Tables) -> DataFrame:
+    """All positive pairs and as many negative ones by a seeded hash."""
+    return pairs.select_negatives(pairs.pairs(_batches(t)), "random").withColumn("d2", F.round("d2", 6))
+
+
 _SQL_TRIPLETS = (
     _SQL_PAIRS
     + """, n AS (SELECT batch, a AS anchor, b AS negative, d2 AS an FROM p WHERE NOT same UNION ALL SELECT batch, b, a, d2 FROM p WHERE NOT same),
@@ -136,13 +146,19 @@ def v28_hardest(t: Tables) -> DataFrame:
     return pairs.triplets(_batches(t), 0.5, "hardest").withColumn("loss", F.round("loss", 6))
 
 
-@query("v28_semihard_triplets")
+def _sql_seeded(where: str) -> str:
+    h = "('0x' || left(md5(concat_ws(':', '1', anchor, positive, negative)), 15))::BIGINT"
+    return f"""WITH {_SQL_TRIPLETS} SELECT batch, anchor, positive, negative, round(loss, 6) AS loss FROM (
+    SELECT *, row_number() OVER (PARTITION BY batch, anchor, positive ORDER BY {h}, negative) AS r FROM t WHERE {where}) WHERE r = 1"""
+
+
+@query("v28_semihard_triplets", _sql_seeded("loss > 0 AND loss < 0.5"))
 def v28_semihard(t: Tables) -> DataFrame:
     """One seeded negative of loss between 0 and the margin for each positive pair."""
     return pairs.triplets(_batches(t), 0.5, "semihard", seed=1).withColumn("loss", F.round("loss", 6))
 
 
-@query("x7_random_triplets")
+@query("x7_random_triplets", _sql_seeded("loss > 0"))
 def v28_random(t: Tables) -> DataFrame:
     """One seeded negative of loss above 0 for each positive pair."""
     return pairs.triplets(_batches(t), 0.5, "random", seed=1).withColumn("loss", F.round("loss", 6))
