@@ -230,3 +230,38 @@ def a39(t: Tables) -> DataFrame:
     """Grouped catalogue, and which groups have no index view."""
     d = descriptors(t)
     return d.groupBy(F.col("label").alias("packageclass"), "phone").agg(F.count("*").alias("size"), (F.count_if(F.col("angle") == 360) == 0).alias("without_index"))
+
+
+@query("k4_flushed_store", f"WITH {SQL_DESCRIPTORS} SELECT vec_id::INT AS region, round(vector[64], 5) AS first FROM d WHERE vec_id % 3 = 0")
+def k4(t: Tables) -> DataFrame:
+    """A store that was flushed holds what comes after, even under keys that it knew."""
+    store = _store(t)
+    rows = store.read().where("region % 3 = 0").withColumn("vector", F.reverse("vector"))
+    path = t.scratch("turned")
+    rows.write.parquet(path)  # read before the files go
+    store.flush(sure=True)
+    store.insert(t.spark.read.parquet(path).select(*rows.columns))
+    return store.read().select("region", F.round(F.get("vector", 0).cast("double"), 5).alias("first"))
+
+
+@query("k7_k8_k11_entities", "SELECT kind, c_custkey, c_name, c_acctbal FROM customer, (VALUES ('csv'), ('json'), ('parquet')) AS k(kind)")
+def k8(t: Tables) -> DataFrame:
+    """One result as csv, json and parquet in a folder that was cleared first, and read again."""
+    rows, folder, out = t.customer.select("c_custkey", "c_name", "c_acctbal"), t.scratch("entities"), []
+    tables.prepare_output(t.spark, folder)
+    rows.write.parquet(f"{folder}/left-over.parquet")
+    tables.prepare_output(t.spark, folder, clear=True)
+    for kind in ("csv", "json", "parquet"):
+        tables.write_entity(rows, f"{folder}/result.{kind}")
+    for kind in ("csv", "json", "parquet"):
+        back = t.spark.read.schema("c_custkey bigint, c_name string, c_acctbal double").option("header", True).format(kind)
+        out.append(back.load(f"{folder}/*.{kind}").select(F.lit(kind).alias("kind"), "c_custkey", "c_name", "c_acctbal"))
+    return out[0].union(out[1]).union(out[2])
+
+
+@query("s17_folder_classes", "SELECT DISTINCT 'l_returnflag=' || l_returnflag AS label FROM lineitem")
+def s17(t: Tables) -> DataFrame:
+    """Files whose class is the name of their folder."""
+    path = t.scratch("classes")
+    t.lineitem.select("l_orderkey", "l_returnflag").write.partitionBy("l_returnflag").parquet(path)
+    return catalog.folder_classes(t.spark, path, "*.parquet").select("label").distinct()
