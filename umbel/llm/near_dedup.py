@@ -1,7 +1,8 @@
 """The pipeline's near-dedup: SimHash classes joined with all pairs of texts of Jaccard 0.8 or more.
 
-Candidates are texts that share a band of MinHash values; each is then checked by its whole sets of
-shingles. With BANDS bands of BAND_ROWS values a pair of similarity 0.8 is missed with 5e-8.
+Candidates are texts that share a band of MinHash values and whose sketches, a bit of each of SKETCH values,
+allow the similarity; each is then checked by its whole sets of shingles. A pair of similarity 0.8 shares no
+band with probability 6e-5 and differs in more than FAR sketch bits with 4e-6.
 """
 
 from __future__ import annotations
@@ -18,10 +19,14 @@ from umbel.llm import simhash
 from umbel.llm.graph import components
 from umbel.llm.store import by_group, drop_ids, numbered, settle
 
-BANDS, BAND_ROWS = 32, 4
+BANDS, BAND_ROWS = 32, 6
+#: Bits of a sketch, and by how many two sketches of similar sets may differ (0.1 of them at similarity 0.8, with a deviation of 3.4).
+SKETCH, FAR = 128, 28
 SEED = 42
-#: A bucket of more texts than this is first linked to its smallest; only members that this leaves apart are compared by pairs.
+#: A bucket of more texts than this is first linked by rounds in which every member meets one other; only members that these leave
+#: apart are compared by pairs.
 PAIR_ROWS = 32
+ROUNDS = 2
 #: Members of a large bucket that one task compares to all others.
 PART_ROWS = 1024
 _SLICE_ROWS = 128
@@ -36,23 +41,26 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array(simhash.shingle_hashes(text, width), "<u8"))
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of BANDS keys (uint64) for each non-empty set; a key holds its band's number."""
+def band_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each non-empty set a row of BANDS keys (uint64), each of which holds its band's number, and its sketch (SKETCH / 64 x uint64)."""
     h = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(sets), BANDS), np.uint64)
+    out, bits = np.empty((len(sets), BANDS), np.uint64), np.zeros((len(sets), SKETCH), np.uint8)
     for band in range(BANDS):
         key = np.full(len(sets), band, np.uint64)
         for i in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
-            key = (key ^ np.minimum.reduceat(h * _FACTORS[i] + _SHIFTS[i], starts)) * _MIX
+            least = np.minimum.reduceat(h * _FACTORS[i] + _SHIFTS[i], starts)
+            if i < SKETCH:  # a mixed bit, as minima are small
+                bits[:, i] = (least * _MIX) >> np.uint64(63)
+            key = (key ^ least) * _MIX
             key ^= key >> np.uint64(29)
         out[:, band] = key
-    return out
+    return out, np.packbits(bits, axis=1).view("<u8")
 
 
 def signatures(docs: DataFrame, row_id: str, width: int, text_col: str) -> DataFrame:
-    """(row_id, set_key, size, keys) of the rows whose text has a word; equal sets have equal set_key."""
-    schema = "row_id bigint, set_key string, size int, keys array<bigint>"
+    """(row_id, set_key, size, s1, s2, keys) of the rows whose text has a word; equal sets have equal set_key."""
+    schema = "row_id bigint, set_key string, size int, s1 bigint, s2 bigint, keys array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,12 +69,13 @@ def signatures(docs: DataFrame, row_id: str, width: int, text_col: str) -> DataF
                 found = [(i, x) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if len(x := shingle_set(t, width))]
                 if found:
                     sets = [x for _, x in found]
-                    keys = pa.array(band_keys(sets).view("<i8").ravel(), pa.int64())
+                    bands, sketch = band_keys(sets)
+                    keys, sketch = pa.array(bands.view("<i8").ravel(), pa.int64()), sketch.view("<i8")
                     columns = [
                         pa.array([i for i, _ in found], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets]),
-                        pa.array([len(x) for x in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), keys),
+                        pa.array([len(x) for x in sets], pa.int32()), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), keys),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, ["row_id", "set_key", "size", "keys"])
+                    yield pa.RecordBatch.from_arrays(columns, ["row_id", "set_key", "size", "s1", "s2", "keys"])
 
     return docs.select(F.col(row_id).alias("row_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -99,34 +108,54 @@ def links(docs: DataFrame, row_id: str, similarity: float = 0.8, width: int = 5,
     """Links (a, b) between row ids that connect what pairs of ``similarity`` or more connect.
 
     ``docs``: settled, with its row ids. Rows of equal sets are linked to the smallest of them, and only
-    that one is searched. In a large bucket all members are checked against its smallest first; then
-    pairs that are not connected yet are checked, in parts spread over tasks, so no pair is left out.
+    that one is searched. Small buckets are compared by pairs. In large ones every text meets one text of
+    its buckets a round, the first of a seeded order, if links don't connect the two yet; so a large group
+    of copies is linked by some pairs a member. Then pairs that are still apart and whose sketches allow
+    the similarity are checked, in parts spread over tasks, so no pair is left out.
     """
     sigs = settle(signatures(docs, row_id, width, text_col), "signatures")
     nodes = settle(sigs.groupBy("set_key").agg(F.min("row_id").alias("node"), F.count("*").alias("n")), "sets")
     equal = by_group(sigs.select("set_key", F.col("row_id").alias("b")), nodes.where("n > 1"), "set_key", "n", sigs.count())
-    equal = equal.where("b <> node").select(F.col("node").alias("a"), "b")
-    equal = settle(equal, "equal-sets")
-    entries = sigs.join(nodes.select(F.col("node").alias("row_id")), "row_id").select(F.col("row_id").alias("node"), "size", F.explode("keys").alias("key"))
+    equal = settle(equal.where("b <> node").select(F.col("node").alias("a"), "b"), "equal-sets")
+    facts = ["node", "size", "s1", "s2"]
+    entries = sigs.join(nodes.select(F.col("node").alias("row_id")), "row_id").select(F.col("row_id").alias("node"), "size", "s1", "s2", F.explode("keys").alias("key"))
     sizes = settle(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    members = settle(by_group(entries, sizes, "key", "n", BANDS * nodes.count()), "buckets")
+    total = BANDS * nodes.count()
+    members = settle(by_group(entries, sizes, "key", "n", total), "buckets")
     texts = docs.select(F.col(row_id).alias("node"), F.col(text_col).alias("text"))
-    # sizes of sets bound their similarity
+    other = lambda df, *more: df.select("key", *more, *[F.col(c).alias(f"{c}2") for c in facts])
+    # sizes of sets bound their similarity, and sketches tell it roughly
     fits = F.least("size", "size2") / F.greatest("size", "size2") >= similarity
+    near = F.bit_count(F.col("s1").bitwiseXOR(F.col("s12"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("s22"))) <= FAR
+    pair = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
     small, large = members.where(F.col("n") <= PAIR_ROWS), members.where(F.col("n") > PAIR_ROWS)
-    second = small.select("key", F.col("node").alias("node2"), F.col("size").alias("size2"))
-    pairs = small.join(second, "key").where((F.col("node") < F.col("node2")) & fits).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    least = large.groupBy("key").agg(F.min(F.struct("node", "size")).alias("m")).select("key", F.col("m.node").alias("a"), F.col("m.size").alias("size2"))
-    stars = large.join(least, "key").where((F.col("a") < F.col("node")) & fits).select("a", F.col("node").alias("b"))
-    found = _similar(pairs.union(stars), texts, width, similarity).union(equal)
+    pairs = small.join(other(small), "key").where((F.col("node") < F.col("node2")) & fits & near).select(pair)
+    found = _similar(pairs, texts, width, similarity).union(equal)
     if not large.limit(1).count():
         return found
-    labelled = large.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = settle(labelled.withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int")), "large-buckets")
+    for turn in range(ROUNDS):
+        labelled = _labelled(large, found)
+        if not labelled.limit(1).count():
+            return found
+        order = F.xxhash64(F.lit(turn), "node")
+        first = labelled.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "size", "s1", "s2", "label")).alias("m"), F.count("*").alias("n"))
+        first = settle(first.select("key", "n", *[F.col(f"m.{c}").alias(f"{c}2") for c in (*facts, "label")]), "first-of-buckets")
+        met = by_group(labelled.drop("n"), first, "key", "n", total).where((F.col("label") != F.col("label2")) & fits & near)
+        one = met.groupBy("node").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node2").alias("o"), "node2")).alias("m")).select("node", F.col("m.node2").alias("node2"))
+        found = found.union(_similar(one.select(pair), texts, width, similarity))
+    labelled = _labelled(large.withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int")), found)
     one = labelled.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    two = labelled.select("key", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("label").alias("label2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    apart = one.join(two, ["key", "part"]).where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & fits)
-    return found.union(_similar(apart.select(F.col("node").alias("a"), F.col("node2").alias("b")), texts, width, similarity))
+    two = other(labelled, F.col("label").alias("label2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    apart = one.join(two, ["key", "part"]).where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & fits & near)
+    return found.union(_similar(apart.select(pair), texts, width, similarity))
+
+
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets that links don't connect as a whole yet, each with the label of what it is linked to."""
+    labelled = members.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = settle(labelled, "large-buckets")
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key")
+    return settle(labelled.join(settle(open_, "open-buckets"), "key", "left_semi"), "open-members")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
