@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbel.llm import exact_dedup, language_id, license_scan, mixing, packing, quality_model, quality_rules, sharding, simhash, tokens
-from umbel.llm.store import keyed_lookup, settle
+from umbel.llm.store import keyed_lookup, numbered, settle
 from umbel.session import ship
 
 
@@ -55,9 +55,9 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and place of every document in 8 shards whose counts are at most one apart."""
-    docs = _table(spark, sf_dir, "documents")
-    docs = docs.select("doc_id", "text", sharding.text_bytes(F.col("text")).alias("size"), sharding.text_crc(F.col("text")).alias("text_crc32"))
-    placed = sharding.shuffled(docs, 8, ["doc_id", "size", "text_crc32"])
+    docs, rid = numbered(_table(spark, sf_dir, "documents"))
+    docs = docs.select(rid, "doc_id", "text", sharding.text_bytes(F.col("text")).alias("size"), sharding.text_crc(F.col("text")).alias("text_crc32"))
+    placed = sharding.shuffled(docs, 8, ["doc_id", "size", "text_crc32"], row_id=rid)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

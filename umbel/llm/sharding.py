@@ -74,6 +74,7 @@ def shuffled(
     seed: int = SEED,
     bucket_rows: int = BUCKET_ROWS,
     bucket_bytes: int = BUCKET_BYTES,
+    row_id: str | None = None,
 ) -> DataFrame:
     """``columns`` (default: all) of the rows of ``docs`` in a seeded random order, cut into shards: adds shard int and slot bigint.
 
@@ -85,9 +86,9 @@ def shuffled(
     of ``columns`` replace it. The order depends on rows and seed alone, not on how the table is stored
     (but for rows of equal id and text that differ otherwise, whose order among themselves follows it). Columns have to be orderable (no maps); ids may have any type that can be hashed.
     """
-    columns = [c for c in columns or docs.columns if c.lower() not in ("shard", "slot")]
+    columns = [c for c in columns or docs.columns if c.lower() not in ("shard", "slot") and c != row_id]
     names = [f"c{i}" for i in range(len(columns))]
-    docs, rid = numbered(docs)
+    docs, rid = (docs, row_id) if row_id else numbered(docs)
     carried = F.struct(*[F.col(c).alias(a) for a, c in zip(names, columns, strict=True)])
     tagged = docs.select(F.col(rid).alias("row_id"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"), _row_bytes(docs, columns).alias("size"), carried.alias("x"))
     if text_col in columns:  # keep the texts out of what is counted
