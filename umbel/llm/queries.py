@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbel.llm import exact_dedup, language_id, license_scan, mixing, packing, quality_model, quality_rules, sharding, simhash, tokens
-from umbel.llm.store import keyed_lookup, numbered, settle
+from umbel.llm import exact_dedup, hash_forest, language_id, license_scan, mixing, packing, periodic_runs, prefix_trie, quality_model, quality_rules, sharding, simhash, tokens
+from umbel.llm.store import keyed_lookup, numbered, settle, words_column
 from umbel.session import ship
 
 
@@ -85,6 +85,49 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` in which, for each tenth crc32 of an id, the words from one place on repeat the first of them in turn."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words, g, n = F.col("__words"), F.floor(h / 10), F.size("__words")
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - F.col("__a")) / (3 + g % 8))).cast("int")
+    i = F.sequence(F.lit(0), n - 1)
+    shifted = F.transform(i, lambda x: F.get(words, F.when(x < F.col("__a"), x).otherwise(F.col("__a") + (x - F.col("__a")) % F.col("__p"))))
+    chosen = docs.where(h % 10 == 0).withColumn("__words", words_column(F.col("text"))).withColumn("__a", F.when(n > 0, a)).withColumn("__p", F.when(n > 0, p))
+    changed = chosen.withColumn("text", F.when(n > 0, F.array_join(shifted, " ")).otherwise(F.col("text"))).drop("__words", "__a", "__p")
+    return docs.where(h % 10 != 0).unionByName(changed)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated word sequences of every document, in a tenth of which repeats are laid in, and the text without them."""
+    found = periodic_runs.find_runs(with_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # the greatest exponent as an exact fraction; of equal ones the first
+    better = lambda x, y: F.when(y["length"] * x["period"] > x["length"] * y["period"], y).otherwise(x)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), better)
+    lines = F.transform("runs", lambda x: F.concat_ws(",", *[x[c].cast("string") for c in ("start", "length", "period")]))
+    found = found.withColumn("best", best)
+    start, length, period = (F.col(f"best.{c}").alias(c) for c in ("start", "length", "period"))
+    text = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), start, length, period,
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for each row of ``embeddings`` whose id is divisible by 20."""
+    return hash_forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each of which begins with turns of the first of its five."""
+    c = F.col("conv_id")
+    seqs = settle(prefix_trie.sequences(_table(spark, sf_dir, "conversations")), "turns")
+    rebuilt = prefix_trie.grafted(seqs, c - c % 5, (F.crc32(c.cast("string").cast("binary")) % 9).cast("int"))
+    return prefix_trie.trie(rebuilt).drop("node_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline; its module stands at the top of the repository."""
     import corpus_pipeline
@@ -97,7 +140,8 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_license_scan, op2_quality_rules, op3_exact_dedup, op4_source_mix, op5_quality_classifier, op6_sharding, op7_token_counts,
-            op8_language_id, op9_simhash, op10_best_fit_packing, pipeline,
+            op8_language_id, op9_simhash, op10_best_fit_packing,
+            op11_periodic_runs, op12_hash_forest, op13_prefix_trie, pipeline,
         )
     }
 
