@@ -183,13 +183,13 @@ def test_stage_reaches_similar_texts_of_the_table(spark, real):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").select("doc_id").collect()) == plain_kept(rows)
 
 
-@pytest.mark.parametrize(("pair_rows", "part_rows"), [(32, 1024), (3, 7)])
-def test_stage_against_all_pairs(spark, monkeypatch, tmp_path, pair_rows, part_rows):
+@pytest.mark.parametrize(("pair_rows", "rounds"), [(32, 2), (3, 2), (1, 0)])
+def test_stage_against_all_pairs(spark, monkeypatch, tmp_path, pair_rows, rounds):
     """Copies with words changed, chains that drift away, buckets searched in both ways."""
     from umbel.llm import near_dedup
 
     monkeypatch.setattr(near_dedup, "PAIR_ROWS", pair_rows)
-    monkeypatch.setattr(near_dedup, "PART_ROWS", part_rows)
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
     rng = random.Random(13)
     texts = []
     for n in (60, 120, 400):
@@ -210,3 +210,50 @@ def test_stage_against_all_pairs(spark, monkeypatch, tmp_path, pair_rows, part_r
     spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).write.parquet(str(tmp_path / "t"))
     docs = spark.read.parquet(str(tmp_path / "t"))
     assert sorted(r["doc_id"] for r in near_dedup.keep_one(docs).collect()) == plain_kept(rows)
+
+
+def boilerplate(rng, n, share, words=200):
+    """``n`` texts that have ``share`` of their words in common, each with its own words at its end."""
+    site = prose(rng, int(words * share))
+    return [f"{site} {' '.join(f'own{i}x{j}' for j in range(words - int(words * share)))}" for i in range(n)]
+
+
+def test_middling_similarity_is_not_compared_in_pairs(spark, tmp_path):
+    """Texts of one site, of similarity 0.6 to 0.7: prefixes form no pairs, and pairs checked grow with the texts."""
+    from umbel.llm import near_dedup
+
+    rng = random.Random(2)
+    checked = []
+    for n in (400, 800):
+        texts = boilerplate(rng, n, 0.8)
+        nodes = spark.createDataFrame([(i, i) for i in range(n)], "node bigint, label bigint")
+        docs = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+        assert near_dedup._prefix_pairs(nodes, docs, 5, 0.8).count() == 0
+        real, near_dedup._similar = near_dedup._similar, lambda pairs, *a: (checked.append(pairs.distinct().count()), real(pairs, *a))[1]
+        try:
+            path = str(tmp_path / str(n))
+            docs.withColumnRenamed("node", "doc_id").repartition(4).write.parquet(path)
+            checked.append(("texts", n))
+            assert near_dedup.keep_one(spark.read.parquet(path)).count() == n
+        finally:
+            near_dedup._similar = real
+    at = checked.index(("texts", 800))
+    small, large = sum(checked[1:at]), sum(checked[at + 1 :])
+    assert large <= 3 * max(small, 400)
+
+
+def test_large_bucket_of_middling_texts_against_all_pairs(spark, tmp_path):
+    """Two thousand texts of one site, some of them near copies of each other."""
+    from umbel.llm import near_dedup
+
+    rng = random.Random(8)
+    texts = boilerplate(rng, 1200, 0.75) + boilerplate(rng, 500, 0.55)
+    for i in range(0, 300, 3):
+        w = texts[i].split()
+        w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    texts += [f"{t} {i}" for i, t in enumerate([texts[7]] * 200)]
+    rng.shuffle(texts)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5).write.parquet(str(tmp_path / "t"))
+    got = sorted(r["doc_id"] for r in near_dedup.keep_one(spark.read.parquet(str(tmp_path / "t"))).collect())
+    assert got == plain_kept(list(enumerate(texts)))

@@ -2,7 +2,8 @@
 
 Candidates are texts that share a band of MinHash values and whose sketches, a bit of each of SKETCH values,
 allow the similarity; each is then checked by its whole sets of shingles. A pair of similarity 0.8 shares no
-band with probability 6e-5 and differs in more than FAR sketch bits with 4e-6.
+band with probability 6e-5 and differs in more than FAR sketch bits with 4e-6. What large buckets leave apart is
+joined by exact prefix filtering.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ SEED = 42
 #: apart are compared by pairs.
 PAIR_ROWS = 32
 ROUNDS = 2
-#: Members of a large bucket that one task compares to all others.
-PART_ROWS = 1024
 _SLICE_ROWS = 128
 _draw = np.random.default_rng(SEED)
 _FACTORS = _draw.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
@@ -110,8 +109,8 @@ def links(docs: DataFrame, row_id: str, similarity: float = 0.8, width: int = 5,
     ``docs``: settled, with its row ids. Rows of equal sets are linked to the smallest of them, and only
     that one is searched. Small buckets are compared by pairs. In large ones every text meets one text of
     its buckets a round, the first of a seeded order, if links don't connect the two yet; so a large group
-    of copies is linked by some pairs a member. Then pairs that are still apart and whose sketches allow
-    the similarity are checked, in parts spread over tasks, so no pair is left out.
+    of copies is linked by some pairs a member. Then the members of buckets that are still apart are joined by
+    prefixes of their sets, so no pair is left out and the work grows with the texts, not with their pairs.
     """
     sigs = settle(signatures(docs, row_id, width, text_col), "signatures")
     nodes = settle(sigs.groupBy("set_key").agg(F.min("row_id").alias("node"), F.count("*").alias("n")), "sets")
@@ -143,11 +142,41 @@ def links(docs: DataFrame, row_id: str, similarity: float = 0.8, width: int = 5,
         met = by_group(labelled.drop("n"), first, "key", "n", total).where((F.col("label") != F.col("label2")) & fits & near)
         one = met.groupBy("node").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node2").alias("o"), "node2")).alias("m")).select("node", F.col("m.node2").alias("node2"))
         found = found.union(_similar(one.select(pair), texts, width, similarity))
-    labelled = _labelled(large.withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int")), found)
-    one = labelled.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    two = other(labelled, F.col("label").alias("label2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    apart = one.join(two, ["key", "part"]).where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & fits & near)
-    return found.union(_similar(apart.select(pair), texts, width, similarity))
+    apart = _labelled(large, found).select("node", "label").distinct()
+    return found.union(_similar(_prefix_pairs(apart, texts, width, similarity), texts, width, similarity))
+
+
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, label) with different labels, among them all of ``similarity`` or more.
+
+    With shingles in order of rarity, two similar sets share one among the first 0.11 n of the smaller and the first
+    0.2 n of the larger (for 0.8). What is common to a group of texts comes last in this order, so texts that share
+    much, but not enough, don't meet. Of those who meet at a shingle, the label that most of them have is not
+    compared with itself.
+    """
+    sets = settle(_sets(texts.join(settle(nodes, "apart"), "node").select("node", "text"), width).join(nodes, "node"), "apart-sets")
+    tokens = sets.select("node", F.explode("shingles").alias("token"))
+    seen = settle(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
+    common = by_group(tokens, seen, "token", "df", sets.agg(F.sum(F.size("shingles"))).first()[0] or 0)
+    ordered = common.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("common"))
+    n, at_least = F.col("size"), lambda x: F.ceil(x - 1e-9)
+    ranked = sets.select("node", "label", F.size("shingles").alias("size")).join(ordered, "node").select("node", "label", "size", F.size("common").alias("shared"), F.posexplode("common").alias("i", "c"))
+    place = (n - F.col("shared") + F.col("i")).cast("int").alias("place")  # shingles of one text only come first
+    entries = ranked.select("node", "label", "size", F.col("c.token").alias("token"), place).where(F.col("place") <= n - at_least(similarity * n))
+    entries = settle(entries, "prefixes")
+    labels = entries.groupBy("token", "label").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels"))
+    placed = entries.join(labels.where("labels > 1").select("token", F.col("most.label").alias("main")), "token")
+    placed = settle(placed, "open-prefixes")
+    other = placed.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "size", "place")])
+    x, y = F.struct("size", "node"), F.struct("size2", "node2")
+    index = lambda size: size - at_least(2 * similarity / (1 + similarity) * size)
+    rest = F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))
+    enough = rest >= at_least(similarity / (1 + similarity) * (F.col("size") + F.col("size2")))
+    sizes = F.least("size", "size2") >= similarity * F.greatest("size", "size2") - 1e-9
+    first = F.when(x < y, F.col("place") <= index(F.col("size"))).otherwise(F.col("place2") <= index(F.col("size2")))
+    # a pair of two of the others is met from both sides
+    met = placed.where("label <> main").join(other, "token").where((F.col("label") != F.col("label2")) & sizes & enough & first)
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
 
 
 def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
