@@ -147,13 +147,15 @@ def plain_set(text, width=5):
 
 def plain_pairs(texts, similarity=0.8):
     """Pairs of places whose sets are that similar, by counting what they share."""
-    sets, holders, common = [plain_set(t) for t in texts], {}, Counter()
+    sets = [plain_set(t) for t in texts]
+    held = Counter(x for s in sets for x in s)
+    column = {x: i for i, x in enumerate(x for x, n in held.items() if n > 1)}
+    m = np.zeros((len(sets), len(column)), np.float32)
     for i, s in enumerate(sets):
-        for x in s:
-            for j in holders.setdefault(x, []):
-                common[j, i] += 1
-            holders[x].append(i)
-    return {(i, j) for (i, j), n in common.items() if n / (len(sets[i]) + len(sets[j]) - n) >= similarity}
+        m[i, [column[x] for x in s if x in column]] = 1
+    common, n = m @ m.T, np.array([len(s) for s in sets])
+    near = common / np.maximum(n[:, None] + n - common, 1) >= similarity - 1e-6
+    return {(int(i), int(j)) for i, j in np.argwhere(np.triu(near, 1))}
 
 
 def plain_kept(rows):

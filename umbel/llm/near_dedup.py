@@ -8,6 +8,7 @@ joined by exact prefix filtering.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,9 @@ SEED = 42
 #: apart are compared by pairs.
 PAIR_ROWS = 32
 ROUNDS = 2
+#: Numbers in the table of counts that tells rare shingles from common ones (1 MB as it is sent to tasks).
+COUNTS = 1 << 18
+_COUNT_SLICE = 512
 _SLICE_ROWS = 128
 _draw = np.random.default_rng(SEED)
 _FACTORS = _draw.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
@@ -151,19 +155,25 @@ def _prefix_pairs(nodes: DataFrame, texts: DataFrame, width: int, similarity: fl
 
     With shingles in order of rarity, two similar sets share one among the first 0.11 n of the smaller and the first
     0.2 n of the larger (for 0.8). What is common to a group of texts comes last in this order, so texts that share
-    much, but not enough, don't meet. Of those who meet at a shingle, the label that most of them have is not
-    compared with itself.
+    much, but not enough, don't meet. Any order does that is the same for all; rarity is told by a table of counts
+    of fixed size. Of those who meet at a shingle, the label that most of them have is not compared with itself.
     """
+    spark = nodes.sparkSession
     sets = settle(_sets(texts.join(settle(nodes, "apart"), "node").select("node", "text"), width).join(nodes, "node"), "apart-sets")
-    tokens = sets.select("node", F.explode("shingles").alias("token"))
-    seen = settle(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
-    common = by_group(tokens, seen, "token", "df", sets.agg(F.sum(F.size("shingles"))).first()[0] or 0)
-    ordered = common.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("common"))
-    n, at_least = F.col("size"), lambda x: F.ceil(x - 1e-9)
-    ranked = sets.select("node", "label", F.size("shingles").alias("size")).join(ordered, "node").select("node", "label", "size", F.size("common").alias("shared"), F.posexplode("common").alias("i", "c"))
-    place = (n - F.col("shared") + F.col("i")).cast("int").alias("place")  # shingles of one text only come first
-    entries = ranked.select("node", "label", "size", F.col("c.token").alias("token"), place).where(F.col("place") <= n - at_least(similarity * n))
-    entries = settle(entries, "prefixes")
+    counts = spark.sparkContext.broadcast(_counts(sets))
+    schema = "node bigint, label bigint, size int, token bigint, place int"
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, label, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                x = x.values.to_numpy()
+                n = len(x) - math.ceil(similarity * len(x) - 1e-9) + 1
+                first = x[np.lexsort((x, counts.value[x & (len(counts.value) - 1)]))[:n]]
+                same = [pa.array(np.full(len(first), v, t)) for v, t in ((node, np.int64), (label, np.int64), (len(x), np.int32))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(first), pa.array(np.arange(len(first), dtype=np.int32))], ["node", "label", "size", "token", "place"])
+
+    entries = settle(sets.select("node", "label", "shingles").mapInArrow(prefixes, schema), "prefixes")
+    at_least = lambda x: F.ceil(x - 1e-9)
     labels = entries.groupBy("token", "label").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels"))
     placed = entries.join(labels.where("labels > 1").select("token", F.col("most.label").alias("main")), "token")
     placed = settle(placed, "open-prefixes")
@@ -179,6 +189,30 @@ def _prefix_pairs(nodes: DataFrame, texts: DataFrame, width: int, similarity: fl
     return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
 
 
+def _counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles with the same last bits occur in ``sets``: a table of COUNTS numbers, summed by slices over tasks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTS, np.int64)
+        for b in batches:
+            n += np.bincount(b.column(0).flatten().to_numpy() & (COUNTS - 1), minlength=COUNTS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(COUNTS // _COUNT_SLICE)), pa.array([x.tobytes() for x in n.reshape(-1, _COUNT_SLICE)])], ["slice", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(x, np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()])], ["slice", "n"])
+
+    parts = sets.select("shingles").mapInArrow(count, "slice bigint, n binary").repartition("slice").mapInArrow(add, "slice bigint, n binary")
+    out = np.zeros((COUNTS // _COUNT_SLICE, _COUNT_SLICE), np.int64)
+    for r in parts.collect():
+        out[r["slice"]] = np.frombuffer(r["n"], np.int64)
+    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
+
+
 def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members of buckets that links don't connect as a whole yet, each with the label of what it is linked to."""
     labelled = members.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
