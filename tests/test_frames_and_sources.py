@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from umbel.functions import keys, metrics
-from umbel.operators import frames, matching, prefix, regions
+from umbel.operators import frames, matching, prefix, regions, robust
 from umbel.sources import catalog, tables, xvecs
 from umbel.sources.store import DescriptorStore
 from umbel.streaming import ingest
@@ -153,10 +153,10 @@ def test_ransac(spark):
     turn = np.array([[np.cos(angle), 0, np.sin(angle)], [0, 1, 0], [-np.sin(angle), 0, np.cos(angle)]])
     view = lambda p: 500 * p[:, :2] / p[:, 2:]
     a, b = view(world), view(world @ turn.T + [0.5, 0.1, 0.0])
-    assert matching.ransac_inliers(a, b, 1.0) == 60
+    assert robust.inliers(a, b, 1.0) == 60
     b[:20] += rng.uniform(40, 90, (20, 2))
-    assert 38 <= matching.ransac_inliers(a, b, 1.0) <= 46
-    assert matching.ransac_inliers(a[:7], b[:7]) is None
+    assert 38 <= robust.inliers(a, b, 1.0) <= 46
+    assert robust.inliers(a[:7], b[:7]) is None
     desc = np.eye(60)
     rows = [("good", a.tolist(), desc.tolist(), b.tolist(), desc.tolist()), ("thin", a.tolist(), desc.tolist(), b[:1].tolist(), desc[:1].tolist()), ("none", None, None, None, None)]
     one = "array<array<double>>"

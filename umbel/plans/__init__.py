@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from umbel.plans import catalogue, evaluation, quantised, ranked, regional, relational, streams, vectors  # noqa: F401  registers
+from umbel.plans import catalogue, evaluation, geometric, quantised, ranked, regional, relational, streams, vectors  # noqa: F401  registers
 from umbel.plans.registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]

@@ -175,3 +175,26 @@ def m6(t: Tables) -> DataFrame:
     o = o.withColumn("part", hash_split(F.concat_ws("-", "l_orderkey", "l_linenumber"), [0.8, 0.2]))
     model = classifier(o.where("part = 0"), ["l_quantity", "l_extendedprice", "l_discount"], "label", 2, 10)
     return model.transform(o.where("part = 1")).groupBy("label", F.col("prediction").cast("int").alias("predicted")).agg(F.count("*").alias("n"))
+
+
+@query("m6_kernel_classifier")
+def m6_kernel(t: Tables) -> DataFrame:
+    """A class inside a ring, which no line parts from the rest: area under the curve and accuracy of radial and linear margins on the held-out fifth."""
+    from umbel.operators.frames import hash_split
+    from umbel.operators.statistics import KernelClassifier, classifier
+
+    x, y = (F.col("l_quantity") - 25.5) / 25, (F.col("l_discount") - 0.05) / 0.05
+    o = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("row"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    o = o.withColumn("label", (F.col("x") * F.col("x") + F.col("y") * F.col("y") < 0.6).cast("int")).withColumn("part", hash_split(F.col("row"), [0.8, 0.2]))
+    train, test = o.where("part = 0"), o.where("part = 1")
+    found = KernelClassifier(["x", "y"], "label", "row", iterations=30).fit(train).margins(test).select("label", "margin", "predicted")
+    linear = classifier(train, ["x", "y"], "label", 2, 10).transform(test)
+    from pyspark.ml.functions import vector_to_array
+
+    linear = linear.select("label", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("margin"), F.col("prediction").cast("int").alias("predicted"))
+    out = None
+    for name, rows in (("radial", found), ("linear", linear)):
+        accuracy = rows.agg(F.avg((F.col("label") == F.col("predicted")).cast("int")).alias("accuracy"))
+        row = retrieval.auc(rows.withColumn("s", F.round("margin", 6)), "s", "label").select(F.lit(name).alias("kernel"), "auc").crossJoin(accuracy)  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -211,6 +211,32 @@ def j5(t: Tables) -> DataFrame:
     return matching.two_nearest(*_sets(t), ["pair"]).withColumns({"d1": F.round("d1", 6), "d2": F.round("d2", 6)})
 
 
+@query("x11_forest_two_nearest", f"WITH {_SQL_SETS} SELECT pair, kp, first, round(d1, 6) AS d1, round(d2, 6) AS d2 FROM two")
+def x11(t: Tables) -> DataFrame:
+    """The same by a forest of kd-trees that may open every cell, which is exact."""
+    found = matching.two_nearest_of_sets(*_sets(t), "pair", "flann", checks=None)
+    return found.select("pair", "kp", "first", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"))
+
+
+@query("x11_forest_recall")
+def x11_recall(t: Tables) -> DataFrame:
+    """Share of the true two nearest that 5 trees find with 32 to 512 checks among some 300 reference descriptors, and the share of them compared.
+
+    The vectors have no clusters, where a kd-tree is at its worst; matches of real descriptors lie far nearer than the rest.
+    """
+    s = t.embeddings.select(F.expr("vec_id DIV 400").alias("pair"), F.col("vec_id").alias("kp"), F.col("embedding").cast("array<double>").alias("vector"))
+    ver, ref = s.where("kp % 4 = 0"), s.where("kp % 4 <> 0")
+    sizes = ref.groupBy("pair").agg(F.count("*").alias("n"))
+    exact = matching.two_nearest_of_sets(ver, ref, "pair", "brute").select("pair", "kp", F.col("d2").alias("true_d2"))
+    out = None
+    for checks in (32, 128, 512):
+        found = matching.two_nearest_of_sets(ver, ref, "pair", "flann", checks=checks).join(exact, ["pair", "kp"]).join(sizes, "pair")
+        hits = (F.col("d1") <= F.col("true_d2") + 1e-12).cast("int") + (F.col("d2") <= F.col("true_d2") + 1e-12).cast("int")
+        row = found.agg(F.lit(checks).alias("checks"), F.avg(hits / 2).alias("recall_2"), F.avg(F.col("compared") / F.col("n")).alias("share_compared"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("f19_ratio_test", f"WITH {_SQL_SETS} SELECT pair, count(*) AS matches, count(*) FILTER (WHERE d1 < 0.9 * d2) AS good FROM two GROUP BY pair")
 def f19(t: Tables) -> DataFrame:
     """Matches and those that pass the ratio test (at 0.9 here: these vectors have no near copies)."""
