@@ -27,7 +27,7 @@ SKETCH, FAR = 128, 28
 SEED = 42
 #: A bucket of more texts than this is first linked by rounds in which every member meets one other; only members that these leave
 #: apart are compared by pairs.
-PAIR_ROWS = 32
+PAIR_ROWS = 8
 ROUNDS = 2
 #: Numbers in the table of counts that tells rare shingles from common ones (1 MB as it is sent to tasks).
 COUNTS = 1 << 18
