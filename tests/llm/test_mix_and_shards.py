@@ -250,7 +250,7 @@ def test_odd_shards(odd, nothing, odd_rows, bucket_rows):
 
 def test_repeated_rows_are_spread(spark, tmp_path, monkeypatch):
     """A row that stands 3000 times fills no bucket beyond its share, and the order doesn't depend on storage."""
-    monkeypatch.setattr(sharding, "_STRETCH", 6)
+    monkeypatch.setattr(store, "_STRETCH", 6)
     rows = [(7, "the same row")] * 3000 + [(i, f"t{i}") for i in range(1500)] + [(None, None)] * 500
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     orders = []
@@ -264,7 +264,7 @@ def test_repeated_rows_are_spread(spark, tmp_path, monkeypatch):
         assert all(230 < per[s] < 370 for s in range(10))
     assert orders[0] == orders[1]
     hashed = docs.select(F.monotonically_increasing_id().alias("row_id"), F.xxhash64("doc_id", "text").alias("h"))
-    numbers = Counter(r["number"] for r in sharding._repeats(settle(hashed, "h")).collect())
+    numbers = Counter(r["number"] for r in store.repeat_numbers(settle(hashed, "h")).collect())
     assert numbers == {**{i: 2 for i in range(1, 500)}, **{i: 1 for i in range(500, 3000)}}
 
 
@@ -290,3 +290,18 @@ def test_files(odd, odd_rows, spark, tmp_path):
     sharding.write_shards(odd.drop("shard", "slot"), str(tmp_path / "s"), 3)
     back = spark.read.parquet(str(tmp_path / "s"))
     check_law(back.collect(), 3, len(odd_rows))
+
+
+def test_repeated_rows_fill_no_bucket_of_the_mix(spark, tmp_path):
+    """One row stands 20,000 times: its copies are dealt over the buckets, so the bucket at the cut stays small, and quotas hold."""
+    rows = [(7, "the same row of six words", "a")] * 20_000 + [(i, f"text {i} of some words" + " more" * (i % 40), "ab"[i % 2]) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    got = mixing.mix(docs, F.col("source")).collect()
+    assert len(got) == len(rows)
+    for s in "ab":
+        mine = [r for r in got if r["source"] == s]
+        assert sum(r["taken"] for r in mine) == round(mine[0]["target"]) and all(0 <= r["taken"] <= 3 * r["size"] for r in mine)
+    same = docs.where("doc_id = 7").select(F.monotonically_increasing_id().alias("row_id"), F.lit(6).alias("size"), "source", F.array("source").alias("pattern"), F.xxhash64("doc_id").alias("h"))
+    spread = mixing._spread(settle(same, "same"))
+    assert spread.groupBy(F.pmod("h", F.lit(20_000 // mixing.BUCKET_DOCS))).count().agg(F.max("count")).first()[0] < 2 * mixing.BUCKET_DOCS

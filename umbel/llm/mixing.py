@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from umbel.llm.store import by_group, fresh, keyed_lookup, numbered, row_number, settle, word_count
+from umbel.llm.store import by_group, fresh, is_small, keyed_lookup, numbered, repeat_numbers, row_number, settle, word_count
 
 SEED = 20240301
 #: Cost of a text's first, second, third and every further copy, in order.
@@ -190,6 +190,7 @@ def mix(docs: DataFrame, sources, weigh=cycling, id_col: str = "doc_id", text_co
         ),
         "sized",
     )
+    sized = _spread(sized)
     placed, supply = _listed(sized) if listed else _shared(sized)
     cells = placed.groupBy(*CELL).agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     own: dict = defaultdict(int)
@@ -225,6 +226,16 @@ def mix(docs: DataFrame, sources, weigh=cycling, id_col: str = "doc_id", text_co
     return out.select("doc_id", "row_id", "size", "source", "pattern", copies.alias("copies"), taken.alias("taken"), "targets", "target")
 
 
+def _spread(sized: DataFrame) -> DataFrame:
+    """Rows that repeat another wholly with hashes of their own, so that no bucket gathers them."""
+    numbers = repeat_numbers(settle(sized.select("row_id", F.xxhash64("h", "source", "pattern").alias("h")), "row-hashes"))
+    if numbers is None:
+        return sized
+    numbers = F.broadcast(numbers) if is_small(numbers) else numbers.hint("merge")
+    again = F.when(F.col("number").isNull(), F.col("h")).otherwise(F.xxhash64("h", "number"))
+    return settle(sized.join(numbers, "row_id", "left").withColumn("h", again).drop("number"), "spread")
+
+
 #: The key of a cell: what one source can take of one pattern.
 CELL = ["pattern", "source"]
 

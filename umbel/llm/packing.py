@@ -20,7 +20,7 @@ from umbel.llm.tokens import default_path, encoder
 CAPACITY = 2048
 #: Bins open at once in one packing task. What online packing loses hardly depends on it: 0.8 % more sequences than the least
 #: possible number with 256 to 16,384 open bins on 66,228 pieces; packing the longest first would lose 0.003 %, but needs them all.
-OPEN_BINS = 4096
+OPEN_BINS = 256
 SEED = 20240302
 #: Pieces packed by one task; a task's last bins are its only loss against one packing of all.
 TASK_PIECES = 250_000

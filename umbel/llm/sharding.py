@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from umbel.llm.store import by_group, is_small, keyed_lookup, numbered, settle
+from umbel.llm.store import is_small, keyed_lookup, numbered, repeat_numbers, settle
 from umbel.operators import prefix
 
 SEED = 20240229
@@ -20,8 +19,6 @@ ROW_BYTES = 128
 #: There are as many buckets at least, while each gets BUCKET_ROWS rows, so that tables of few bytes use all cores.
 LEAST_BUCKETS = 256
 BUCKET_ROWS = 8192
-#: Rows of one stretch of the input in which repeated rows are numbered together, as a power of two.
-_STRETCH = 20
 
 
 def text_bytes(text) -> "F.Column":
@@ -48,23 +45,6 @@ def _row_bytes(docs: DataFrame, columns: list[str]) -> "F.Column":
     return size.cast("bigint")
 
 
-def _repeats(hashed: DataFrame) -> DataFrame:
-    """(row_id, number): numbers from 1 up for the second and further rows of each hash; ``hashed`` is settled, with row_id and h.
-
-    A hash may have a third of all rows, so rows are numbered within stretches of the input first, and the
-    stretches of a hash are summed up after. The numbers of a hash have no gaps, however the table is stored.
-    """
-    repeated = settle(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
-    rows = by_group(hashed, repeated, "h", "n", hashed.count()).select("h", "row_id", F.shiftright("row_id", _STRETCH).alias("stretch"))
-    rows = settle(rows, "repeated-rows")
-    counts = rows.groupBy("h", "stretch").agg(F.count("*").alias("rows"))
-    before = F.sum("rows").over(Window.partitionBy("h").orderBy("stretch")) - F.col("rows")
-    counts = settle(counts.select("h", "stretch", before.alias("before")), "stretches")
-    inside = rows.withColumn("number", F.row_number().over(Window.partitionBy("h", "stretch").orderBy("row_id")) - 1)
-    numbered_rows = inside.join(counts, ["h", "stretch"]).select("row_id", (F.col("before") + F.col("number")).alias("number"))
-    return settle(numbered_rows.where("number > 0"), "numbers")
-
-
 def shuffled(
     docs: DataFrame,
     shards: int = 8,
@@ -99,9 +79,9 @@ def shuffled(
     rows = max(rows, 1)
     buckets = max(-(-size // bucket_bytes), min(-(-rows // bucket_rows), LEAST_BUCKETS), 1)
     bucket = F.pmod("h", F.lit(buckets)).cast("int").alias("bucket")
-    numbers = _repeats(hashed)
+    numbers = repeat_numbers(hashed)
     again = F.xxhash64("h", "number")
-    if numbers.limit(1).count():
+    if numbers is not None:
         numbers = F.broadcast(numbers) if is_small(numbers) else numbers.hint("merge")
         spread = lambda d: d.join(numbers, "row_id", "left").withColumn("h", F.when(F.col("number") > 0, again).otherwise(F.col("h")))
         hashed, tagged = spread(hashed), spread(tagged)

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows below which a side that was counted may be broadcast (ids and a few numbers each).
@@ -22,6 +22,9 @@ BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
 BLANK_CHARS = " \t\n\u000b\f\r"
 
+#: Rows are numbered within stretches of 2 to this power of their numbers first; see ``repeat_numbers``.
+_STRETCH = 20
+
 _local_base: dict[str, str] = {}
 #: By application: the scratch paths that were given out and not freed.
 _made: dict[str, list[str]] = {}
@@ -92,6 +95,26 @@ def by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold.hint("merge"), key))
 
 
+def repeat_numbers(hashed: DataFrame) -> DataFrame | None:
+    """(row_id, number): numbers from 1 up for the second and further rows of each hash; None if no hash repeats.
+
+    ``hashed`` is settled, with row_id and h.
+    A hash may have a third of all rows, so rows are numbered within stretches of the input first, and the
+    stretches of a hash are summed up after. The numbers of a hash have no gaps, however the table is stored.
+    """
+    repeated = settle(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    if not repeated.limit(1).count():
+        return None
+    rows = by_group(hashed, repeated, "h", "n", hashed.count()).select("h", "row_id", F.shiftright("row_id", _STRETCH).alias("stretch"))
+    rows = settle(rows, "repeated-rows")
+    counts = rows.groupBy("h", "stretch").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("h").orderBy("stretch")) - F.col("rows")
+    counts = settle(counts.select("h", "stretch", before.alias("before")), "stretches")
+    inside = rows.withColumn("number", F.row_number().over(Window.partitionBy("h", "stretch").orderBy("row_id")) - 1)
+    numbered_rows = inside.join(counts, ["h", "stretch"]).select("row_id", (F.col("before") + F.col("number")).alias("number"))
+    return settle(numbered_rows.where("number > 0"), "numbers")
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True if ``df`` (best a settled table) has at most ``rows`` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows
