@@ -147,7 +147,7 @@ def test_kernel_margins_against_a_dense_solver(spark):
     rng = np.random.default_rng(0)
     x = rng.uniform(-1, 1, (200, 2))
     label = ((x**2).sum(axis=1) < 0.5).astype(int)
-    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, label, strict=True))], "id int, a double, b double, label int")
+    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, label, strict=True))], "id int, a double, b double, label int").coalesce(1)
     model = KernelClassifier(["a", "b"], "label", "id", landmarks=200, regularisation=0.05, iterations=60).fit(df)
     got = {r["id"]: r for r in model.margins(df).collect()}
     margins = np.array([got[i]["margin"] for i in range(200)])
@@ -337,3 +337,55 @@ def test_stable_regions_against_every_threshold():
                 grey = np.sort(grey, axis=1)
             got = sorted((t, s, n, round(q, 9)) for t, s, n, q in pixels.stable_regions(grey, 8, delta, 1, 0.8, 2.0))
             assert got == plain_stable(grey, 8, delta, 1, 0.8, 2.0)
+
+
+def test_metrics_merge_in_any_order(spark):
+    from umbel.operators import accumulators as acc
+
+    rng = np.random.default_rng(1)
+    rows = [(int(g) if g < 3 else None, rng.normal(size=3).tolist(), int(rng.integers(3)), float(rng.normal(1e6, 1e-2))) for g in rng.integers(0, 4, 500)]
+    rows += [(0, None, 1, None), (0, [], 1, None), (1, [1.0, 2.0, 0.0], None, None)]
+    df = spark.createDataFrame(rows, "fold bigint, outputs array<double>, label int, x double").withColumn("metric", F.lit("clash"))
+    metrics = [acc.Accuracy(), acc.Average("x", "Mean"), acc.Deviation("x")]
+    for n in (1, 7):
+        got = {(r["fold"], r["metric"]): r["value"] for r in acc.evaluate(df.repartition(n), metrics, "fold").collect()}
+        for g in (0, 1, 2, None):
+            mine = [r for r in rows if r[0] == g]
+            known = [int(np.argmax(o)) == t for _, o, t, _ in mine if o and t is not None]
+            x = np.array([r[3] for r in mine if r[3] is not None])
+            assert abs(got[g, "Accuracy"] - 100 * np.mean(known)) < 1e-9
+            assert abs(got[g, "Mean"] - x.mean()) < 1e-6 and abs(got[g, "Deviation"] - x.std()) < 1e-7
+        assert len(got) == 12
+    assert acc.evaluate(df.limit(0), metrics).count() == 0
+    assert acc.evaluate(df.where("x IS NULL AND label IS NULL"), metrics).where("value IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("form", ["mat", "proto"])
+def test_model_files(spark, tmp_path, form):
+    """Round trips, compressed containers, and the bytes by a parser of the test's own."""
+    import struct
+
+    from umbel.lopq.model import LOPQModel
+    from umbel.sources import modelfiles
+
+    rng = np.random.default_rng(3)
+    parts = {"Cs": rng.normal(size=(2, 3, 4)), "Rs": rng.normal(size=(2, 3, 4, 4)), "mus": rng.normal(size=(2, 3, 4)), "subs": rng.normal(size=(2, 2, 5, 2))}
+    model = LOPQModel(3, 4, 5, **{k: tuple(v) for k, v in parts.items()})
+    modelfiles.export(model, spark, str(tmp_path / "m"), form)
+    again = modelfiles.load(spark, str(tmp_path / "m"), form)
+    assert (again.V, again.M, again.S) == (3, 4, 5)
+    for k, v in parts.items():
+        assert np.allclose(np.array(getattr(again, k)), v, atol=0 if form == "mat" else 1e-6)
+    data = (tmp_path / "m").read_bytes()
+    if form == "mat":
+        assert modelfiles.from_mat(modelfiles.to_mat(model, compress=True)).Rs[1][2][3][1] == parts["Rs"][1, 2, 3, 1]
+        kind, size = struct.unpack_from("<II", data, 128)  # the first array: Cs, column by column
+        assert kind == 14 and struct.unpack_from("<II3i", data, 144) == (5, 12, 2, 3, 4)
+        assert np.frombuffer(data, "<f8", 24, 192).tolist() == parts["Cs"].ravel(order="F").tolist()
+        small = data[:128] + struct.pack("<II", 14, 8 * 7) + struct.pack("<4I", 6, 8, 6, 0) + struct.pack("<2I2i", 5, 8, 1, 1) + struct.pack("<HH4s", 1, 1, b"V") + struct.pack("<HHBxxx", 2, 1, 9)
+        assert modelfiles.read_mat(small)["V"].item() == 9
+        with pytest.raises(ValueError):
+            modelfiles.read_mat(b"no such file")
+    else:
+        assert data[:8] == bytes([8, 8, 16, 3, 24, 4, 32, 5])  # D, V, M, S as fields 1 to 4
+        assert data[8] == 5 << 3 | 2 and data[10] == 1 << 3 | 2 and np.allclose(np.frombuffer(data, "<f4", 12, 12), parts["Cs"][0].ravel(), atol=1e-6)

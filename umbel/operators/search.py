@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbel.functions.vectors import distance
-
-#: Query vectors held by every task at once; more are searched block by block.
-QUERY_BLOCK = 8192
+#: Queries of a block, and index rows of a part; each block meets each part in a task.
+QUERY_BLOCK = 65_536
+PART_ROWS = 65_536
+#: Index rows from which it is worth another task, and numbers of a matrix product at once.
+LEAST_ROWS = 512
+_PRODUCT = 1 << 21
 _ROWS = 4096
 #: Bits of a hash table whose buckets are probed in order of distance.
 PROBED_BITS = 12
@@ -40,50 +42,71 @@ def _best(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
     return a, b, np.sqrt(((q[a] - x[b]) ** 2).sum(axis=1))
 
 
+def _cells(index: DataFrame, queries: DataFrame, keys: list[str], k: int, with_self: bool) -> DataFrame:
+    """(query, neighbour, distance, compared) of the rows of both sides (id, v, keys) with equal keys, ``k`` for each query and cell.
+
+    The rows of a cell meet in one task: its index rows first, as a matrix, then its queries in batches, so a task holds the
+    index rows of one cell. ``compared``: index rows of the cell, on the first row of a query's.
+    """
+    kind = dict(index.dtypes)["id"]
+    columns = [*keys, "side", "id", "v"]
+    both = index.withColumn("side", F.lit(0)).select(columns).unionByName(queries.withColumn("side", F.lit(1)).select(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, cell, held, names, x = len(keys), None, [], [], None
+        for b in batches:
+            at = np.column_stack([b.column(i).to_numpy() for i in range(n + 1)])
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == end:
+                    continue
+                part = b.slice(start, end - start)
+                if (here := tuple(at[start][:n])) != cell:
+                    cell, held, x = here, [], None
+                if at[start][n] == 0:
+                    held.append(part)
+                    continue
+                if x is None and held:
+                    names, x, held = [i for h in held for i in h.column(n + 1).to_pylist()], np.concatenate([matrix(h.column(n + 2)) for h in held]), []
+                if x is None:
+                    continue
+                step = max(1, _PRODUCT // len(x))
+                for s in range(0, part.num_rows, step):
+                    asked = part.slice(s, step)
+                    own, best = asked.column(n + 1).to_pylist(), [[] for _ in range(asked.num_rows)]
+                    for q, r, d in zip(*(y.tolist() for y in _best(matrix(asked.column(n + 2)), x, k + (not with_self))), strict=True):
+                        if with_self or names[r] != own[q]:
+                            best[q].append((d, names[r]))
+                    rows = [(own[q], i, d, len(x) if not j else 0) for q, found in enumerate(best) for j, (d, i) in enumerate(sorted(found)[:k])]
+                    if rows:
+                        types = (kind_of, kind_of, pa.float64(), pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["query", "neighbour", "distance", "compared"])
+
+    kind_of = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    return both.repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, f"query {kind}, neighbour {kind}, distance double, compared bigint")
+
+
 def knn(queries: DataFrame, index: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", with_self: bool = True, block: int = QUERY_BLOCK) -> DataFrame:
     """(query, neighbour, distance, pos): the ``k`` nearest index rows of every query, ties by id, pos from 1.
 
-    Queries without neighbours give one row of nulls. Vectors are arrays of one length, ids bigint or
-    string. Queries are a stated set: blocks of bounded size go to all tasks, each task compares a block
-    to its own part of the index by matrix products and keeps k rows a query; only these are shuffled.
+    Queries without neighbours give one row of nulls. Vectors are arrays of one length, ids bigint, int or
+    string. The index is dealt into parts of PART_ROWS, the queries into blocks of ``block``; every block meets
+    every part in a task, which compares them by matrix products and keeps k rows a query. Nothing passes through the driver.
     """
-    spark = queries.sparkSession
     index = index.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    kind = dict(index.dtypes)["id"]
     q = queries.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    schema = f"query {kind}, neighbour {kind}, distance double"
-    # blocks by hash, so that each holds about ``block`` queries whatever their order
-    n = max(1, -(-q.count() // block))
-    found = None
-    for i in range(n):
-        part = q.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).where("v IS NOT NULL").toArrow()
-        if not part.num_rows:
-            continue
-        names, vectors = part.column("id").to_pylist(), matrix(part.column("v").combine_chunks())
-        held = spark.sparkContext.broadcast((names, vectors))
-
-        def near(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            names, vectors = held.value
-            keep: list[list[tuple]] = [[] for _ in names]
-            for batch in batches:
-                for s in range(0, batch.num_rows, _ROWS):
-                    b = batch.slice(s, _ROWS)
-                    ids, x = b.column(0).to_pylist(), matrix(b.column(1))
-                    for a, r, d in zip(*(y.tolist() for y in _best(vectors, x, k + (not with_self))), strict=True):
-                        if with_self or ids[r] != names[a]:
-                            keep[a].append((d, ids[r]))
-                    keep = [sorted(z)[:k] if len(z) > k else z for z in keep]
-            rows = [(names[a], i, d) for a, z in enumerate(keep) for d, i in z]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (b_kind, b_kind, pa.float64()), strict=True)], ["query", "neighbour", "distance"])
-
-        b_kind = part.schema.field("id").type
-        here = index.mapInArrow(near, schema)
-        found = here if found is None else found.union(here)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    rows, asked = index.count(), q.count()
+    # small tables in as many parts as there are cores, as long as a part is worth a task
+    parts = max(-(-rows // PART_ROWS), min(index.sparkSession.sparkContext.defaultParallelism, -(-rows // LEAST_ROWS)), 1)
+    blocks = max(1, -(-asked // block))
+    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    met = _cells(
+        index.withColumn("part", of(parts)).withColumn("block", every(blocks)), q.where("v IS NOT NULL").withColumn("block", of(blocks)).withColumn("part", every(parts)),
+        ["part", "block"], k, with_self,
+    )
     order = Window.partitionBy("query").orderBy("distance", "neighbour")
-    best = found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
+    best = met.drop("compared").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
     return q.select(F.col("id").alias("query")).join(best, "query", "left")
 
 
@@ -147,23 +170,27 @@ def lsh_search(
     """(query, neighbour, distance, pos, compared): nearest index rows among those in the ``probes`` nearest buckets of each of ``tables``.
 
     Planes go through the mean of the index, so buckets are about equally full. An index row stands once a
-    table; queries, the side that is stated, stand once a probe. Buckets are an equi-join; a pair that meets in
-    several tables is compared once. ``compared`` is the number of rows that a query met. Queries without a
-    candidate give one row of nulls. Recall depends on the data: choose ``probes`` by measuring against ``knn``.
+    table; queries, the side that is stated, stand once a probe. The rows and queries of a bucket meet in a task, which
+    compares them by matrix products and keeps k rows a query; buckets of more than PART_ROWS are met in parts.
+    ``compared`` is the number of rows that a query met, over all tables. Queries without a candidate give one row of
+    nulls. Recall depends on the data: choose ``probes`` by measuring against ``knn``.
     """
     directions = [projections(dimension, bits, seed + t) for t in range(tables)]
     center = mean_vector(index, dimension, vector_col)
 
-    def hashed(df: DataFrame, as_id: str, as_v: str, n: int) -> DataFrame:
-        d = sign_buckets(df.select(F.col(id_col).alias(as_id), F.col(vector_col).cast("array<double>").alias(as_v)), directions, as_v, center, n)
-        return d.select(as_id, as_v, F.posexplode("buckets").alias("place", "bucket")).withColumn("table", (F.col("place") / n).cast("int")).drop("place")
-
-    pairs = hashed(queries, "query", "qv", probes).join(hashed(index, "neighbour", "iv", 1), ["table", "bucket"])
-    if tables > 1:
-        pairs = pairs.groupBy("query", "neighbour").agg(F.first("qv").alias("qv"), F.first("iv").alias("iv"))
-    near = pairs.select("query", "neighbour", distance(F.col("qv"), F.col("iv")).alias("distance"))
+    def hashed(df: DataFrame, n: int) -> DataFrame:
+        d = sign_buckets(df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")), directions, "v", center, n)
+        return d.select("id", "v", F.posexplode("buckets").alias("place", "bucket")).withColumn("table", (F.col("place") / n).cast("int")).drop("place")
+
+    rows, asked = hashed(index, 1), hashed(queries, probes)
+    large = rows.groupBy("table", "bucket").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.join(large, ["table", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    asked = asked.join(large, ["table", "bucket"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    met = _cells(rows, asked, ["table", "bucket", "part"], k, True)
+    near = met.groupBy("query", "neighbour").agg(F.min("distance").alias("distance"), F.sum("compared").alias("compared"))
     order = Window.partitionBy("query").orderBy("distance", "neighbour")
-    best = near.withColumn("pos", F.row_number().over(order)).withColumn("compared", F.count("*").over(Window.partitionBy("query"))).where(F.col("pos") <= k)
+    best = near.withColumn("pos", F.row_number().over(order)).withColumn("compared", F.sum("compared").over(Window.partitionBy("query"))).where(F.col("pos") <= k)
     return queries.select(F.col(id_col).alias("query")).join(best, "query", "left")
 
 

@@ -198,3 +198,22 @@ def m6_kernel(t: Tables) -> DataFrame:
         row = retrieval.auc(rows.withColumn("s", F.round("margin", 6)), "s", "label").select(F.lit(name).alias("kernel"), "auc").crossJoin(accuracy)  # one row each
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query(
+    "x9_metric_accumulators",
+    """WITH e AS (SELECT vec_id % 4 AS fold, embedding[1:5]::DOUBLE[] AS o, label % 5 AS l, len(list_filter(embedding, lambda x: x > 0)) AS n, list_sum(embedding[1:8]::DOUBLE[]) AS s FROM embeddings)
+    SELECT fold, 'Accuracy' AS metric, round(100 * avg((list_position(o, list_max(o)) - 1 = l)::INT), 6) AS value FROM e GROUP BY fold
+    UNION ALL SELECT fold, 'Average nonzero triplets', round(avg(n), 6) FROM e GROUP BY fold
+    UNION ALL SELECT fold, 'Deviation', round(stddev_pop(s), 6) FROM e GROUP BY fold""",
+)
+def x9(t: Tables) -> DataFrame:
+    """Three metrics of four folds through one interface of mergeable states."""
+    from umbel.operators import accumulators as acc
+
+    v = F.col("embedding").cast("array<double>")
+    rows = t.embeddings.select(
+        (F.col("vec_id") % 4).alias("fold"), F.slice(v, 1, 5).alias("outputs"), (F.col("label") % 5).alias("label"), F.size(F.filter(v, lambda x: x > 0)).alias("losses"),
+        F.aggregate(F.slice(v, 1, 8), F.lit(0.0), lambda s, x: s + x).alias("score"),
+    )
+    return acc.evaluate(rows, [acc.Accuracy(), acc.Average("losses"), acc.Deviation("score")], "fold").withColumn("value", F.round("value", 6))

@@ -252,3 +252,23 @@ def k12(t: Tables) -> DataFrame:
     _model(t).save(t.spark, path)
     rows = LOPQModel.load(t.spark, path).rows()
     return t.spark.createDataFrame([(r[0], r[1], r[2], len(r[4]), float(sum(r[4]))) for r in rows], "kind string, split int, idx int, size int, total double")
+
+
+@query("k12_s14_model_files")
+def k12_files(t: Tables) -> DataFrame:
+    """A model written as a MAT container and as a message, read again: numbers of every part, and how far the codes of all vectors agree."""
+    from umbel.sources import modelfiles
+
+    m, out = _model(t), None
+    codes = m.encode(t.embeddings, "vec_id", "embedding")
+    for form in modelfiles.FORMS:
+        path = t.scratch(form) + f"/model.{form}"
+        modelfiles.export(m, t.spark, path, form)
+        again = modelfiles.load(t.spark, path, form)
+        same = again.encode(t.embeddings, "vec_id", "embedding").select("id", *[F.col(c).alias(f"{c}_") for c in ("c0", "c1", "fine")]).join(codes, "id")
+        row = same.agg(
+            F.lit(form).alias("form"), *[F.lit(sum(len(r[4]) for r in again.rows() if r[0] == k)).alias(k) for k in ("Cs", "Rs", "mus", "subs")],
+            F.avg(((F.col("c0") == F.col("c0_")) & (F.col("c1") == F.col("c1_"))).cast("int")).alias("same_cell"), F.avg((F.col("fine") == F.col("fine_")).cast("int")).alias("same_code"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -265,3 +265,38 @@ def f10(t: Tables) -> DataFrame:
     from umbel.functions.keys import is_index
 
     return descriptors(t).groupBy(is_index(F.col("filename")).alias("is_index")).agg(F.count("*").alias("n"))
+
+
+def _document_vectors(t: Tables) -> DataFrame:
+    """(vec_id, embedding) of every document with a word: signed counts of its words in 64 hashed places, of length 1."""
+    words = t.documents.select("doc_id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
+    h = F.xxhash64("w")
+    sums = words.groupBy("doc_id", F.pmod(h, F.lit(64)).cast("int").alias("place")).agg(F.sum(F.when(F.shiftright(h, 32).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)).alias("n"))
+    cells = sums.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
+    v = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("length"))
+    return cells.where("length > 0").select(F.col("doc_id").alias("vec_id"), v.alias("embedding"))
+
+
+def _curve(rows: DataFrame, probes: tuple[int, ...], data: str) -> DataFrame:
+    """(data, probes, share_compared, recall_1, recall_20): the query set of ids divisible by 50 against all rows."""
+    q, n = rows.where("vec_id % 50 = 0"), rows.count()
+    truth = search.knn(q, rows, 20, "vec_id", "embedding", with_self=False).select("query", "neighbour", F.col("pos").alias("true_pos"), "distance")
+    worst = truth.groupBy("query").agg(F.max("distance").alias("d20"), F.min("distance").alias("d1"))
+    out = None
+    for p in probes:
+        found = search.lsh_search(q, rows, 21, id_col="vec_id", vector_col="embedding", **{**LSH, "probes": p}).where("query <> neighbour")
+        # copies are as near as each other, so a neighbour counts by its distance, not by its name
+        hits = found.join(worst, "query").where("distance <= d20 + 1e-9").groupBy("query").agg(F.least(F.count("*"), F.lit(20)).alias("hits"), F.max((F.col("distance") <= F.col("d1") + 1e-9).cast("int")).alias("first"), F.max("compared").alias("compared"))
+        each = worst.join(hits, "query", "left").na.fill(0, ["hits", "first", "compared"])
+        row = each.agg(F.lit(data).alias("data"), F.lit(p).alias("probes"), F.round(F.avg("compared") / n, 4).alias("share_compared"), F.round(F.avg("first"), 4).alias("recall_1"), F.round(F.avg("hits") / 20, 4).alias("recall_20"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("j4_recall_curve")
+def j4_curve(t: Tables) -> DataFrame:
+    """Recall against the share of rows compared: vectors without clusters, and word vectors of the documents, which have weak ones."""
+    path = t.scratch("document-vectors")
+    _document_vectors(t).write.parquet(path)
+    docs = t.spark.read.parquet(path)
+    return _curve(t.embeddings.select("vec_id", "embedding"), (4, 32, 96, 204), "embeddings").unionByName(_curve(docs, (4, 32, 96, 204), "documents"))
