@@ -125,7 +125,7 @@ def _summed(vectors: DataFrame, partial: Callable[[np.ndarray], dict[str, np.nda
                 yield _sums_batch([(task, k, list(v.shape), v.tobytes())])
 
     sums = vectors.mapInArrow(run, SUMS)
-    for groups in (SUM_TASKS, 1) if vectors.rdd.getNumPartitions() > SUM_TASKS else (1,):
+    for groups in (SUM_TASKS, 1):
         grouped = sums.withColumn("part", F.col("task")).withColumn("task", F.col("task") % groups).repartition("task", "name")
         sums = grouped.sortWithinPartitions("task", "name", "part").drop("part").mapInArrow(_add, SUMS)
     return {r["name"]: np.frombuffer(r["values"]).reshape(r["shape"]) for r in sums.collect()}
@@ -160,6 +160,31 @@ def _lloyd(vectors: DataFrame, split: Callable[[np.ndarray], list[np.ndarray]],
     return centroids, cost
 
 
+def coarse_rounds(df: DataFrame, seeds: list[np.ndarray], rounds: int, vector_col: str = "vector") -> list[np.ndarray]:
+    """k-means of consecutive parts of equal length of all vectors, from given seeds of each part (k x part length); a cluster without rows stays."""
+    n = len(seeds)
+    rows = df.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).cast("array<double>").alias("v"))
+    return _lloyd(rows, lambda x: np.split(x, n, axis=1), seeds, rounds)[0]
+
+
+def cell_moments(rows: DataFrame, cs: tuple) -> dict[str, np.ndarray]:
+    """Of the residuals of each half (0, 1) and cell: o0, o1 sums of outer products, t0, t1 sums, n0, n1 counts. ``rows``: one column of vectors."""
+
+    def partial(x: np.ndarray) -> dict[str, np.ndarray]:
+        out, half = {}, x.shape[1] // 2
+        for s, c in enumerate(cs):
+            p = x[:, s * half : (s + 1) * half]
+            a = assign(p, c)
+            r = p - c[a]
+            outer, total = np.zeros((len(c), half, half)), np.zeros_like(c)
+            for v in np.unique(a):
+                outer[v], total[v] = r[a == v].T @ r[a == v], r[a == v].sum(axis=0)
+            out |= {f"o{s}": outer, f"t{s}": total, f"n{s}": np.bincount(a, minlength=len(c)).astype(float)}
+        return out
+
+    return _summed(rows, partial)
+
+
 @dataclass
 class LOPQModel:
     """V coarse clusters of each half, M subvectors, S clusters of each; parts that are given are not trained."""
@@ -200,21 +225,7 @@ class LOPQModel:
             tries = [_lloyd(rows, lambda x: [x[:, :half], x[:, half:]], [plus_plus(few[:, :half], self.V, rng), plus_plus(few[:, half:], self.V, rng)], coarse_rounds) for _ in range(n_init)]
             self.Cs = tuple(min(tries, key=lambda t: t[1])[0])
         if self.Rs is None:
-            cs = self.Cs
-
-            def partial(x: np.ndarray) -> dict[str, np.ndarray]:
-                out = {}
-                for s, c in enumerate(cs):
-                    p = x[:, s * half : (s + 1) * half]
-                    a = assign(p, c)
-                    r = p - c[a]
-                    outer, total = np.zeros((len(c), half, half)), np.zeros_like(c)
-                    for v in np.unique(a):
-                        outer[v], total[v] = r[a == v].T @ r[a == v], r[a == v].sum(axis=0)
-                    out |= {f"o{s}": outer, f"t{s}": total, f"n{s}": np.bincount(a, minlength=len(c)).astype(float)}
-                return out
-
-            sums = _summed(rows, partial)
+            sums = cell_moments(rows, self.Cs)
             made = [[rotation(sums[f"o{s}"][v], sums[f"t{s}"][v], int(sums[f"n{s}"][v]), self.M // 2) for v in range(self.V)] for s in (0, 1)]
             self.Rs = tuple(np.array([r for r, _ in m]) for m in made)
             self.mus = tuple(np.array([u for _, u in m]) for m in made)

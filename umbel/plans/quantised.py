@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from umbel.functions import vectors as v
 from umbel.lopq import LOPQModel, build_index, evaluate, search
+from umbel.lopq.model import cell_moments, coarse_rounds
 from umbel.lopq.search import cells_in_order, cells_to_quota, reranked, share_quota, write_index
 from umbel.operators.retrieval import recall
 from umbel.operators.search import knn
@@ -272,3 +273,37 @@ def k12_files(t: Tables) -> DataFrame:
         )
         out = row if out is None else out.unionByName(row)
     return out
+
+
+_SQL_SEEDED = """e AS (SELECT vec_id, h AS half, embedding[(h * 32 + 1)::INT : (h * 32 + 32)::INT]::DOUBLE[] AS v FROM embeddings, (VALUES (0), (1)) AS t(h)),
+  seed AS (SELECT half, row_number() OVER (PARTITION BY half ORDER BY vec_id) - 1 AS cell, v AS c FROM e QUALIFY row_number() OVER (PARTITION BY half ORDER BY vec_id) <= 4),
+  near AS (SELECT vec_id, e.half, arg_min(cell, list_distance(v, c)) AS cell FROM e JOIN seed USING (half) GROUP BY vec_id, e.half),
+  x AS (SELECT half, cell, vec_id, unnest(v) AS v, unnest(range(0, 32)) AS d FROM near JOIN e USING (vec_id, half))"""
+
+
+def _seeds(t: Tables) -> list[np.ndarray]:
+    """The halves of the four vectors of least id."""
+    first = np.array([r["embedding"] for r in t.embeddings.orderBy("vec_id").limit(4).collect()], float)
+    return np.split(first, 2, axis=1)
+
+
+@query("v7_seeded_coarse_round", f"WITH {_SQL_SEEDED} SELECT half, cell::INT AS cell, d::INT AS dimension, round(avg(v), 6) AS centre FROM x GROUP BY half, cell, d")
+def v7(t: Tables) -> DataFrame:
+    """Coarse centroids after one round from given seeds, every component of every cell."""
+    found = coarse_rounds(t.embeddings, _seeds(t), 1, "embedding")
+    rows = [(s, i, d, float(v)) for s, c in enumerate(found) for i, row in enumerate(c) for d, v in enumerate(row)]
+    return t.spark.createDataFrame(rows, "half int, cell int, dimension int, centre double").withColumn("centre", F.round("centre", 6))
+
+
+@query(
+    "a32_cell_moments",
+    f"""WITH {_SQL_SEEDED}, r AS (SELECT x.half, x.cell, vec_id, d, v - c[d + 1] AS r FROM x JOIN seed s ON s.half = x.half AND s.cell = x.cell),
+    p AS (SELECT half, cell, vec_id, list(r ORDER BY d) AS r FROM r GROUP BY ALL)
+    SELECT half, cell::INT AS cell, count(*) AS n, round(sum(list_inner_product(r, r)), 5) AS trace, round(sum(r[1] * r[32]), 5) AS corner, round(sum(r[2]), 5) AS second FROM p GROUP BY half, cell""",
+)
+def a32(t: Tables) -> DataFrame:
+    """Count, trace and one corner of the sum of outer products, and one component of the sum, of the residuals of each cell."""
+    rows = t.embeddings.select(F.col("embedding").cast("array<double>").alias("v"))
+    m = cell_moments(rows, tuple(_seeds(t)))
+    out = [(s, i, int(m[f"n{s}"][i]), *(round(float(x), 5) + 0.0 for x in (np.trace(m[f"o{s}"][i]), m[f"o{s}"][i][0, 31], m[f"t{s}"][i][1]))) for s in (0, 1) for i in range(4)]
+    return t.spark.createDataFrame(out, "half int, cell int, n bigint, trace double, corner double, second double")
