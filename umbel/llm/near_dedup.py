@@ -27,7 +27,7 @@ SKETCH, FAR = 128, 28
 SEED = 42
 #: A bucket of more texts than this is first linked by rounds in which every member meets one other; only members that these leave
 #: apart are compared by pairs.
-PAIR_ROWS = 8
+PAIR_ROWS = 32
 ROUNDS = 2
 #: Numbers in the table of counts that tells rare shingles from common ones (1 MB as it is sent to tasks).
 COUNTS = 1 << 18
@@ -99,7 +99,8 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose sets have a Jaccard similarity of ``similarity`` or more."""
     pairs = settle(pairs.distinct(), "candidates")
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidate-rows")
+    ends = pairs.select("a").distinct().union(pairs.select("b").distinct())
+    ids = settle(ends.toDF("node").distinct(), "candidate-rows")
     sets = settle(_sets(texts.join(ids, "node").select("node", "text"), width), "candidate-sets")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
