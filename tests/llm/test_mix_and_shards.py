@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from umbel.llm import mixing, queries, sharding
+from umbel.llm import mixing, queries, sharding, store
 from umbel.llm.store import settle
 
 from .conftest import SF
