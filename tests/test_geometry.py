@@ -380,8 +380,8 @@ def test_model_files(spark, tmp_path, form):
     if form == "mat":
         assert modelfiles.from_mat(modelfiles.to_mat(model, compress=True)).Rs[1][2][3][1] == parts["Rs"][1, 2, 3, 1]
         kind, size = struct.unpack_from("<II", data, 128)  # the first array: Cs, column by column
-        assert kind == 14 and struct.unpack_from("<II3i", data, 144) == (5, 12, 2, 3, 4)
-        assert np.frombuffer(data, "<f8", 24, 192).tolist() == parts["Cs"].ravel(order="F").tolist()
+        assert kind == 14 and struct.unpack_from("<II3i", data, 152) == (5, 12, 2, 3, 4)
+        assert np.frombuffer(data, "<f8", 24, 200).tolist() == parts["Cs"].ravel(order="F").tolist()
         small = data[:128] + struct.pack("<II", 14, 8 * 7) + struct.pack("<4I", 6, 8, 6, 0) + struct.pack("<2I2i", 5, 8, 1, 1) + struct.pack("<HH4s", 1, 1, b"V") + struct.pack("<HHBxxx", 2, 1, 9)
         assert modelfiles.read_mat(small)["V"].item() == 9
         with pytest.raises(ValueError):
