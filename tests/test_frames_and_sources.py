@@ -29,6 +29,15 @@ def images(tmp_path):
     return tmp_path
 
 
+def test_names_of_tables_in_files_and_folders(spark, tmp_path):
+    rows = spark.range(4).selectExpr("id", "id % 2 AS half")
+    rows.repartition(3).write.parquet(f"{tmp_path}/tables/events.parquet")
+    rows.write.partitionBy("half").parquet(f"{tmp_path}/tables/pages.parquet")
+    part = next((tmp_path / "tables" / "events.parquet").glob("part-*.parquet"))
+    (tmp_path / "tables" / "nation.parquet").write_bytes(part.read_bytes())
+    assert sorted(r["name"] for r in catalog.table_names(spark, f"{tmp_path}/tables").collect()) == ["events", "nation", "pages"]
+
+
 def test_catalogue(spark, images):
     files = catalog.load(spark, str(images))
     assert files.count() == 6 and set(files.columns) == {"path", "filename", *keys.BY_DATABASE["enrollment"]}

@@ -23,8 +23,8 @@ def s1(t: Tables) -> DataFrame:
 
 @query("s2_file_scan", "SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS name")
 def s2(t: Tables) -> DataFrame:
-    """Names of the Parquet files below the folder; contents are not read."""
-    return catalog.scan(t.spark, t.folder, "*.parquet", recursive=True).select(keys.stem(F.col("path")).alias("name"))
+    """Names of the Parquet tables below the folder, files or folders of parts; contents are not read."""
+    return catalog.table_names(t.spark, t.folder)
 
 
 @query("s3_debug_list", "SELECT 'PFP_Ph1_P0608_D01_S001_C2_az180_side1' AS filename, 608 AS packageclass, 1 AS phone, 1 AS distinct_, 1 AS sample, 2 AS size, 180 AS angle, 1 AS side")

@@ -17,6 +17,12 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*.png", recursive: bo
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(folder).select("path")
 
 
+def table_names(spark: SparkSession, folder: str) -> DataFrame:
+    """(name) of the folder's Parquet tables, each a file or a folder of part files, partitioned or not; contents are never read."""
+    table = F.regexp_extract("path", r"([^/]+)\.parquet(?:/[^/]+=[^/]*)*(?:/[^/]+)?$", 1)
+    return scan(spark, folder, "*.parquet", True).select(table.alias("name")).distinct()
+
+
 def folder_classes(spark: SparkSession, folder: str, pattern: str = "*.png") -> DataFrame:
     """(path, label): the class of a file is the name of its folder."""
     return scan(spark, folder, pattern, True).withColumn("label", F.element_at(F.split("path", "/"), -2))
