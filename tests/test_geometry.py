@@ -107,6 +107,17 @@ def test_homography_with_a_third_of_outliers():
     assert np.allclose(robust.homography(a[1:30:3][:4], b[1:30:3][:4]), h, atol=1e-7)
 
 
+def test_samples_of_four_at_once_are_those_one_by_one():
+    rng = np.random.default_rng(2)
+    a, b = rng.uniform(0, 300, (30, 2)), rng.uniform(0, 300, (30, 2))
+    picks = np.array([rng.choice(30, 4, replace=False) for _ in range(20)])
+    found = robust._homographies_of_four(a, b, picks)
+    assert len(found) == 20
+    for h, p in zip(found, picks, strict=True):
+        assert robust.transfer_error(h, a[p], b[p]).max() < 1e-4
+    assert robust._agreeing(found, a, b, 3.0).tolist() == [int((robust.transfer_error(h, a, b) <= 3.0).sum()) for h in found]
+
+
 def test_scenes_of_odd_sizes(spark):
     rows = [(1, i, float(i), 0.0, float(i), 0.0) for i in range(3)] + [(2, i, 5.0, 5.0, 5.0, 5.0) for i in range(9)]
     df = spark.createDataFrame(rows, "scene bigint, id bigint, x double, y double, u double, v double")
