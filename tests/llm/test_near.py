@@ -259,3 +259,22 @@ def test_large_bucket_of_middling_texts_against_all_pairs(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5).write.parquet(str(tmp_path / "t"))
     got = sorted(r["doc_id"] for r in near_dedup.keep_one(spark.read.parquet(str(tmp_path / "t"))).collect())
     assert got == plain_kept(list(enumerate(texts)))
+
+
+def test_texts_of_shared_variants_meet_only_if_they_may_be_similar(spark):
+    """Five places with three variants each: every shingle is common, but most pairs differ in too many."""
+    from itertools import combinations, product
+
+    from umbel.llm import near_dedup
+
+    words = [f"w{i}" for i in range(90)]
+    texts = []
+    for choice in product("abc", repeat=5):
+        for i, c in enumerate(choice):
+            words[10 + 16 * i] = f"{c}{i}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    met = {(r["a"], r["b"]) for r in near_dedup._prefix_pairs(docs.select("node", F.col("node").alias("label")), docs, 5, 0.8).collect()}
+    sets = [set(near_dedup.shingle_set(t, 5).tolist()) for t in texts]
+    similar = {(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(similar) == 1215 and similar <= met and len(met) < 5 * len(similar)

@@ -32,6 +32,8 @@ ROUNDS = 2
 #: Numbers in the table of counts that tells rare shingles from common ones (1 MB as it is sent to tasks).
 COUNTS = 1 << 18
 _COUNT_SLICE = 512
+#: Bits of a parity map, in which two sets differ in no more places than they differ in shingles.
+PARITY = 256
 _SLICE_ROWS = 128
 _draw = np.random.default_rng(SEED)
 _FACTORS = _draw.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
@@ -61,6 +63,12 @@ def band_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.packbits(bits, axis=1).view("<u8")
 
 
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """PARITY / 64 numbers (int64): a bit is set if an odd number of the set's shingles falls on it."""
+    odd = np.bincount((shingles >> 40) & (PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def signatures(docs: DataFrame, row_id: str, width: int, text_col: str) -> DataFrame:
     """(row_id, set_key, size, s1, s2, keys) of the rows whose text has a word; equal sets have equal set_key."""
     schema = "row_id bigint, set_key string, size int, s1 bigint, s2 bigint, keys array<bigint>"
@@ -158,11 +166,14 @@ def _prefix_pairs(nodes: DataFrame, texts: DataFrame, width: int, similarity: fl
     0.2 n of the larger (for 0.8). What is common to a group of texts comes last in this order, so texts that share
     much, but not enough, don't meet. Any order does that is the same for all; rarity is told by a table of counts
     of fixed size. Of those who meet at a shingle, the label that most of them have is not compared with itself.
+    Parity maps then tell most of those apart who share common shingles, and only those who can't be similar: each place in
+    which two maps differ takes another shingle that one set has alone.
     """
     spark = nodes.sparkSession
     sets = settle(_sets(texts.join(settle(nodes, "apart"), "node").select("node", "text"), width).join(nodes, "node"), "apart-sets")
     counts = spark.sparkContext.broadcast(_counts(sets))
-    schema = "node bigint, label bigint, size int, token bigint, place int"
+    maps = [f"p{i}" for i in range(PARITY // 64)]
+    schema = "node bigint, label bigint, size int, token bigint, place int, " + ", ".join(f"{c} bigint" for c in maps)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,22 +182,25 @@ def _prefix_pairs(nodes: DataFrame, texts: DataFrame, width: int, similarity: fl
                 n = len(x) - math.ceil(similarity * len(x) - 1e-9) + 1
                 first = x[np.lexsort((x, counts.value[x & (len(counts.value) - 1)]))[:n]]
                 same = [pa.array(np.full(len(first), v, t)) for v, t in ((node, np.int64), (label, np.int64), (len(x), np.int32))]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(first), pa.array(np.arange(len(first), dtype=np.int32))], ["node", "label", "size", "token", "place"])
+                parity = [pa.array(np.full(len(first), v, np.int64)) for v in parity_map(x)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(first), pa.array(np.arange(len(first), dtype=np.int32)), *parity], ["node", "label", "size", "token", "place", *maps])
 
     entries = settle(sets.select("node", "label", "shingles").mapInArrow(prefixes, schema), "prefixes")
     at_least = lambda x: F.ceil(x - 1e-9)
     labels = entries.groupBy("token", "label").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels"))
     placed = entries.join(labels.where("labels > 1").select("token", F.col("most.label").alias("main")), "token")
     placed = settle(placed, "open-prefixes")
-    other = placed.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "size", "place")])
+    other = placed.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "size", "place", *maps)])
     x, y = F.struct("size", "node"), F.struct("size2", "node2")
     index = lambda size: size - at_least(2 * similarity / (1 + similarity) * size)
     rest = F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))
     enough = rest >= at_least(similarity / (1 + similarity) * (F.col("size") + F.col("size2")))
     sizes = F.least("size", "size2") >= similarity * F.greatest("size", "size2") - 1e-9
     first = F.when(x < y, F.col("place") <= index(F.col("size"))).otherwise(F.col("place2") <= index(F.col("size2")))
+    differ = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in maps)
+    alike = differ <= (1 - similarity) / (1 + similarity) * (F.col("size") + F.col("size2")) + 1e-9
     # a pair of two of the others is met from both sides
-    met = placed.where("label <> main").join(other, "token").where((F.col("label") != F.col("label2")) & sizes & enough & first)
+    met = placed.where("label <> main").join(other, "token").where((F.col("label") != F.col("label2")) & sizes & enough & first & alike)
     return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
 
 
