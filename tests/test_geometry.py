@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -323,6 +324,13 @@ def test_cleared_borders_stay_clear(spark, tmp_path):
     assert pixels.clear_borders(df.limit(0), ["image"], 2, scratch).count() == 0
 
 
+def test_regions_pass_nothing_through_the_driver(spark, tmp_path):
+    pixel = spark.createDataFrame([(1, 2, 3), (1, 2, 4), (1, 5, 0)], "image bigint, y bigint, x bigint")
+    left = pixels.clear_borders(pixel, ["image"], 0, lambda name: f"{tmp_path}/{name}-{uuid.uuid4().hex}")
+    assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["y"], r["x"]) for r in left.collect()) == [(2, 3), (2, 4)]
+
+
 def test_line_dilation():
     assert pixels.line_offsets(5, 0) == [(x, 0) for x in range(-2, 3)] and pixels.line_offsets(5, -90) == [(0, y) for y in range(-2, 3)]
     image = np.zeros((40, 40), bool)

@@ -33,7 +33,7 @@ def touching(found: DataFrame, keys: list[str], diagonal: bool = True) -> DataFr
     strip = lambda a, b: F.explode(F.sequence(F.floor(a / STRIP), F.floor(b / STRIP)))
     low = found.select(*keys, "run", "x0", "x1", (F.col("y") + 1).alias("row"), strip(F.col("x0") - reach, F.col("x1") + reach).alias("strip"))
     high = found.select(*keys, F.col("run").alias("near"), F.col("x0").alias("a"), F.col("x1").alias("b"), F.col("y").alias("row"), strip(F.col("x0"), F.col("x1")).alias("strip"))
-    met = low.join(high, [*keys, "row", "strip"]).where((F.col("a") <= F.col("x1") + reach) & (F.col("b") >= F.col("x0") - reach)).select(*keys, "run", "near").distinct()
+    met = low.join(high.hint("merge"), [*keys, "row", "strip"]).where((F.col("a") <= F.col("x1") + reach) & (F.col("b") >= F.col("x0") - reach)).select(*keys, "run", "near").distinct()
     return met.unionByName(met.select(*keys, F.col("near").alias("run"), F.col("run").alias("near")))
 
 
@@ -41,7 +41,8 @@ def labelled(pixels: DataFrame, keys: list[str], scratch: Callable[[str], str],
     """(keys, y, x0, x1, run, label): runs with the least run of their connected region.
 
     Every round a run takes the least label around it and then the label which that one has come to, so labels
-    travel twice as far each time. ``scratch`` names folders for the rounds' tables.
+    travel twice as far each time. ``scratch`` names folders for the rounds' tables. All sides grow with the pixels, so joins merge:
+    a broadcast would pass them through the driver, in every round again.
     """
     spark = pixels.sparkSession
 
@@ -54,13 +55,13 @@ def labelled(pixels: DataFrame, keys: list[str], scratch: Callable[[str], str],
     links = kept(touching(found, keys, diagonal), "touching")
     labels = found.select(*keys, "run", F.col("run").alias("label"))
     while True:
-        heard = links.join(labels.withColumnRenamed("run", "near"), [*keys, "near"]).groupBy(*keys, "run").agg(F.min("label").alias("heard"))
-        lower = kept(labels.join(heard, [*keys, "run"], "left").select(*keys, "run", F.col("label").alias("was"), F.least("label", "heard").alias("label")), "lower")
+        heard = links.join(labels.withColumnRenamed("run", "near").hint("merge"), [*keys, "near"]).groupBy(*keys, "run").agg(F.min("label").alias("heard"))
+        lower = kept(labels.join(heard.hint("merge"), [*keys, "run"], "left").select(*keys, "run", F.col("label").alias("was"), F.least("label", "heard").alias("label")), "lower")
         further = lower.select(*keys, F.col("run").alias("label"), F.col("label").alias("further"))
-        after = kept(lower.join(further, [*keys, "label"]).select(*keys, "run", "was", F.col("further").alias("label")), "labels")
+        after = kept(lower.join(further.hint("merge"), [*keys, "label"]).select(*keys, "run", "was", F.col("further").alias("label")), "labels")
         labels = after.drop("was")
         if not after.where("was <> label").limit(1).count():
-            return found.join(labels, [*keys, "run"])
+            return found.join(labels.hint("merge"), [*keys, "run"])
 
 
 def as_pixels(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,7 +76,7 @@ def clear_borders(pixels: DataFrame, keys: list[str], margin: int, scratch: Call
     """
     found = labelled(pixels, keys, scratch)
     gone = found.where((F.col("x0") <= margin) | (F.col("y") == margin)).select(*keys, "label").distinct()
-    return as_pixels(found.join(gone, [*keys, "label"], "left_anti"), keys)
+    return as_pixels(found.join(gone.hint("merge"), [*keys, "label"], "left_anti"), keys)
 
 
 def line_offsets(length: int, angle: float) -> list[tuple[int, int]]:
