@@ -182,7 +182,7 @@ def i20(t: Tables) -> DataFrame:
     counts = found.groupBy(*keys).agg(F.count("*").alias("pixels"))
     areas = polygons.outlines(found, keys).groupBy(*keys).agg(*[F.max(F.when(F.col("method") == m, F.col("area"))).alias(f"{m}_area") for m in ("contour", "brect")])
     region = (F.shiftright("label", 32) * 8 + F.col("label").bitwiseAND(F.lit((1 << 32) - 1))).alias("region")
-    return areas.join(counts, keys).select("image", region, "pixels", "contour_area", "brect_area")
+    return areas.join(counts.hint("merge"), keys).select("image", region, "pixels", "contour_area", "brect_area")
 
 
 @query(
