@@ -1,5 +1,6 @@
 """Exact and hashed search, quantisation: against numpy and by their properties."""
 
+import importlib
 import warnings
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from umbel.lopq import LOPQModel, build_index, evaluate, search
 from umbel.lopq.model import allocate, rotation
-from umbel.lopq.search import cell, cells_in_order, cells_to_quota, read_index, write_index
+from umbel.lopq.search import cell, cells_in_order, cells_to_quota, distances, read_index, reranked, search_reranked, write_index
 from umbel.operators.retrieval import recall
 from umbel.operators.search import knn, lsh_search, projection_tree, projections
 
@@ -139,6 +140,23 @@ def test_cells(spark, clustered, model):
         assert sum(c for _, c in mine) >= 100 > sum(c for _, c in mine[:-1])
 
 
+@pytest.mark.parametrize("depth", [37, 10**6])
+def test_search_by_vectors_without_a_row_for_each_pair(spark, clustered, model, monkeypatch, depth):
+    """The rows of a whole search by code and a whole re-ranking, with copies, from parts that send some rows a query each."""
+    lopq_search = importlib.import_module("umbel.lopq.search")
+    for name, n in (("QUERY_BLOCK", 20), ("PART_ROWS", 200), ("LEAST_ROWS", 200), ("_PRODUCT", 500)):
+        monkeypatch.setattr(lopq_search, name, n)
+    x = frame(spark, np.concatenate([clustered, clustered[:200], clustered[:100]])).repartition(3)
+    index, q = build_index(x, model), x.where("id % 40 = 0").unionByName(spark.createDataFrame([(-1, None)], x.schema))
+    plain = lambda df: sorted(map(tuple, df.select("query", "pos", "neighbour", "distance").collect()), key=str)
+    got = plain(search_reranked(q, index, model, x, 700, depth, 9))
+    assert got == plain(reranked(search(q, index, model, 700, depth), q, x, 9)) and (-1, None, None, None) in got
+    all_pairs = distances(q, index, model, 700)
+    near = distances(q, index, model, 700, 9)
+    assert all_pairs.groupBy("query").count().where("count < 700").count() == 0
+    assert near.groupBy("query").count().agg(F.max("count")).first()[0] <= 9 * 2 * (16 + len(clustered) * 2 // 200)
+
+
 def test_store_and_index_round_trip(spark, clustered, model, tmp_path):
     model.save(spark, str(tmp_path / "m"))
     again = LOPQModel.load(spark, str(tmp_path / "m"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,36 @@ def _best(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
     return a, b, np.sqrt(((q[a] - x[b]) ** 2).sum(axis=1))
 
 
+def in_cells(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list[pa.RecordBatch], pa.RecordBatch]]:
+    """(index rows of a cell, a slice of its queries), slice by slice, from rows sorted by ``n`` key columns and a side: index rows (0) before
+    queries (1). The list of a cell is the same object for all its slices; cells without index rows give nothing."""
+    cell, held = None, []
+    for b in batches:
+        at = np.column_stack([b.column(i).to_numpy() for i in range(n + 1)])
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if start == end:
+                continue
+            if (here := tuple(at[start][:n])) != cell:
+                cell, held = here, []
+            if at[start][n] == 0:
+                held.append(b.slice(start, end - start))
+            elif held:
+                yield held, b.slice(start, end - start)
+
+
+def places(ids: pa.Array) -> np.ndarray:
+    """The place of every id in their order, nulls first."""
+    order, out = pc.sort_indices(ids, null_placement="at_start").to_numpy(), np.empty(len(ids), np.int64)
+    out[order] = np.arange(len(ids))
+    return out
+
+
+def first_of_each(a: np.ndarray, k: int) -> np.ndarray:
+    """Of sorted numbers, the places of the first ``k`` of each."""
+    return np.flatnonzero(np.arange(len(a)) - np.searchsorted(a, a) < k)
+
+
 def _cells(index: DataFrame, queries: DataFrame, keys: list[str], k: int, with_self: bool) -> DataFrame:
     """(query, neighbour, distance, compared) of the rows of both sides (id, v, keys) with equal keys, ``k`` for each query and cell.
 

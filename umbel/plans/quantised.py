@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from umbel.functions import vectors as v
 from umbel.lopq import LOPQModel, build_index, evaluate, search
 from umbel.lopq.model import cell_moments, coarse_rounds
-from umbel.lopq.search import cells_in_order, cells_to_quota, reranked, share_quota, write_index
+from umbel.lopq.search import cells_in_order, cells_to_quota, distances, search_reranked, share_quota, write_index
 from umbel.operators.retrieval import recall
 from umbel.operators.search import knn
 from umbel.plans.registry import Tables, query
@@ -134,11 +134,16 @@ def v13(t: Tables) -> DataFrame:
 SHARE, DEPTH = 0.9, 0.5
 
 
+def _stored_index(t: Tables, m: LOPQModel) -> DataFrame:
+    """The index rows of all vectors, written once, as a search reads them several times."""
+    path = t.scratch("index")
+    build_index(t.embeddings, m, "vec_id", "embedding").write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
 def _found(t: Tables, m: LOPQModel, limit: int) -> DataFrame:
     e = t.embeddings
-    index = build_index(e, m, "vec_id", "embedding")
-    found = search(e.where("vec_id % 50 = 0"), index, m, share_quota(e, SHARE), share_quota(e, DEPTH), "vec_id", "embedding")
-    return reranked(found, e.where("vec_id % 50 = 0"), e, limit, "vec_id", "embedding")
+    return search_reranked(e.where("vec_id % 50 = 0"), _stored_index(t, m), m, e, share_quota(e, SHARE), share_quota(e, DEPTH), limit, "vec_id", "embedding")
 
 
 @query("v17_v14_lopq_search")
@@ -152,7 +157,7 @@ def v24(t: Tables) -> DataFrame:
     """Recall of the true nearest neighbour, itself included, among the first 1, 10, 100 found by codes alone."""
     m = _model(t)
     q = t.embeddings.where("vec_id % 50 = 0")
-    found = search(q, build_index(t.embeddings, m, "vec_id", "embedding"), m, share_quota(t.embeddings, SHARE), 100, "vec_id", "embedding")
+    found = search(q, _stored_index(t, m), m, share_quota(t.embeddings, SHARE), 100, "vec_id", "embedding")
     truth = knn(q, t.embeddings, 1, "vec_id", "embedding")
     return recall(found.withColumn("pos", F.col("pos") - 1), truth, [1, 10, 100])
 
@@ -230,7 +235,7 @@ adc AS (SELECT ql.query, codes.id AS neighbour, sum(pow(list_distance(ql.y[fine.
 def v17_fixed(t: Tables) -> DataFrame:
     """Distances by code to all rows of the cells that hold sixty rows, by the model of known parts."""
     m = _fixed_model(t)
-    found = search(t.embeddings.where("vec_id % 50 = 0"), build_index(t.embeddings, m, "vec_id", "embedding"), m, 60, 1 << 30, "vec_id", "embedding")
+    found = distances(t.embeddings.where("vec_id % 50 = 0"), _stored_index(t, m), m, 60, None, "vec_id", "embedding")
     return found.select("query", "neighbour", F.round("distance", 6).alias("distance"))
 
 
