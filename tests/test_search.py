@@ -58,6 +58,31 @@ def test_lsh_is_a_part_of_the_exact_search(spark):
     assert sum(r["query"] == r["neighbour"] and r["pos"] == 1 for r in near) >= 28
 
 
+@pytest.mark.parametrize("probes", [3, 50])
+def test_lsh_sends_a_query_once_a_part(spark, monkeypatch, probes):
+    """What bucket by bucket would find, with copies; a query is not shuffled once a probe."""
+    from umbel.operators import search as s
+
+    x = np.random.default_rng(7).normal(size=(300, 16))
+    x = np.concatenate([x, x[:40], x[:40]])
+    monkeypatch.setattr(s, "PART_ROWS", 150)
+    monkeypatch.setattr(s, "LEAST_ROWS", 150)
+    d, center = s.projections(16, 6), x.mean(axis=0)
+    own = s._bits(x - center, d)
+    far = np.abs((x[:20] - center) @ d.T) @ (np.arange(64)[:, None] >> np.arange(6) & 1).astype(float).T
+    near = own[:20, None] ^ np.argsort(far, axis=1, kind="stable")[:, :probes]
+    sent = []
+    probed = s._probed
+    monkeypatch.setattr(s, "_probed", lambda index, queries, *rest: sent.append(queries.count()) or probed(index, queries, *rest))
+    got = lsh_search(frame(spark, x[:20]), frame(spark, x), 5, tables=1, bits=6, dimension=16, probes=probes).collect()
+    assert sent == [20 * 3]
+    for i in range(20):
+        rows = [j for j in range(len(x)) if own[j] in near[i]]
+        want = sorted((np.sqrt(((x[i] - x[j]) ** 2).sum()), j) for j in rows)[:5]
+        mine = sorted((r["pos"], r["neighbour"], r["compared"]) for r in got if r["query"] == i)
+        assert [m[1:] for m in mine] == [(j, len(rows)) for _, j in want]
+
+
 def test_projection_tree(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 8))

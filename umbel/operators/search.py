@@ -27,19 +27,23 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _best(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, distance) that hold each query's k nearest rows with all their ties.
+def _best(q: np.ndarray, x: np.ndarray, k: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) that hold each query's k nearest rows (of those ``among``) with all their ties.
 
     The product form picks what may be among the k nearest; distances are then taken from differences,
     so that equal vectors have equal distances.
     """
     rough = (q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)[None]
+    if among is not None:
+        rough[~among] = np.inf
     if len(x) > k:
         edge = np.partition(rough, k - 1, axis=1)[:, k - 1]
         slack = 1e-9 * (1 + np.abs(edge) + (q * q).sum(1))
         a, b = np.nonzero(rough <= (edge + slack)[:, None])
     else:
         a, b = np.nonzero(np.ones(rough.shape, bool))
+    if among is not None:
+        a, b = a[among[a, b]], b[among[a, b]]
     return a, b, np.sqrt(((q[a] - x[b]) ** 2).sum(axis=1))
 
 
@@ -117,6 +121,47 @@ def _cells(index: DataFrame, queries: DataFrame, keys: list[str], k: int, with_s
     return both.repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, f"query {kind}, neighbour {kind}, distance double, compared bigint")
 
 
+def _probed(index: DataFrame, queries: DataFrame, k: int, tasks: int) -> DataFrame:
+    """(query, neighbour, distance, compared) of the rows of both sides (id, v, table, part, block, buckets) that have the three keys and a bucket in common, ``k`` for each query and part."""
+    kind, keys = (dict(queries.dtypes)["id"], dict(index.dtypes)["id"]), ["table", "part", "block"]
+    columns = [*keys, "side", "id", "v", "buckets"]
+    both = index.withColumn("side", F.lit(0)).select(columns).unionByName(queries.withColumn("side", F.lit(1)).select(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = None
+        for held, part in in_cells(batches, len(keys)):
+            if held is not of:
+                of, ids = held, pa.concat_arrays([h.column("id") for h in held])
+                bucket = np.concatenate([h.column("buckets").flatten().to_numpy() for h in held])
+                order = np.argsort(bucket, kind="stable")
+                ids, x = ids.take(pa.array(order)), np.concatenate([matrix(h.column("v")) for h in held])[order]
+                known, first, counts = np.unique(bucket[order], return_index=True, return_counts=True)
+                place = places(ids)
+            probes = part.column("buckets").flatten().to_numpy().reshape(part.num_rows, -1)
+            at = np.minimum(np.searchsorted(known, probes), len(known) - 1)
+            meets = np.zeros((part.num_rows, len(known)), bool)
+            i, j = np.nonzero(known[at] == probes)
+            meets[i, at[i, j]] = True
+            compared = meets @ counts
+            # a query that meets much of the part is compared with all of it at once, others bucket by bucket
+            whole = compared.mean() > len(x) / 4
+            step = max(1, _PRODUCT // (len(x) if whole else int(counts.max())))
+            for s in range(0, part.num_rows, step):
+                q, m = matrix(part.column("v").slice(s, step)), meets[s : s + step]
+                if whole:
+                    a, b, d = _best(q, x, k, np.repeat(m, counts, axis=1))
+                else:
+                    found = [(np.flatnonzero(m[:, u]), first[u], _best(q[m[:, u]], x[first[u] : first[u] + counts[u]], k)) for u in np.flatnonzero(m.any(axis=0))]
+                    a, b, d = (np.concatenate(y) for y in zip(*[(own[y[0]], y[1] + start, y[2]) for own, start, y in found], strict=True)) if found else (np.zeros(0, int),) * 3
+                order = np.lexsort((place[b], d, a))
+                order = order[first_of_each(a[order], k)]
+                a, b, d = a[order], b[order], d[order]
+                seen = np.where(np.diff(a, prepend=-1) != 0, compared[s + a], 0)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(s + a)), ids.take(pa.array(b)), pa.array(d, pa.float64()), pa.array(seen, pa.int64())], ["query", "neighbour", "distance", "compared"])
+
+    return both.repartition(tasks, *keys).sortWithinPartitions(*keys, "side").mapInArrow(run, f"query {kind[0]}, neighbour {kind[1]}, distance double, compared bigint")
+
+
 def knn(queries: DataFrame, index: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", with_self: bool = True, block: int = QUERY_BLOCK) -> DataFrame:
     """(query, neighbour, distance, pos): the ``k`` nearest index rows of every query, ties by id, pos from 1.
 
@@ -201,8 +246,8 @@ def lsh_search(
     """(query, neighbour, distance, pos, compared): nearest index rows among those in the ``probes`` nearest buckets of each of ``tables``.
 
     Planes go through the mean of the index, so buckets are about equally full. An index row stands once a
-    table; queries, the side that is stated, stand once a probe. The rows and queries of a bucket meet in a task, which
-    compares them by matrix products and keeps k rows a query; buckets of more than PART_ROWS are met in parts.
+    table, queries once a table and part of PART_ROWS index rows, with the list of their probes. The rows of a part and a block of
+    queries meet in a task, which compares each query with the rows of its buckets by matrix products and keeps k rows a query.
     ``compared`` is the number of rows that a query met, over all tables. Queries without a candidate give one row of
     nulls. Recall depends on the data: choose ``probes`` by measuring against ``knn``.
     """
@@ -211,14 +256,16 @@ def lsh_search(
 
     def hashed(df: DataFrame, n: int) -> DataFrame:
         d = sign_buckets(df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")), directions, "v", center, n)
-        return d.select("id", "v", F.posexplode("buckets").alias("place", "bucket")).withColumn("table", (F.col("place") / n).cast("int")).drop("place")
-
-    rows, asked = hashed(index, 1), hashed(queries, probes)
-    large = rows.groupBy("table", "bucket").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")).where("parts > 1")
-    parts = F.coalesce("parts", F.lit(1))
-    rows = rows.join(large, ["table", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    asked = asked.join(large, ["table", "bucket"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    met = _cells(rows, asked, ["table", "bucket", "part"], k, True)
+        each = F.array(*[F.struct(F.lit(t).alias("table"), F.slice("buckets", t * n + 1, n).cast("array<bigint>" if bits > 31 else "array<int>").alias("buckets")) for t in range(tables)])
+        return d.select("id", "v", F.explode(each).alias("x")).select("id", "v", "x.table", "x.buckets")
+
+    rows, asked, cores = index.count(), queries.count(), index.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-rows // PART_ROWS), min(cores, -(-rows // LEAST_ROWS)), 1)
+    blocks = max(1, -(-asked // QUERY_BLOCK))
+    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = hashed(index, 1).withColumn("part", of(parts)).withColumn("block", every(blocks))
+    met = _probed(x, hashed(queries, probes).withColumn("block", of(blocks)).withColumn("part", every(parts)), k, max(cores, 2 * parts * blocks * tables))
     near = met.groupBy("query", "neighbour").agg(F.min("distance").alias("distance"), F.sum("compared").alias("compared"))
     order = Window.partitionBy("query").orderBy("distance", "neighbour")
     best = near.withColumn("pos", F.row_number().over(order)).withColumn("compared", F.sum("compared").over(Window.partitionBy("query"))).where(F.col("pos") <= k)
