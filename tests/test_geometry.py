@@ -278,6 +278,18 @@ def test_projective_columns(spark):
     assert abs(r["a"] - whole) < 1 and r["n"] == 0 and r["z"] == 0.0 and (r["b"]["x2"], r["b"]["y2"]) == (100.0, 100.0)
 
 
+def test_clipping_walks_only_what_crosses(spark):
+    """Polygons inside, outside and across a side: the same as walking all edges for all sides."""
+    rng = np.random.default_rng(5)
+    rows = [([(float(x), float(y)) for x, y in rng.uniform(0, 50, (4, 2)) + rng.uniform(-80, 120, 2)],) for _ in range(200)] + [([],), (None,)]
+    df = spark.createDataFrame(rows, "p array<struct<x:double,y:double>>")
+    plain = F.col("p")
+    for side in (("x", 0, 1), ("x", 100, -1), ("y", 0, 1), ("y", 100, -1)):
+        plain = geometry.bound(plain, geometry._side(*side))
+    df = df.select(geometry.clipped(F.col("p"), 0, 0, 100, 100).alias("a"), plain.alias("b"))
+    assert all(r["a"] == r["b"] for r in df.collect()) and "forall" in df._jdf.queryExecution().toString()
+
+
 def plain_labels(on, diagonal):
     left, out = set(on), []
     while left:

@@ -98,10 +98,20 @@ def clipped(polygon: Column, x0: float, y0: float, x1: float, y1: float) -> Colu
     """A convex or simple polygon (array of points) cut to a frame, one side after the other; empty if nothing is inside."""
     kind = "array<struct<x:double,y:double>>"
     for axis, limit, sign in (("x", x0, 1), ("x", x1, -1), ("y", y0, 1), ("y", y1, -1)):
-        polygon = bound(polygon.cast(kind), _side(axis, limit, sign))
+        polygon = bound(polygon.cast(kind), _cut(axis, limit, sign))
     return polygon
 
 
+def _cut(axis: str, limit: float, sign: int) -> Callable[[Column], Column]:
+    """What is left of a polygon on one side: edges are walked only if they may cross the line, as most polygons lie on one side of it."""
+
+    def cut(polygon: Column) -> Column:
+        inside, outside = (lambda p: sign * (p[axis] - limit) >= 0), (lambda p: sign * (p[axis] - limit) < 0)
+        return F.when(F.forall(polygon, inside), polygon).when(F.forall(polygon, outside), F.slice(polygon, 1, 0)).otherwise(_side(axis, limit, sign)(polygon))
+
+    return cut
+
+
 def _side(axis: str, limit: float, sign: int) -> Callable[[Column], Column]:
     return lambda polygon: _one_side(polygon, axis, limit, sign)
 
