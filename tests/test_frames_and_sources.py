@@ -198,3 +198,17 @@ def test_overlap_counts_each_pair_once(spark):
     want = {(p[1], q[1]) for p in a for q in b if p[2] < q[4] and q[2] < p[4] and p[3] < q[5] and q[3] < p[5]}
     assert {(r["ref"], r["ver"]) for r in got if r["ver"] is not None} == want and len([r for r in got if r["ver"] is not None]) == len(want)
     assert {r["ref"] for r in got} == set(range(30))
+
+
+def test_medians_of_large_and_small_keys(spark, monkeypatch):
+    """Keys with many rows get their bracket by broadcast, others by their key; null keys and values give nothing."""
+    from statistics import median
+
+    from umbel.operators import statistics
+
+    monkeypatch.setattr(statistics, "_LARGE", 50)
+    rows = [("a", float(i * i % 97)) for i in range(400)] + [("b", 3.0), ("b", 5.0), ("c", None), (None, 1.0)] + [("d", float(i)) for i in range(51)]
+    found = statistics.medians(spark.createDataFrame(rows, "k string, v double"), ["k"], ["v"])
+    got = {r["k"]: r["v_median"] for r in found.collect()}
+    assert got == {k: median(v for x, v in rows if x == k) for k in "abd"}
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().toString() and "LeftAnti" in found._jdf.queryExecution().toString()

@@ -11,6 +11,8 @@ from umbel.operators.frames import numeric_columns
 
 #: ``median`` is exact, by ``medians``; ``median_sketch`` is bounded, off by one rank in 10,000 at most.
 AGGREGATES = {"mean": F.avg, "median_sketch": lambda c: F.percentile_approx(c, 0.5, 10_000), "std": F.stddev_samp, "var": F.var_samp, "sum": F.sum, "min": F.min}
+#: Rows of a key from which its bracket is broadcast; there are no more such keys than rows by this.
+_LARGE = 1_000_000
 #: Parts in which a sketch brackets the middle of a group.
 _ACCURACY = 10_000
 
@@ -26,7 +28,11 @@ def medians(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     names, each = [f"k{i}" for i in range(len(keys))], range(len(columns))
     around = F.array(F.lit(0.5 - 4 / _ACCURACY), F.lit(0.5 + 4 / _ACCURACY))
     bounds = d.groupBy(*names).agg(*[F.percentile_approx(f"v{i}", around, _ACCURACY).alias(f"b{i}") for i in each])
-    near = d.join(bounds, names)
+    # keys with few rows are many, those with many rows are few: these go to all tasks, so that none gets all rows of a key
+    sized = d.groupBy(*names).agg(F.count("*").alias("n"))
+    large = F.broadcast(sized.where(F.col("n") > _LARGE).select(*names))
+    some = F.broadcast(bounds.join(large, names, "left_semi"))
+    near = d.join(some, names).unionByName(d.join(large, names, "left_anti").join(bounds, names))
     long = near.select(*names, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v"), F.col(f"b{i}").alias("b")) for i in each])).alias("x")).where("x.v IS NOT NULL")
     # a value below the bracket counts as the one just below it, a value above as one above
     low, high = F.col("x.b")[0], F.col("x.b")[1]
