@@ -5,12 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from umbel.operators.prefix import row_numbers
 
+#: Rows of a task where tables are dealt among a number of tasks that follows from their rows.
+TASK_ROWS = 200_000
+
+
+def tasks_for(spark: SparkSession, rows: int, each: int | None = None) -> int:
+    """Tasks that share ``rows`` so that none gets much more than ``each`` (TASK_ROWS); as many as there are cores, if rows are few.
+
+    Spark merges neighbouring partitions by their bytes, but none of a number that was asked for.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-rows // (each or TASK_ROWS)))
+
 
 def swap(df: DataFrame, a: str, b: str) -> DataFrame:
     """The frame with the contents of two columns exchanged, column order kept."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbel.functions import keys
+from umbel.operators.frames import tasks_for
 from umbel.operators.search import knn
 from umbel.plans.registry import Tables
 
@@ -84,8 +85,12 @@ fine_match AS (SELECT *, package_actual = candidate AS match FROM fine)"""
 
 
 def fine(t: Tables) -> DataFrame:
-    """Order lines as fine-matching results: a sample per order, candidates with match counts, some missing."""
-    j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    """Order lines as fine-matching results: a sample per order, candidates with match counts, some missing.
+
+    Orders are dealt among as many tasks as the lines ask for; what is grouped or ranked by sample stays in its task.
+    """
+    n = tasks_for(t.spark, t.lineitem.count())
+    j = t.lineitem.repartition(n, "l_orderkey").join(t.orders.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     q, disc = F.col("l_quantity"), F.col("l_discount")
     out = j.select(
         F.col("o_orderkey").alias("sample"), F.when(F.col("l_linenumber") % 2 == 0, "MSER").otherwise("MI1").alias("algorithm"),
