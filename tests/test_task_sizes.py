@@ -1,8 +1,11 @@
 """What a task gets does not grow with the table, whatever the number of shuffle partitions."""
 
+import numpy as np
+from pyspark.ml.classification import LinearSVC
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from umbel.operators import frames
+from umbel.operators import frames, statistics
 from umbel.plans import fixtures, queries
 from umbel.plans.registry import Tables
 
@@ -19,3 +22,27 @@ def test_fine_matches_are_dealt_by_their_number(spark, monkeypatch):
     lines = t.lineitem.count()
     for df in (fixtures.fine(t), queries()["w8_rank_fusion"](spark, SF), queries()["a17_feature_means"](spark, SF)):
         assert max(rows_of_tasks(df)) < 300 < lines / 8
+
+
+def test_equal_training_rows_are_fitted_once_with_their_weight(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.integers(-3, 4, (3000, 2)) / 3
+    label = (x**2).sum(axis=1) < 0.5
+    rows = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, label, strict=True))], "id int, a double, b double, label int")
+    seen = []
+    fit = statistics.KernelClassifier._mapped
+    monkeypatch.setattr(statistics.KernelClassifier, "_mapped", lambda self, df, extra: seen.append(df) or fit(self, df, extra))
+    monkeypatch.setattr(statistics, "FIT_ROWS", 10)
+    model = statistics.KernelClassifier(["a", "b"], "label", "id", iterations=60).fit(rows)
+    (fitted,) = seen
+    assert fitted.count() == len(np.unique(x, axis=0)) == 49 and max(rows_of_tasks(fitted)) < 30
+    assert fitted.agg(F.sum("__weight")).first()[0] == 3000
+    found = model.margins(rows).collect()
+    # the loss of the weighted rows is that of all rows, one by one: no worse than Spark's own solver on these
+    y = np.where([r["label"] for r in found], 1.0, -1.0)
+    loss = lambda w, m: 0.01 / 2 * float(w @ w) + np.maximum(0, 1 - y * m).mean()
+    mapped = model.map((x - model.mean) / model.scale)
+    every = spark.createDataFrame([(Vectors.dense(m), float(c)) for m, c in zip(mapped, label, strict=True)], ["features", "label"])
+    plain = LinearSVC(regParam=0.01, maxIter=60, tol=1e-8, standardization=False).fit(every)
+    w = plain.coefficients.toArray()
+    assert loss(model.weights, np.array([r["margin"] for r in found])) <= loss(w, mapped @ w + plain.intercept) * 1.005

@@ -13,6 +13,8 @@ from umbel.operators.frames import numeric_columns
 AGGREGATES = {"mean": F.avg, "median_sketch": lambda c: F.percentile_approx(c, 0.5, 10_000), "std": F.stddev_samp, "var": F.var_samp, "sum": F.sum, "min": F.min}
 #: Rows of a key from which its bracket is broadcast; there are no more such keys than rows by this.
 _LARGE = 1_000_000
+#: Different training rows of a task in the fit of a kernel classifier, each as long as there are landmarks.
+FIT_ROWS = 32_768
 #: Parts in which a sketch brackets the middle of a group.
 _ACCURACY = 10_000
 
@@ -128,7 +130,8 @@ class KernelClassifier:
     """Support vectors with a radial kernel: standardise, map by landmarks, linear hinge loss on the mapped rows.
 
     ``fit`` takes the mean and deviation of every feature, ``landmarks`` rows of least hash of ``key`` (all, if there are
-    fewer), and Spark's linear solver over all rows; so only landmarks pass through the driver. ``margins`` adds margin
+    fewer), and Spark's linear solver over all rows, of which equal ones are mapped once and weigh as many as they are, in tasks
+    of FIT_ROWS different ones at most or so; so only landmarks pass through the driver. ``margins`` adds margin
     and prediction (0 or 1). Rows with a missing feature take no part in fitting and get null for both.
     """
 
@@ -152,13 +155,17 @@ class KernelClassifier:
         from pyspark.ml.classification import LinearSVC
 
         sound = train.dropna(subset=[*self.features, self.label])
-        stats = sound.agg(*[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(self.features) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        moments = [f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(self.features) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+        stats = sound.agg(*moments, F.approx_count_distinct(F.xxhash64(*self.features, self.label)).alias("different")).first()
         self.mean = np.array([stats[f"m{i}"] for i in range(len(self.features))])
         self.scale = np.array([stats[f"s{i}"] or 1.0 for i in range(len(self.features))])
         chosen = sound.orderBy(F.md5(F.col(self.key).cast("string")), self.key).limit(self.count).select(*[F.col(c).cast("double") for c in self.features]).collect()
         self.map = KernelMap(np.unique((np.array(chosen, float) - self.mean) / self.scale, axis=0), self.gamma)
-        svc = LinearSVC(featuresCol="__mapped", labelCol="__label", regParam=self.regularisation, maxIter=self.iterations, tol=1e-8, standardization=False)
-        model = svc.fit(self._mapped(sound.withColumn("__label", F.col(self.label).cast("double")), ["__label"]))
+        svc = LinearSVC(featuresCol="__mapped", labelCol="__label", weightCol="__weight", regParam=self.regularisation, maxIter=self.iterations, tol=1e-8, standardization=False)
+        of = [*self.features, "__label"]
+        equal = sound.withColumn("__label", F.col(self.label).cast("double")).groupBy(*of).agg(F.count("*").cast("double").alias("__weight"))
+        dealt = equal.repartition(-(-stats["different"] // FIT_ROWS) or 1, *of).sortWithinPartitions(*of)
+        model = svc.fit(self._mapped(dealt, ["__label", "__weight"]))
         self.weights, self.intercept = model.coefficients.toArray(), model.intercept
         return self
 
