@@ -1,11 +1,12 @@
 """What a task gets does not grow with the table, whatever the number of shuffle partitions."""
 
 import numpy as np
+import pytest
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from umbel.operators import frames, statistics
+from umbel.operators import frames, regions, statistics
 from umbel.plans import fixtures, queries
 from umbel.plans.registry import Tables
 
@@ -46,3 +47,22 @@ def test_equal_training_rows_are_fitted_once_with_their_weight(spark, monkeypatc
     plain = LinearSVC(regParam=0.01, maxIter=60, tol=1e-8, standardization=False).fit(every)
     w = plain.coefficients.toArray()
     assert loss(model.weights, np.array([r["margin"] for r in found])) <= loss(w, mapped @ w + plain.intercept) * 1.005
+
+
+@pytest.mark.parametrize("crowd", [0, 256])
+def test_boxes_meet_alike_as_lists_and_by_cells(spark, monkeypatch, crowd):
+    monkeypatch.setattr(regions, "CROWD", crowd, raising=False)
+    rng = np.random.default_rng(3)
+    box = lambda i: (int(rng.integers(0, 3)), i, *(lambda x, y, w, h: (x, y, x + w, y + h))(*map(int, rng.integers(0, 200, 2)), *map(int, rng.integers(0, 150, 2))))
+    a, b = [box(i) for i in range(40)] + [(None, 90, 0, 0, 500, 500), (1, None, 0, 0, 500, 500), (1, 91, 0, 0, None, 500)], [box(i) for i in range(30)] + [(None, 92, 0, 0, 500, 500)]
+    schema = "image int, idx int, x1 int, y1 int, x2 int, y2 int"
+    ref, ver = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    want = []
+    for p in a:
+        met = [] if None in p else sorted((q[1], (min(p[4], q[4]) - max(p[2], q[2])) * (min(p[5], q[5]) - max(p[3], q[3]))) for q in b if p[0] == q[0] and min(p[4], q[4]) > max(p[2], q[2]) and min(p[5], q[5]) > max(p[3], q[3]))
+        want += [(p[0], p[1], n, *m) for n, m in enumerate(met, 1)] or [(p[0], p[1], 0, None, 0)]
+    assert sorted(map(tuple, regions.overlap_join(ref, ver).collect()), key=repr) == sorted(want, key=repr)
+    scores = regions.region_scores(ref, ver)
+    assert sorted(((r["image"], r["ref"], r["match"], r["ver"]) for r in scores.collect()), key=repr) == sorted((w[:4] for w in want), key=repr)
+    # coordinates go along with the pairs: only boxes of crowded images are joined, by cells and to their numbers
+    assert scores._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 2

@@ -16,6 +16,9 @@ LABEL_COLOURS = {
 TEXT_LABELS = ("Text", "Number")
 GRAPHIC_LABELS = ("Watermark", "Image", "Barcode")
 
+#: Boxes of both sides of an image up to which each meets the other side's as a list, without cells.
+CROWD = 256
+
 
 def label_colour(label: Column) -> Column:
     """array<int> of a label's colour; null for others."""
@@ -50,13 +53,31 @@ def label_counts(boxes: DataFrame, keys: list[str], label: str = "label") -> Dat
     return each.unionByName(each.groupBy(*keys).agg(F.sum("n").alias("n")).withColumn("label", F.lit("Total")))
 
 
-def overlap_join(reference: DataFrame, verified: DataFrame, image: str = "image") -> DataFrame:
-    """Left outer join of boxes (image, idx, x1, y1, x2, y2; half open) on a non-empty intersection.
+def _numbered(reference: DataFrame, verified: DataFrame, image: str) -> DataFrame:
+    """image, idx, x1, y1, x2, y2 of reference boxes, match, ver and v (the verified box: idx, x1, y1, x2, y2; null if none): the rows of ``overlap_join``.
 
-    (image, ref, match, ver, intersection): matches of a reference box are numbered from 1 in the order of
-    the verified ones; a box without any gives match 0. Boxes meet within an image by the cells of a grid
-    they cover, so a crowded image is spread over its cells.
+    Both sides meet in one shuffle by image. In an image of CROWD boxes at most every reference box looks at all verified ones, as
+    a list; in others boxes meet by the cells of a grid.
     """
+    box = ("idx", "x1", "y1", "x2", "y2")
+    sides = [df.select(image, F.lit(k).alias("side"), *box) for k, df in ((0, reference), (1, verified))]
+    # small lists first: a count that a task makes of its own rows leaves nothing to join
+    sized = sides[0].unionByName(sides[1]).withColumn("n", F.count("*").over(Window.partitionBy(image)))
+    v = F.struct(*box)
+    few = sized.where(F.col("n") <= CROWD).withColumn("vs", F.collect_list(F.when(F.col("side") == 1, v)).over(Window.partitionBy(image))).where("side = 0")
+    # boxes without an area, or with a null in place of a side or a key, meet none
+    known = F.expr("x2 > x1 AND y2 > y1") & F.col(image).isNotNull() & F.col("idx").isNotNull()
+    meets = lambda o: known & (o["x2"] > o["x1"]) & (o["y2"] > o["y1"]) & (o["x2"] > F.col("x1")) & (o["x1"] < F.col("x2")) & (o["y2"] > F.col("y1")) & (o["y1"] < F.col("y2"))
+    listed = few.select(image, *box, F.posexplode_outer(F.array_sort(F.filter("vs", meets))).alias("p", "v"))
+    listed = listed.select(image, *box, F.coalesce(F.col("p") + 1, F.lit(0)).alias("match"), "v")
+    many = sized.where(F.col("n") > CROWD)
+    r, pairs = many.where("side = 0").select(image, *box), _by_cells(many.where("side = 0"), many.where("side = 1"), image)
+    celled = r.join(pairs, [image, "idx"], "left").select(image, *box, F.coalesce("match", F.lit(0)).alias("match"), "v")
+    return listed.unionByName(celled)
+
+
+def _by_cells(reference: DataFrame, verified: DataFrame, image: str) -> DataFrame:
+    """(image, idx, match, v): pairs of boxes that meet, by the cells of a grid that they cover, so that a crowded image is spread over its cells."""
     cell = 64
 
     def spread(df: DataFrame, p: str) -> DataFrame:
@@ -70,25 +91,40 @@ def overlap_join(reference: DataFrame, verified: DataFrame, image: str = "image"
     h = F.least("ry2", "vy2") - F.greatest("ry1", "vy1")
     # a pair is reported by the cell that holds the corner of its intersection, so once
     corner = (F.floor(F.greatest("rx1", "vx1") / cell) == F.col("cx")) & (F.floor(F.greatest("ry1", "vy1") / cell) == F.col("cy"))
-    pairs = met.where((w > 0) & (h > 0) & corner).select(image, F.col("ridx").alias("ref"), F.col("vidx").alias("ver"), (w * h).cast("bigint").alias("intersection"))
-    numbered = pairs.withColumn("match", F.row_number().over(Window.partitionBy(image, "ref").orderBy("ver")))
-    out = reference.select(image, F.col("idx").alias("ref")).join(numbered, [image, "ref"], "left")
-    return out.select(image, "ref", F.coalesce("match", F.lit(0)).alias("match"), "ver", F.coalesce("intersection", F.lit(0).cast("bigint")).alias("intersection"))
+    v = F.struct(*[F.col(f"v{c}").alias(c) for c in ("idx", "x1", "y1", "x2", "y2")])
+    pairs = met.where((w > 0) & (h > 0) & corner).select(image, F.col("ridx").alias("idx"), v.alias("v"))
+    return pairs.withColumn("match", F.row_number().over(Window.partitionBy(image, "idx").orderBy("v.idx")))
+
+
+def _intersection() -> Column:
+    """Area in common of a box x1, y1, x2, y2 and a box v that it meets; 0 without v."""
+    w = F.least("x2", F.col("v.x2")) - F.greatest("x1", F.col("v.x1"))
+    h = F.least("y2", F.col("v.y2")) - F.greatest("y1", F.col("v.y1"))
+    return F.when(F.col("v").isNull(), F.lit(0)).otherwise(w * h).cast("bigint")
+
+
+def overlap_join(reference: DataFrame, verified: DataFrame, image: str = "image") -> DataFrame:
+    """Left outer join of boxes (image, idx, x1, y1, x2, y2; half open) on a non-empty intersection.
+
+    (image, ref, match, ver, intersection): matches of a reference box are numbered from 1 in the order of
+    the verified ones; a box without any gives match 0. ``idx`` tells the boxes of a side and image apart.
+    """
+    out = _numbered(reference, verified, image)
+    return out.select(image, F.col("idx").alias("ref"), "match", F.col("v.idx").alias("ver"), _intersection().alias("intersection"))
 
 
 def region_scores(reference: DataFrame, verified: DataFrame, image: str = "image") -> DataFrame:
     """The rows of ``overlap_join`` with the metrics of each pair within the box that holds both."""
-    pairs = overlap_join(reference, verified, image)
-    sides = ("x1", "y1", "x2", "y2")
-    r = reference.select(image, F.col("idx").alias("ref"), *[F.col(c).alias(f"r{c}") for c in sides])
-    v = verified.select(image, F.col("idx").alias("ver"), *[F.col(c).alias(f"v{c}") for c in sides])
-    j = pairs.join(r, [image, "ref"]).join(v, [image, "ver"], "left")
+    j = _numbered(reference, verified, image)
     area = lambda p: (F.col(f"{p}x2") - F.col(f"{p}x1")) * (F.col(f"{p}y2") - F.col(f"{p}y1"))
-    joint = (F.greatest("rx2", "vx2") - F.least("rx1", "vx1")) * (F.greatest("ry2", "vy2") - F.least("ry1", "vy1"))
-    tp = F.col("intersection")
-    fp, fn = F.coalesce(area("v"), F.lit(0)) - tp, area("r") - tp
-    tn = F.coalesce(joint, area("r")) - tp - fp - fn
-    counted = j.select(image, "ref", "match", "ver", tp.alias("tp"), tn.alias("tn"), fp.alias("fp"), fn.alias("fn"))
+    # not greatest and least, which skip nulls: without a verified box there is no joint one
+    far = lambda c: F.when(F.col(f"v.{c}") > F.col(c), F.col(f"v.{c}")).otherwise(F.col(c))
+    near = lambda c: F.when(F.col(f"v.{c}") < F.col(c), F.col(f"v.{c}")).otherwise(F.col(c))
+    joint = (far("x2") - near("x1")) * (far("y2") - near("y1"))
+    tp = _intersection()
+    fp, fn = F.coalesce(area("v."), F.lit(0)) - tp, area("") - tp
+    tn = joint - tp - fp - fn
+    counted = j.select(image, F.col("idx").alias("ref"), "match", F.col("v.idx").alias("ver"), tp.alias("tp"), tn.alias("tn"), fp.alias("fp"), fn.alias("fn"))
     return metrics.add_scores(counted).drop("tp", "tn", "fp", "fn")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from umbel.functions import geometry
 from umbel.operators import regions
+from umbel.operators.frames import tasks_for
 from umbel.plans.evaluation import sql_scores
 from umbel.plans.registry import Tables, query
 
@@ -19,7 +20,8 @@ ver AS (SELECT image, idx, x1 + 15 AS x1, y1 + 5 AS y1, x2 + 9 AS x2, y2 + 2 AS
 
 
 def _boxes(t: Tables) -> tuple[DataFrame, DataFrame]:
-    line = t.lineitem.groupBy(F.col("l_orderkey").alias("image"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("idx"), "l_partkey").agg(F.min("l_suppkey").alias("supp"), F.min("l_quantity").cast("bigint").alias("q"))
+    lines = t.lineitem.repartition(tasks_for(t.spark, t.lineitem.count()), "l_orderkey")
+    line = lines.groupBy(F.col("l_orderkey").alias("image"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("idx"), "l_partkey").agg(F.min("l_suppkey").alias("supp"), F.min("l_quantity").cast("bigint").alias("q"))
     x, y, q = F.col("l_partkey") % 300, F.col("supp") % 200, F.col("q")
     ref = line.select("image", "idx", x.alias("x1"), y.alias("y1"), (x + 20 + q * 3).alias("x2"), (y + 10 + q).alias("y2"))
     ver = ref.where("idx % 10 <> 2").select("image", "idx", (F.col("x1") + 15).alias("x1"), (F.col("y1") + 5).alias("y1"), (F.col("x2") + 9).alias("x2"), (F.col("y2") + 2).alias("y2"))
