@@ -6,7 +6,7 @@ from pyspark.ml.classification import LinearSVC
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from umbel.operators import frames, regions, statistics
+from umbel.operators import frames, regions, search, statistics
 from umbel.plans import fixtures, queries
 from umbel.plans.registry import Tables
 
@@ -66,3 +66,11 @@ def test_boxes_meet_alike_as_lists_and_by_cells(spark, monkeypatch, crowd):
     assert sorted(((r["image"], r["ref"], r["match"], r["ver"]) for r in scores.collect()), key=repr) == sorted((w[:4] for w in want), key=repr)
     # coordinates go along with the pairs: only boxes of crowded images are joined, by cells and to their numbers
     assert scores._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 2
+
+
+def test_neighbours_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(frames, "TASK_ROWS", 100)
+    rng = np.random.default_rng(5)
+    x = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))], "id int, vector array<double>")
+    got = search.knn(x, x, 5)
+    assert got.count() == 1500 and max(rows_of_tasks(got)) < 250

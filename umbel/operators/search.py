@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from umbel.operators.frames import tasks_for
+
 #: Queries of a block, and index rows of a part; each block meets each part in a task.
 QUERY_BLOCK = 65_536
 PART_ROWS = 65_536
@@ -77,7 +79,7 @@ def first_of_each(a: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(np.arange(len(a)) - np.searchsorted(a, a) < k)
 
 
-def _cells(index: DataFrame, queries: DataFrame, keys: list[str], k: int, with_self: bool) -> DataFrame:
+def _cells(index: DataFrame, queries: DataFrame, keys: list[str], k: int, with_self: bool, tasks: int | None = None) -> DataFrame:
     """(query, neighbour, distance, compared) of the rows of both sides (id, v, keys) with equal keys, ``k`` for each query and cell.
 
     The rows of a cell meet in one task: its index rows first, as a matrix, then its queries in batches, so a task holds the
@@ -118,7 +120,8 @@ def _cells(index: DataFrame, queries: DataFrame, keys: list[str], k: int, with_s
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["query", "neighbour", "distance", "compared"])
 
     kind_of = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return both.repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, f"query {kind}, neighbour {kind}, distance double, compared bigint")
+    dealt = both.repartition(*keys) if tasks is None else both.repartition(tasks, *keys)
+    return dealt.sortWithinPartitions(*keys, "side").mapInArrow(run, f"query {kind}, neighbour {kind}, distance double, compared bigint")
 
 
 def _probed(index: DataFrame, queries: DataFrame, k: int, tasks: int) -> DataFrame:
@@ -179,11 +182,13 @@ def knn(queries: DataFrame, index: DataFrame, k: int, id_col: str = "id", vector
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     met = _cells(
         index.withColumn("part", of(parts)).withColumn("block", every(blocks)), q.where("v IS NOT NULL").withColumn("block", of(blocks)).withColumn("part", every(parts)),
-        ["part", "block"], k, with_self,
+        ["part", "block"], k, with_self, parts * blocks,
     )
     order = Window.partitionBy("query").orderBy("distance", "neighbour")
-    best = met.drop("compared").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
-    return q.select(F.col("id").alias("query")).join(best, "query", "left")
+    # by the number of rows that the parts give, as many partitions of both sides: a task's share doesn't grow with the table
+    n = tasks_for(q.sparkSession, asked * min(k * parts, rows))
+    best = met.drop("compared").repartition(n, "query").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
+    return q.select(F.col("id").alias("query")).repartition(n, "query").join(best, "query", "left")
 
 
 def projections(dimension: int, bits: int, seed: int = 0) -> np.ndarray:

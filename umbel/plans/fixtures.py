@@ -68,7 +68,9 @@ def matches(t: Tables, k: int = K) -> DataFrame:
         out = near if out is None else out.unionByName(near)
     q = d.select(F.col("vec_id").alias("query"), "sample", "phone", F.col("package").alias("package_actual"))
     i = d.select(F.col("vec_id").alias("neighbour"), "package")
-    found = out.where("neighbour IS NOT NULL").join(q, "query").join(i, "neighbour")
+    # a query has k rows of each algorithm, so tasks get equal shares; a neighbour may have any number, so its join is left to be split
+    n = tasks_for(t.spark, 2 * k * t.embeddings.count())
+    found = out.where("neighbour IS NOT NULL").repartition(n, "query").join(q.repartition(n, "query"), "query").join(i, "neighbour")
     return found.select(
         "sample", "phone", "package_actual", "algorithm", F.col("query").alias("descriptor"), "neighbour", "package",
         F.round("distance", 6).alias("distance"), "pos", (F.col("package") == F.col("package_actual")).alias("match"),
