@@ -1,11 +1,14 @@
 """What a task gets does not grow with the table, whatever the number of shuffle partitions."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from umbel.lopq import LOPQModel
 from umbel.operators import frames, regions, search, statistics
 from umbel.plans import fixtures, queries
 from umbel.plans.registry import Tables
@@ -74,3 +77,21 @@ def test_neighbours_are_dealt_by_their_number(spark, monkeypatch):
     x = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))], "id int, vector array<double>")
     got = search.knn(x, x, 5)
     assert got.count() == 1500 and max(rows_of_tasks(got)) < 250
+
+
+def test_rotations_are_gathered_for_some_rows_at_a_time():
+    rng = np.random.default_rng(6)
+    rs, cs, mus, subs = rng.normal(size=(2, 4, 32, 32)), rng.normal(size=(2, 4, 32)), rng.normal(size=(2, 4, 32)), rng.normal(size=(2, 4, 16, 8))
+    model = LOPQModel(4, 8, 16, tuple(cs), tuple(rs), tuple(mus), tuple(subs))
+    coarse, fine, x = rng.integers(0, 4, (10_000, 2)), rng.integers(0, 16, (10_000, 8)), rng.normal(size=(10_000, 64))
+    for run, how in ((lambda: model.project(x, coarse), "ij,j->i"), (lambda: model.reconstruct(coarse, fine), None)):
+        tracemalloc.start()
+        got = run()
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        print(peak)
+        assert peak < 40
+        if how:
+            a = coarse[7]
+            want = [rs[s][a[s]] @ (x[7, s * 32 : s * 32 + 32] - cs[s][a[s]] - mus[s][a[s]]) for s in (0, 1)]
+            assert np.allclose(got[7], np.concatenate(want))

@@ -25,6 +25,8 @@ from umbel.operators.search import matrix
 SEED_ROWS = 20_000
 #: Groups of tasks whose sums are added first.
 SUM_TASKS = 64
+#: Rows whose rotations are gathered at once.
+TURNED_ROWS = 512
 SUMS = "task int, name string, shape array<int>, values binary"
 STORE = "kind string, split int, idx int, shape array<int>, values array<double>"
 
@@ -39,6 +41,15 @@ def assign(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return squared(x, c).argmin(axis=1)
 
 
+def turned(how: str, rotations: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Each row by the rotation of its cell, some rows at a time, as a rotation is as large as many rows."""
+    out = np.empty(x.shape)
+    for i in range(0, len(x), TURNED_ROWS):
+        at = slice(i, i + TURNED_ROWS)
+        out[at] = np.einsum(how, rotations[a[at]], x[at])
+    return out
+
+
 def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """k-means++ seeds; rows repeat only where all rows coincide with a seed."""
     c = [x[rng.integers(len(x))]]
@@ -255,7 +266,7 @@ class LOPQModel:
         out = []
         for s, p in enumerate(self._halves(x)):
             a = coarse[:, s]
-            out.append(np.einsum("nij,nj->ni", self.Rs[s][a], p - self.Cs[s][a] - self.mus[s][a]))
+            out.append(turned("nij,nj->ni", self.Rs[s], a, p - self.Cs[s][a] - self.mus[s][a]))
         return np.concatenate(out, axis=1)
 
     def _centroids(self) -> list[np.ndarray]:
@@ -278,7 +289,7 @@ class LOPQModel:
         out = []
         for s, p in enumerate(self._halves(local)):
             a = coarse[:, s]
-            out.append(np.einsum("nji,nj->ni", self.Rs[s][a], p) + self.mus[s][a] + self.Cs[s][a])
+            out.append(turned("nji,nj->ni", self.Rs[s], a, p) + self.mus[s][a] + self.Cs[s][a])
         return np.concatenate(out, axis=1)
 
     def subquantizer_distances(self, x: np.ndarray, coarse: tuple[int, int], split: int | None = None) -> list[np.ndarray]:
