@@ -1,9 +1,11 @@
 """Exact and hashed search, quantisation: against numpy and by their properties."""
 
 import importlib
+import re
 import warnings
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from umbel.lopq import LOPQModel, build_index, evaluate, search
 from umbel.lopq.model import allocate, rotation
 from umbel.lopq.search import cell, cells_in_order, cells_to_quota, distances, read_index, reranked, search_reranked, write_index
 from umbel.operators.retrieval import recall
-from umbel.operators.search import knn, lsh_search, projection_tree, projections
+from umbel.operators.search import knn, lsh_search, probe_hits, projection_tree, projections
 
 
 def frame(spark, x, first=0):
@@ -83,6 +85,101 @@ def test_lsh_sends_a_query_once_a_part(spark, monkeypatch, probes):
         assert [m[1:] for m in mine] == [(j, len(rows)) for _, j in want]
 
 
+@pytest.mark.parametrize(("tables", "parts"), [(1, 1), (1, 4), (2, 3)])
+def test_one_search_tells_what_each_number_of_probes_finds(spark, monkeypatch, tables, parts):
+    """As separate searches find it, with more copies than neighbours, tiles, waiting pairs, queries without a vector and tables smaller than k."""
+    from umbel.operators import search as s
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 16))
+    x = np.concatenate([x, x[:30], np.repeat(x[30:32], 25, axis=0), np.zeros((3, 16))])[rng.permutation(483)]
+    monkeypatch.setattr(s, "PART_ROWS", -(-len(x) // parts))
+    monkeypatch.setattr(s, "LEAST_ROWS", len(x))
+    monkeypatch.setattr(s, "QUERY_BLOCK", 40)
+    k, probes, how = 9, (1, 5, 20, 64), {"tables": tables, "bits": 6, "dimension": 16}
+    none = spark.createDataFrame([(10**6, None)], "id bigint, vector array<double>")
+    index, q = frame(spark, x).union(none), frame(spark, x).where("id % 5 = 0").union(none)
+    got = {r["query"]: r for r in probe_hits(q, index, k, probes, **how).collect()}
+    assert len(got) == 98 and got.pop(10**6)["hits"] is None
+    truth = {}
+    for r in knn(q, index, k, with_self=False).where("neighbour IS NOT NULL").collect():
+        truth.setdefault(r["query"], []).append(r["distance"])
+    for i, p in enumerate(probes):
+        found = {}
+        for r in lsh_search(q, index, k + 1, probes=p, **how).where("query <> neighbour").collect():
+            found.setdefault(r["query"], []).append((r["distance"], r["compared"]))
+        for query, row in got.items():
+            hits = [d for d, _ in found.get(query, []) if d <= max(truth[query]) + 1e-9]
+            assert row["hits"][i] == min(len(hits), k) and row["first"][i] == any(d <= min(truth[query]) + 1e-9 for d in hits)
+            assert query not in found or row["compared"][i] == found[query][0][1]
+    assert all(r["hits"][-1] == k and r["first"][-1] for r in got.values())
+    few = probe_hits(frame(spark, x[:4]), frame(spark, x[:4]), k, probes, **how).collect()
+    assert all(r["hits"][-1] == 3 for r in few) and probe_hits(q, index.where("false"), k, probes, **how).where("hits IS NOT NULL").count() == 0
+    with pytest.raises(ValueError, match="ascending"):
+        probe_hits(q, index, k, (5, 1), **how)
+
+
+def test_waiting_pairs_and_small_tiles_change_nothing(monkeypatch):
+    from umbel.operators import search as s
+
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 3, (700, 5)).astype(float)  # many rows at equal distances
+    q, k = x[:60], 7
+    level, bucket = rng.integers(0, 3, (60, 4)), rng.integers(0, 4, 700)
+    ids = pa.array([None, *range(1, 700)], pa.int64())
+    want = []
+    for i in range(60):
+        d = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
+        other = [j for j in range(700) if not 0 < i == j]
+        edge = sorted(d[other])[k - 1] + 1e-9
+        for c in range(3):
+            want += [(i, v, c) for v in sorted(d[j] for j in other if d[j] <= edge and level[i, bucket[j]] == c)[:k]]
+    few = s._few_of_each(x, k + 1)
+    assert len(few) < 700 and max(np.unique(x[few], axis=0, return_counts=True)[1]) == k + 1
+    for tile, waiting, pairs in ((2048, 1 << 18, 1 << 12), (50, 1 << 18, 7), (50, 100, 1 << 12), (3, 10, 64)):
+        for name, n in (("_TILE", tile), ("_WAITING", waiting), ("_PAIRS", pairs)):
+            monkeypatch.setattr(s, name, n)
+        for rows in (np.arange(700), few):
+            found = s._nearest_by_level(q, ids[:60], [level], np.column_stack([x, (x * x).sum(axis=1)])[rows], ids.take(pa.array(rows)), [bucket[rows]], k, 2)
+            if len(rows) == 700:
+                assert sorted(zip(*(y.tolist() for y in found), strict=True)) == sorted(want)
+            assert (np.diff(found[0]) >= 0).all() and all((np.diff(found[1][found[0] == i]) >= 0).all() for i in range(60))
+
+
+def test_recall_curve_compares_the_tables_once(spark):
+    """However many numbers of probes: each took another search before."""
+    from umbel.plans.vectors import _curve
+
+    rows = frame(spark, np.random.default_rng(10).normal(size=(200, 64))).withColumnsRenamed({"id": "vec_id", "vector": "embedding"})
+    curves = [_curve(rows, p, "rows") for p in ((4,), (4, 32, 96, 256))]
+    searches = [c._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for c in curves]
+    assert searches == [1, 1]
+    first, (*_, last) = curves[0].collect(), curves[1].orderBy("probes").collect()
+    assert curves[1].orderBy("probes").first() == first[0] and tuple(last) == ("rows", 256, 1.0, 1.0, 1.0)
+    assert [tuple(r) for r in _curve(rows.where("false"), (4, 32), "none").orderBy("probes").collect()] == [("none", 4, None, None, None), ("none", 32, None, None, None)]
+
+
+def test_document_vectors_are_shuffled_once(spark, tmp_path):
+    """One row a text meets the others of its id; before, one a text and place, and again."""
+    from umbel.plans.registry import Tables
+    from umbel.plans.vectors import _document_vectors
+
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"W{w}" for w in rng.integers(0, 90, n)) for n in rng.integers(1, 60, 70)]
+    rows = [*enumerate(texts), (3, "again\tand\n\nagain "), (None, "one"), (None, "two  two"), (90, None), (91, ""), (92, " \t\r"), (93, "\u00c9t\u00e9 \u00e9T\u00c9\u00a0x"), (94, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    found = _document_vectors(Tables(spark, str(tmp_path)))
+    got = {r["vec_id"]: r["embedding"] for r in found.collect()}
+    words = [(i, w) for i, text in rows for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
+    hashes = spark.createDataFrame(words, "i bigint, w string").select("i", F.xxhash64("w")).collect()
+    want = {}
+    for i, h in hashes:
+        want.setdefault(i, np.zeros(64, int))[h % 64] += 1 if h >> 32 & 1 else -1
+    assert got == {i: (n / np.sqrt(n @ n)).tolist() for i, n in want.items() if n.any()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("RepartitionByExpression") == 1 and "Aggregate" not in plan
+
+
 def test_projection_tree(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 8))

@@ -21,6 +21,11 @@ _PRODUCT = 1 << 21
 _ROWS = 4096
 #: Bits of a hash table whose buckets are probed in order of distance.
 PROBED_BITS = 12
+#: Queries and index rows of a product of which few pairs are kept, pairs whose differences are taken at once, and pairs that wait for it.
+_ASKED, _TILE = 512, 2048
+_PAIRS, _WAITING = 1 << 12, 1 << 18
+#: Rows that are no further than this beyond a neighbour are as near as it.
+_AS_NEAR = 1e-9
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -200,6 +205,14 @@ def _bits(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
     return ((x @ directions.T > 0).astype(np.int64) << np.arange(len(directions), dtype=np.int64)).sum(axis=1)
 
 
+def _nearest_buckets(x: np.ndarray, directions: np.ndarray, n: int) -> np.ndarray:
+    """The numbers of the ``n`` buckets that lie nearest to each row, its own first."""
+    masks = np.arange(1 << len(directions), dtype=np.int64)
+    flips = (masks[:, None] >> np.arange(len(directions)) & 1).astype(float)
+    far = np.abs(x @ directions.T) @ flips.T
+    return _bits(x, directions)[:, None] ^ np.argsort(far, axis=1, kind="stable")[:, :n]
+
+
 def sign_buckets(df: DataFrame, tables: list[np.ndarray], vector_col: str = "vector", center: np.ndarray | None = None, probes: int = 1) -> DataFrame:
     """Adds buckets array<bigint>, ``probes`` numbers per table, table by table: bit i is set if the vector lies on the positive side of
     direction i (63 bits at most), seen from ``center``. Further probes are the buckets that lie nearest: those whose differing bits
@@ -217,13 +230,7 @@ def sign_buckets(df: DataFrame, tables: list[np.ndarray], vector_col: str = "vec
                 x = x if center is None else x - center
                 found = []
                 for d in tables:
-                    own = _bits(x, d)[:, None]
-                    if probes > 1:
-                        masks = np.arange(1 << len(d), dtype=np.int64)
-                        flips = (masks[:, None] >> np.arange(len(d)) & 1).astype(float)
-                        far = np.abs(x @ d.T) @ flips.T
-                        own = own ^ np.argsort(far, axis=1, kind="stable")[:, :probes]
-                    found.append(own)
+                    found.append(_nearest_buckets(x, d, probes) if probes > 1 else _bits(x, d)[:, None])
                 each = np.concatenate(found, axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, each.size + 1, each.shape[1]), pa.int32()), pa.array(each.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [f.name for f in out])
@@ -277,6 +284,123 @@ def lsh_search(
     return queries.select(F.col(id_col).alias("query")).join(best, "query", "left")
 
 
+def _few_of_each(x: np.ndarray, n: int) -> np.ndarray:
+    """The places of ``n`` at most of the rows that are equal, in order."""
+    _, of = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    return np.sort(order[first_of_each(of[order], n)])
+
+
+def _nearest_by_level(q: np.ndarray, own: pa.Array, level: list[np.ndarray], x: np.ndarray, ids: pa.Array, buckets: list[np.ndarray], k: int, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, distance, level), by query and distance, of the rows as near as each query's ``k``-th of another id, ``k`` of a level at most.
+
+    ``level`` has a query's level for each bucket, table by table, ``buckets`` those of the rows; a row's is its least. ``x`` has the square of
+    the length as its last column. Tile by tile products pick the rows below the distance that ``k`` of those seen so far have;
+    distances are then taken from differences, as ``_best`` does.
+    """
+    asked, square = np.column_stack([-2 * q, np.ones(len(q))]), (q * q).sum(axis=1)
+    bound, settled = np.full(len(q), np.inf), 0
+    held: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    space, picked = np.empty(len(q) * _TILE), np.empty(len(q) * _TILE, bool)
+    for start in range(0, len(x), _TILE):
+        tile = x[start : start + _TILE]
+        shape, size = (len(q), len(tile)), len(q) * len(tile)
+        rough = np.matmul(asked, tile.T, out=space[:size].reshape(shape))
+        if not start and rough.shape[1] > k:
+            bound = square + np.partition(rough, k, axis=1)[:, k]
+            bound[np.isnan(bound)] = np.inf
+        np.less_equal(rough, (bound - square + 2 * _AS_NEAR * (1 + np.abs(bound) + square))[:, None], out=picked[:size].reshape(shape))
+        a, b = np.divmod(np.flatnonzero(picked[:size]), len(tile))
+        waiting.append((a, b + start))
+        seen = min(start + _TILE, len(x))
+        if seen < len(x) and seen < 2 * settled and sum(len(w[0]) for w in waiting) < _WAITING:
+            continue
+        settled = seen
+        a, b = (np.concatenate(w) for w in zip(*waiting, strict=True))
+        waiting = []
+        other = pc.fill_null(pc.not_equal(own.take(pa.array(a)), ids.take(pa.array(b))), True).to_numpy(zero_copy_only=False)
+        a, b = a[other], b[other]
+        d = np.concatenate([np.zeros(0), *[np.sqrt(((q[a[s : s + _PAIRS]] - x[b[s : s + _PAIRS], :-1]) ** 2).sum(axis=1)) for s in range(0, len(a), _PAIRS)]])
+        c = np.min([f[a, u[b]] for f, u in zip(level, buckets, strict=True)], axis=0)
+        a, d, c = (np.concatenate(y) for y in zip(held, (a, d, c), strict=True))
+        order = np.lexsort((d, a))
+        a, d, c = a[order], d[order], c[order]
+        first, kth = np.searchsorted(a, np.arange(len(q) + 1)), np.full(len(q), np.inf)
+        full = np.diff(first) >= k
+        kth[full] = d[first[:-1][full] + k - 1]
+        near = np.flatnonzero(d <= kth[a] + _AS_NEAR)
+        group = a[near] * (levels + 1) + c[near]
+        order = np.argsort(group, kind="stable")
+        near = near[np.sort(order[first_of_each(group[order], k)])]
+        held, bound = (a[near], d[near], c[near]), np.minimum(bound, kth**2)
+    return held
+
+
+def probe_hits(
+    queries: DataFrame, index: DataFrame, k: int, probes: tuple[int, ...], tables: int = 1, bits: int = 8, dimension: int = 64, seed: int = 0, id_col: str = "id", vector_col: str = "vector"
+) -> DataFrame:
+    """(query, hits array<int>, first array<boolean>, compared array<bigint>): what ``lsh_search`` finds of every query's ``k`` nearest rows of
+    other ids, for each number of ``probes``, in ascending order.
+
+    A search finds a row if its bucket is among those that are probed, so one exact search, in which the rows' buckets are told, answers for
+    all numbers of probes. ``hits``: rows found that are as near as the k-th (copies are as near as each other), k at most. ``first``: is one as
+    near as the first among them? ``compared``: rows in the probed buckets. Ids are unique; queries that meet no row give nulls.
+    The index is dealt into parts, as for ``knn``, the queries into blocks, each pair of both to a task of its own, which gives one row a query.
+    """
+    if list(probes) != sorted(set(probes)) or bits > PROBED_BITS or not 1 <= probes[0] <= probes[-1] <= 1 << bits:
+        raise ValueError(f"ascending numbers of probes, of tables of {PROBED_BITS} bits at most, none larger than the number of buckets")
+    directions = [projections(dimension, bits, seed + t) for t in range(tables)]
+    center, spark = mean_vector(index, dimension, vector_col), index.sparkSession
+    index = index.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    q = queries.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows, asked, kind = index.count(), q.count(), dict(q.dtypes)["id"]
+    parts = max(-(-rows // PART_ROWS), min(spark.sparkContext.defaultParallelism, -(-rows // LEAST_ROWS)), 1)
+    blocks = max(1, -(-asked // QUERY_BLOCK))
+    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    columns = ["part", "block", "side", "id", "v"]
+    both = index.withColumns({"part": of(parts), "side": F.lit(0)}).withColumn("block", every(blocks)).select(columns)
+    both = both.unionByName(q.where("v IS NOT NULL").withColumns({"block": of(blocks), "side": F.lit(1)}).withColumn("part", every(parts)).select(columns))
+    level_of_place = np.searchsorted(probes, np.arange(1 << bits), side="right")  # beyond all probes: the last level
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = None
+        for held, part in in_cells(batches, 2):
+            if held is not met:
+                met, x = held, np.concatenate([matrix(h.column("v")) for h in held])
+                own = [np.concatenate([_bits(x[s : s + _ROWS] - center, d) for s in range(0, len(x), _ROWS)]) for d in directions]
+                counts = [np.bincount(b, minlength=1 << bits) for b in own]
+                few = _few_of_each(x, k + 1)  # of equal rows no query needs more
+                ids, own, x = pa.concat_arrays([h.column("id") for h in held]).take(pa.array(few)), [b[few] for b in own], x[few]
+                x = np.column_stack([x, (x * x).sum(axis=1)])
+            for s in range(0, part.num_rows, _ASKED):
+                b = part.slice(s, _ASKED)
+                v = matrix(b.column("v"))
+                level = [np.empty((len(v), 1 << bits), np.int64) for _ in directions]
+                for f, d in zip(level, directions, strict=True):
+                    np.put_along_axis(f, _nearest_buckets(v - center, d, 1 << bits), np.broadcast_to(level_of_place, f.shape), axis=1)
+                a, d, c = _nearest_by_level(v, b.column("id"), level, x, ids, own, k, len(probes))
+                near = pa.StructArray.from_arrays([pa.array(d, pa.float64()), pa.array(c, pa.int32())], ["distance", "level"])
+                seen = np.column_stack([sum((f <= i) @ n for f, n in zip(level, counts, strict=True)) for i in range(len(probes))])
+                lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), y) for at, y in ((np.searchsorted(a, np.arange(len(v) + 1)), near), (np.arange(0, seen.size + 1, len(probes)), pa.array(seen.ravel(), pa.int64())))]
+                yield pa.RecordBatch.from_arrays([b.column("id"), *lists], ["query", "near", "seen"])
+
+    # one pair of a part and a block a task: by a hash of their numbers some tasks would get several, others none
+    dealt = both.repartitionById(parts * blocks, F.col("part") * blocks + F.col("block")).sortWithinPartitions("part", "block", "side")
+    met = dealt.mapInArrow(run, f"query {kind}, near array<struct<distance:double,level:int>>, seen array<bigint>")
+    n = tasks_for(spark, asked * min(k * parts, rows))
+    each = met.repartition(n, "query").groupBy("query").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"), *[F.sum(F.get("seen", i)).alias(f"seen{i}") for i in range(len(probes))])
+    at = lambda i: F.get("near", i)["distance"] + _AS_NEAR
+    each = each.withColumns({"d1": at(F.lit(0)), "dk": at(F.least(F.size("near"), F.lit(k)) - 1)})
+    up_to = lambda i, d: F.filter("near", lambda y: (y["level"] <= i) & (y["distance"] <= F.col(d)))
+    each = each.select(
+        "query", F.array(*[F.least(F.size(up_to(i, "dk")), F.lit(k)) for i in range(len(probes))]).alias("hits"), F.array(*[F.size(up_to(i, "d1")) > 0 for i in range(len(probes))]).alias("first"),
+        F.array(*[f"seen{i}" for i in range(len(probes))]).alias("compared"),
+    )
+    return q.select(F.col("id").alias("query")).repartition(n, "query").join(each, "query", "left")
+
+
 def projection_tree(df: DataFrame, directions: np.ndarray, minimum: int, vector_col: str = "vector") -> DataFrame:
     """Adds node string: the shortest prefix of a row's sign bits whose bucket is the last with at least ``minimum`` rows.
 

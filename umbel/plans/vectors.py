@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbel.functions import vectors as v
 from umbel.operators import matching, pairs, search
+from umbel.operators.frames import tasks_for
 from umbel.plans.fixtures import SQL_DESCRIPTORS, SQL_MATCHES, descriptors, matches
 from umbel.plans.registry import Tables, query
 
@@ -268,29 +274,58 @@ def f10(t: Tables) -> DataFrame:
 
 
 def _document_vectors(t: Tables) -> DataFrame:
-    """(vec_id, embedding) of every document with a word: signed counts of its words in 64 hashed places, of length 1."""
-    words = t.documents.select("doc_id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
-    h = F.xxhash64("w")
-    sums = words.groupBy("doc_id", F.pmod(h, F.lit(64)).cast("int").alias("place")).agg(F.sum(F.when(F.shiftright(h, 32).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)).alias("n"))
-    cells = sums.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
-    v = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("length"))
-    return cells.where("length > 0").select(F.col("doc_id").alias("vec_id"), v.alias("embedding"))
+    """(vec_id, embedding) of every document with a word: signed counts of its words in 64 hashed places, of length 1.
+
+    A text's words are hashed and counted where it is read, so that it is shuffled as 64 numbers.
+    """
+    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+    hashed = t.documents.select("doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("hashes"))
+    kind = dict(hashed.dtypes)["doc_id"]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                b = whole.slice(start, 1024)
+                h, row = b.column("hashes").flatten().to_numpy(), np.repeat(np.arange(b.num_rows) * 64, b.column("hashes").value_lengths().to_numpy())
+                n = np.bincount(row + (h & 63), weights=(h >> 32 & 1) * 2 - 1, minlength=b.num_rows * 64).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(n), 64).cast(pa.list_(pa.int32()))], ["doc_id", "n"])
+
+    def of_length_1(ids: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        length = np.sqrt((n * n).sum(axis=1))
+        some = np.flatnonzero(length)
+        v = pa.FixedSizeListArray.from_arrays(pa.array((n[some] / length[some, None]).ravel()), 64)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(some)), v.cast(pa.list_(pa.float64()))], ["vec_id", "embedding"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sums = None, np.zeros((0, 64))  # of the last id, which may go on in the next batch
+        for b in batches:
+            if b.num_rows:
+                runs = pc.run_end_encode(b.column("doc_id") if ids is None else pa.concat_arrays([ids, b.column("doc_id")]))
+                n = np.add.reduceat(np.concatenate([sums, search.matrix(b.column("n"))]), [0, *runs.run_ends.to_numpy()[:-1]])
+                yield of_length_1(runs.values[:-1], n[:-1])
+                ids, sums = runs.values[-1:], n[-1:]
+        if ids is not None:
+            yield of_length_1(ids, sums)
+
+    sums = hashed.mapInArrow(counted, f"doc_id {kind}, n array<int>")
+    return sums.repartition(tasks_for(t.spark, t.documents.count()), "doc_id").sortWithinPartitions("doc_id").mapInArrow(summed, f"vec_id {kind}, embedding array<double>")
 
 
 def _curve(rows: DataFrame, probes: tuple[int, ...], data: str) -> DataFrame:
-    """(data, probes, share_compared, recall_1, recall_20): the query set of ids divisible by 50 against all rows."""
-    q, n = rows.where("vec_id % 50 = 0"), rows.count()
-    truth = search.knn(q, rows, 20, "vec_id", "embedding", with_self=False).select("query", "neighbour", F.col("pos").alias("true_pos"), "distance")
-    worst = truth.groupBy("query").agg(F.max("distance").alias("d20"), F.min("distance").alias("d1"))
-    out = None
-    for p in probes:
-        found = search.lsh_search(q, rows, 21, id_col="vec_id", vector_col="embedding", **{**LSH, "probes": p}).where("query <> neighbour")
-        # copies are as near as each other, so a neighbour counts by its distance, not by its name
-        hits = found.join(worst, "query").where("distance <= d20 + 1e-9").groupBy("query").agg(F.least(F.count("*"), F.lit(20)).alias("hits"), F.max((F.col("distance") <= F.col("d1") + 1e-9).cast("int")).alias("first"), F.max("compared").alias("compared"))
-        each = worst.join(hits, "query", "left").na.fill(0, ["hits", "first", "compared"])
-        row = each.agg(F.lit(data).alias("data"), F.lit(p).alias("probes"), F.round(F.avg("compared") / n, 4).alias("share_compared"), F.round(F.avg("first"), 4).alias("recall_1"), F.round(F.avg("hits") / 20, 4).alias("recall_20"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(data, probes, share_compared, recall_1, recall_20): the query set of ids divisible by 50 against all rows.
+
+    Copies are as near as each other, so a neighbour counts by its distance, not by its name. A query that finds none of the twenty
+    counts as one that compares no row.
+    """
+    n = rows.count()
+    # one search for all numbers of probes: what lsh_search would find with each of them
+    each = search.probe_hits(rows.where("vec_id % 50 = 0"), rows, 20, probes, id_col="vec_id", vector_col="embedding", **{k: x for k, x in LSH.items() if k != "probes"})
+    found = lambda i: F.coalesce(F.get("hits", i), F.lit(0))
+    row = lambda i, p: F.struct(
+        F.lit(p).alias("probes"), F.round(F.avg(F.when(found(i) > 0, F.get("compared", i)).otherwise(0)) / n, 4).alias("share_compared"),
+        F.round(F.avg(F.coalesce(F.get("first", i), F.lit(False)).cast("int")), 4).alias("recall_1"), F.round(F.avg(found(i)) / 20, 4).alias("recall_20"),
+    )
+    return each.agg(F.array(*[row(i, p) for i, p in enumerate(probes)]).alias("rows")).select(F.lit(data).alias("data"), F.inline("rows"))
 
 
 @query("j4_recall_curve")
